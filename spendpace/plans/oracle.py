@@ -265,3 +265,161 @@ def with_ctes(names: list[str], select: str) -> str:
         visit(n)
     body = ",\n".join(f"{n} AS ({CTES[n][1]}\n)" for n in order)
     return f"WITH {body}\n{select}"
+
+
+# ------------------------------------------------------------ inventory --
+def _prio(value_sql: str) -> str:
+    v = f"lower(trim({value_sql}))"
+    return f"coalesce(CASE WHEN {v} IN ('low', 'normal', 'critical') THEN {v} END, 'normal')"
+
+
+_SEG = _case("c_mktsegment", A.SEGMENT_PRIORITY)
+_LADDER = "[" + ", ".join(f"'{s}'" for s in __import__("spendpace.config", fromlist=["x"]).SIZE_LADDER) + "]"
+
+cte("inv_customers", [], """
+  SELECT c.*, CAST(c.c_custkey % 5 AS INTEGER) AS budget_id FROM customer c
+  WHERE c.c_custkey IN (SELECT user_id FROM events)""")
+
+cte("jobs", ["inv_customers"], f"""
+  SELECT budget_id, CAST(c_custkey AS VARCHAR) AS job_id,
+    CASE WHEN c_nationkey % 7 <> 0 AND coalesce(c_name, '') <> '' THEN c_name
+         ELSE 'job-' || CAST(c_custkey AS VARCHAR) END AS name,
+    (c_nationkey % 3 <> 0) AS has_schedule, (c_nationkey % 3 = 2) AS schedule_paused,
+    {_prio(_SEG)} AS priority
+  FROM inv_customers WHERE c_custkey % 4 = 0""")
+
+cte("warehouses", ["inv_customers"], f"""
+  SELECT budget_id, 'wh' || CAST(c_custkey AS VARCHAR) AS warehouse_id,
+    CASE WHEN c_nationkey % 7 <> 0 AND coalesce(c_name, '') <> '' THEN c_name
+         ELSE 'wh' || CAST(c_custkey AS VARCHAR) END AS name,
+    CASE WHEN c_nationkey % 11 <> 0 THEN {_LADDER}[CAST(c_custkey % 9 AS INTEGER) + 1] ELSE 'X-Small' END AS cluster_size,
+    CAST((c_custkey % 13) * 10 AS INTEGER) AS auto_stop_mins,
+    CAST(CASE WHEN c_nationkey % 4 = 0 THEN 1 ELSE c_nationkey % 4 END AS INTEGER) AS max_num_clusters,
+    CASE WHEN c_acctbal >= 0 THEN 'RUNNING' ELSE 'STOPPED' END AS state,
+    {_prio(_SEG)} AS priority
+  FROM inv_customers WHERE c_custkey % 4 = 1""")
+
+cte("clusters", ["inv_customers"], f"""
+  SELECT budget_id, 'c' || CAST(c_custkey AS VARCHAR) AS cluster_id,
+    CASE WHEN c_nationkey % 7 <> 0 AND coalesce(c_name, '') <> '' THEN c_name
+         ELSE 'c' || CAST(c_custkey AS VARCHAR) END AS name,
+    CASE WHEN c_nationkey % 4 = 0 THEN 'TERMINATED' ELSE 'RUNNING' END AS state,
+    CASE WHEN c_nationkey % 5 <> 0 THEN {_ACTIVITY} - (c_custkey % 7) * 600000 END AS last_activity_time,
+    {_prio(_SEG)} AS priority
+  FROM inv_customers WHERE c_custkey % 4 = 2 AND c_nationkey % 6 <> 1""")
+
+cte("workload_meta", ["jobs", "warehouses", "clusters"], """
+  SELECT budget_id, 'JOB' AS workload_type, job_id AS workload_id, name, priority FROM jobs
+  UNION ALL SELECT budget_id, 'WAREHOUSE', warehouse_id, name, priority FROM warehouses
+  UNION ALL SELECT budget_id, 'CLUSTER', cluster_id, name, priority FROM clusters""")
+
+# ------------------------------------------------------------- forecasts --
+cte("ck", ["instants"], """
+  SELECT budget_id, date_trunc('hour', as_of) AS as_of, CAST(as_of AS DATE) AS today,
+         hour(as_of) AS now_hour, isodow(CAST(as_of AS DATE)) - 1 AS today_wd,
+         date_trunc('hour', as_of) - INTERVAL 3 HOUR AS cutoff
+  FROM instants""")
+
+cte("hist", ["ck", "usage_hourly"], """
+  SELECT k.budget_id, k.as_of, k.today, k.now_hour, k.today_wd, CAST(u.hour_start AS DATE) AS usage_date,
+         hour(u.hour_start) AS hour, u.compute_type, u.workload_type, u.workload_id, u.dbu_dollars
+  FROM ck k JOIN usage_hourly u ON u.budget_id = k.budget_id
+   AND CAST(u.hour_start AS DATE) >= k.today - 14 AND CAST(u.hour_start AS DATE) < k.today""")
+
+cte("pool", ["hist"], """
+  SELECT d.budget_id, d.as_of, d.usage_date,
+         (s.n_same < 2 OR isodow(d.usage_date) - 1 = d.today_wd) AS in_pool
+  FROM (SELECT DISTINCT budget_id, as_of, today_wd, usage_date FROM hist) d
+  JOIN (SELECT budget_id, as_of, COUNT(*) FILTER (WHERE isodow(usage_date) - 1 = today_wd) AS n_same
+        FROM (SELECT DISTINCT budget_id, as_of, today_wd, usage_date FROM hist) GROUP BY ALL) s
+    ON s.budget_id = d.budget_id AND s.as_of = d.as_of""")
+
+cte("hist_pool", ["hist", "pool"], """
+  SELECT h.*, p.in_pool, ps.pool_size FROM hist h
+  JOIN pool p ON p.budget_id = h.budget_id AND p.as_of = h.as_of AND p.usage_date = h.usage_date
+  JOIN (SELECT budget_id, as_of, COUNT(*) FILTER (WHERE in_pool) AS pool_size FROM pool GROUP BY ALL) ps
+    ON ps.budget_id = h.budget_id AND ps.as_of = h.as_of""")
+
+cte("mult", ["calibration"], "SELECT budget_id, as_of AS today, global_multiplier FROM calibration")
+
+cte("forecasts", ["hist_pool", "ck", "mult", "workload_meta"], """
+  SELECT f.budget_id, f.as_of, f.workload_type, f.workload_id,
+    CASE WHEN m.priority IS NOT NULL THEN m.name
+         WHEN f.workload_id <> '' THEN lower(f.workload_type) || '-' || f.workload_id
+         ELSE md.compute_type END AS name,
+    coalesce(m.priority, 'normal') AS priority, md.compute_type, f.dbu_forecast,
+    c.global_multiplier AS multiplier, f.pool_size AS sample_days,
+    f.dbu_forecast * c.global_multiplier AS forecast_usd
+  FROM (SELECT budget_id, as_of, workload_type, workload_id, MAX(pool_size) AS pool_size,
+               CAST(CAST(coalesce(SUM(dbu_dollars) FILTER (WHERE in_pool AND hour >= now_hour), 0)
+                    AS DECIMAL(18,4)) AS DOUBLE) / MAX(pool_size) AS dbu_forecast
+        FROM hist_pool GROUP BY ALL) f
+  JOIN (SELECT budget_id, as_of, workload_type, workload_id, compute_type FROM (
+          SELECT budget_id, as_of, workload_type, workload_id, compute_type,
+                 row_number() OVER (PARTITION BY budget_id, as_of, workload_type, workload_id
+                                    ORDER BY COUNT(*) DESC, compute_type) AS rn
+          FROM hist_pool GROUP BY budget_id, as_of, workload_type, workload_id, compute_type) WHERE rn = 1) md
+    ON md.budget_id = f.budget_id AND md.as_of = f.as_of AND md.workload_type = f.workload_type
+   AND md.workload_id = f.workload_id
+  JOIN ck k ON k.budget_id = f.budget_id AND k.as_of = f.as_of
+  LEFT JOIN mult c ON c.budget_id = f.budget_id AND c.today = k.today
+  LEFT JOIN workload_meta m ON m.budget_id = f.budget_id AND m.workload_type = f.workload_type
+   AND m.workload_id = f.workload_id
+  WHERE f.dbu_forecast > 0""")
+
+cte("pace_inputs", ["ck", "hist_pool", "mult", "weekly_plan", "usage_hourly"], """
+  SELECT k.budget_id, k.as_of, k.today,
+    CASE WHEN fr.total IS NULL OR fr.total <= 0 THEN least(k.now_hour / 24.0, 1.0)
+         ELSE CAST(fr.before AS DOUBLE) / CAST(fr.total AS DOUBLE) END AS intraday_fraction,
+    coalesce(CAST(lf.dbu AS DOUBLE) / lf.pool_size * c.global_multiplier, 0.0) AS lag_fill,
+    coalesce(ob.observed_week, 0.0) AS observed_week, coalesce(ob.observed_today, 0.0) AS observed_today
+  FROM ck k
+  LEFT JOIN mult c ON c.budget_id = k.budget_id AND c.today = k.today
+  LEFT JOIN (SELECT budget_id, as_of,
+               CAST(coalesce(SUM(dbu_dollars) FILTER (WHERE in_pool AND hour < now_hour), 0) AS DECIMAL(18,4)) AS before,
+               CAST(SUM(dbu_dollars) FILTER (WHERE in_pool) AS DECIMAL(18,4)) AS total
+             FROM hist_pool GROUP BY ALL) fr ON fr.budget_id = k.budget_id AND fr.as_of = k.as_of
+  LEFT JOIN (SELECT h.budget_id, h.as_of, CAST(SUM(h.dbu_dollars) AS DECIMAL(18,4)) AS dbu, MAX(h.pool_size) AS pool_size
+             FROM hist_pool h
+             WHERE h.in_pool AND h.hour IN (hour(h.as_of - INTERVAL 1 HOUR), hour(h.as_of - INTERVAL 2 HOUR),
+                                             hour(h.as_of - INTERVAL 3 HOUR))
+             GROUP BY ALL) lf ON lf.budget_id = k.budget_id AND lf.as_of = k.as_of
+  LEFT JOIN (SELECT t.budget_id, t.as_of,
+               SUM(CAST(CAST(t.week_dbu AS DECIMAL(18,4)) AS DOUBLE) * c2.global_multiplier) AS observed_week,
+               SUM(CAST(CAST(coalesce(t.today_dbu, 0) AS DECIMAL(18,4)) AS DOUBLE) * c2.global_multiplier) AS observed_today
+             FROM (SELECT k2.budget_id, k2.as_of, k2.today, u.compute_type, SUM(u.dbu_dollars) AS week_dbu,
+                          SUM(u.dbu_dollars) FILTER (WHERE u.hour_start >= CAST(greatest(k2.today, p.week_start) AS TIMESTAMP)) AS today_dbu
+                   FROM ck k2 JOIN weekly_plan p ON p.budget_id = k2.budget_id AND p.as_of = k2.today
+                   JOIN usage_hourly u ON u.budget_id = k2.budget_id
+                    AND u.hour_start >= CAST(p.week_start AS TIMESTAMP) AND u.hour_start < k2.cutoff
+                   GROUP BY ALL) t
+             LEFT JOIN mult c2 ON c2.budget_id = t.budget_id AND c2.today = t.today
+             GROUP BY ALL) ob ON ob.budget_id = k.budget_id AND ob.as_of = k.as_of""")
+
+cte("status", ["pace_inputs", "weekly_plan", "targets", "forecasts"], """
+  SELECT *,
+    CASE WHEN spend_week_to_date >= weekly_allowance OR pace_ratio >= 1.3 THEN 'CRITICAL'
+         WHEN pace_ratio >= 1.0 THEN 'THROTTLE' WHEN pace_ratio >= 0.9 THEN 'WARN' ELSE 'OK' END AS severity,
+    greatest(0.0, spend_today + forecast_remaining_today - day_target) AS required_reduction_today,
+    spend_week_to_date + forecast_remaining_today + future_targets * least(pace_ratio, 2.0) AS projected_week_end,
+    greatest(0.0, day_target - spend_today - forecast_remaining_today) AS day_headroom
+  FROM (SELECT *,
+      CASE WHEN expected_week_to_date > 0 THEN spend_week_to_date / expected_week_to_date
+           WHEN spend_week_to_date = 0 THEN 1.0 ELSE CAST('inf' AS DOUBLE) END AS pace_ratio
+    FROM (SELECT i.budget_id, i.as_of, p.weekly_allowance, i.intraday_fraction, i.lag_fill,
+            i.observed_week, i.observed_today,
+            i.observed_week + i.lag_fill AS spend_week_to_date,
+            i.observed_today + i.lag_fill AS spend_today,
+            coalesce(ts.day_target, 0.0) AS day_target, coalesce(ts.future_targets, 0.0) AS future_targets,
+            coalesce(ts.through, 0.0) + coalesce(ts.day_target, 0.0) * i.intraday_fraction AS expected_week_to_date,
+            coalesce(fc.total, 0.0) AS forecast_remaining_today
+          FROM pace_inputs i
+          JOIN weekly_plan p ON p.budget_id = i.budget_id AND p.as_of = i.today
+          LEFT JOIN (SELECT k.budget_id, k.as_of,
+                       SUM(t.target) FILTER (WHERE t.day = k.today) AS day_target,
+                       SUM(t.target) FILTER (WHERE t.day < k.today) AS through,
+                       SUM(t.target) FILTER (WHERE t.day > k.today) AS future_targets
+                     FROM pace_inputs k JOIN targets t ON t.budget_id = k.budget_id AND t.as_of = k.today
+                     GROUP BY ALL) ts ON ts.budget_id = i.budget_id AND ts.as_of = i.as_of
+          LEFT JOIN (SELECT budget_id, as_of, SUM(forecast_usd) AS total FROM forecasts GROUP BY ALL) fc
+            ON fc.budget_id = i.budget_id AND fc.as_of = i.as_of))""")

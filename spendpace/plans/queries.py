@@ -20,10 +20,25 @@ from spendpace.plans import oracle as O
 from spendpace.plans import weekly as W
 from spendpace.sources import adapter
 
+def _fixed(places: int):
+    """Round half up with the same IEEE operations in both engines:
+    floor(x * 10^k + 0.5) / 10^k (infinities and NaN pass through)."""
+    scale = 10 ** places
+
+    def spark(c: Column) -> Column:
+        d = c.cast("double")
+        return F.when(d.isNull() | d.isNaN() | (F.abs(d) == float("inf")), d).otherwise(
+            F.floor(d * scale + F.lit(0.5)) / scale)
+
+    sql = ("CASE WHEN isnan(CAST({0} AS DOUBLE)) OR isinf(CAST({0} AS DOUBLE)) THEN CAST({0} AS DOUBLE) "
+           f"ELSE floor(CAST({{0}} AS DOUBLE) * {scale} + 0.5) / {scale} END")
+    return spark, sql
+
+
 KINDS = {
     # kind: (spark cast/expression, SQL template)
-    "money": (lambda c: F.round(c.cast("double"), 4), "round(CAST({} AS DOUBLE), 4)"),
-    "ratio": (lambda c: F.round(c.cast("double"), 6), "round(CAST({} AS DOUBLE), 6)"),
+    "money": _fixed(4),
+    "ratio": _fixed(6),
     "dec": (lambda c: c.cast("decimal(18,4)"), "CAST({} AS DECIMAL(18,4))"),
     "int": (lambda c: c.cast("int"), "CAST({} AS INTEGER)"),
     "long": (lambda c: c.cast("bigint"), "CAST({} AS BIGINT)"),
@@ -222,3 +237,111 @@ def q_day_targets(spark, sf_dir):
 def q_calibration(spark, sf_dir):
     """AGG6, JOIN3: all-in / usage multiplier over shared trailing days."""
     return plan_tables(spark, sf_dir)[1].calibration
+
+
+# --------------------------------------------------------------- inventory --
+def check_tables(spark: SparkSession, sf_dir: str, cfg: PaceConfig = _CFG, queue=None):
+    from spendpace.plans import check as CK
+    inp = inputs(spark, sf_dir, cfg)
+    return inp, CK.build_check(inp, cfg, adapter.check_instants(inp.budgets), queue=queue)
+
+
+def _inventory(spark, sf_dir):
+    from spendpace.sources import inventory as INV
+    inp = inputs(spark, sf_dir)
+    key = _CFG.priority_tag_key
+    return (INV.jobs(inp.jobs_raw, key), INV.warehouses(inp.warehouses_raw, key),
+            INV.clusters(inp.clusters_raw, key))
+
+
+@register("inventory_jobs",
+          [("budget_id", "int"), ("job_id", "str"), ("name", "str"), ("has_schedule", "bool"),
+           ("schedule_paused", "bool"), ("priority", "str")], ["jobs"], "SELECT * FROM jobs")
+def q_inventory_jobs(spark, sf_dir):
+    """SRC7, PRJ9: jobs with name fallback, schedule state and priority."""
+    return _inventory(spark, sf_dir)[0]
+
+
+@register("inventory_warehouses",
+          [("budget_id", "int"), ("warehouse_id", "str"), ("name", "str"), ("cluster_size", "str"),
+           ("auto_stop_mins", "int"), ("max_num_clusters", "int"), ("state", "str"), ("priority", "str")],
+          ["warehouses"], "SELECT * FROM warehouses")
+def q_inventory_warehouses(spark, sf_dir):
+    """SRC8, PRJ9: warehouses with defaults and tag-list priority."""
+    return _inventory(spark, sf_dir)[1]
+
+
+@register("inventory_clusters",
+          [("budget_id", "int"), ("cluster_id", "str"), ("name", "str"), ("state", "str"),
+           ("last_activity_time", "long"), ("priority", "str")], ["clusters"], "SELECT * FROM clusters")
+def q_inventory_clusters(spark, sf_dir):
+    """SRC9, PRJ9: all-purpose clusters (job clusters dropped)."""
+    return _inventory(spark, sf_dir)[2]
+
+
+@register("workload_meta",
+          [("budget_id", "int"), ("workload_type", "str"), ("workload_id", "str"), ("name", "str"),
+           ("priority", "str"), ("throttle_order", "int")],
+          ["workload_meta"], """
+  SELECT *, CASE priority WHEN 'low' THEN 0 WHEN 'normal' THEN 1 WHEN 'critical' THEN 2 END AS throttle_order
+  FROM workload_meta""")
+def q_workload_meta(spark, sf_dir):
+    """SET5, PRJ10: workload -> name, priority, throttle order."""
+    from spendpace.functions.tags import throttle_order
+    from spendpace.sources import inventory as INV
+    j, w, c = _inventory(spark, sf_dir)
+    return INV.workload_meta(j, w, c).withColumn("throttle_order", throttle_order(F.col("priority")))
+
+
+@register("inventory_summary",
+          [("budget_id", "int"), ("jobs", "long"), ("scheduled_jobs", "long"), ("paused_jobs", "long"),
+           ("warehouses", "long"), ("clusters", "long"), ("running_clusters", "long")],
+          ["jobs", "warehouses", "clusters"], """
+  SELECT coalesce(j.budget_id, w.budget_id, c.budget_id) AS budget_id,
+    coalesce(j.n, 0) AS jobs, coalesce(j.s, 0) AS scheduled_jobs, coalesce(j.p, 0) AS paused_jobs,
+    coalesce(w.n, 0) AS warehouses, coalesce(c.n, 0) AS clusters, coalesce(c.r, 0) AS running_clusters
+  FROM (SELECT budget_id, COUNT(*) n, COUNT(*) FILTER (WHERE has_schedule) s,
+               COUNT(*) FILTER (WHERE schedule_paused) p FROM jobs GROUP BY ALL) j
+  FULL JOIN (SELECT budget_id, COUNT(*) n FROM warehouses GROUP BY ALL) w ON w.budget_id = j.budget_id
+  FULL JOIN (SELECT budget_id, COUNT(*) n, COUNT(*) FILTER (WHERE state = 'RUNNING') r
+             FROM clusters GROUP BY ALL) c ON c.budget_id = coalesce(j.budget_id, w.budget_id)""")
+def q_inventory_summary(spark, sf_dir):
+    """AGG16: inventory counts per budget."""
+    from spendpace.sources import inventory as INV
+    return INV.inventory_summary(*_inventory(spark, sf_dir))
+
+
+# ------------------------------------------------------------- forecasting --
+FORECAST_COLS = [("budget_id", "int"), ("as_of", "ts"), ("workload_type", "str"), ("workload_id", "str"),
+                 ("name", "str"), ("priority", "str"), ("compute_type", "str"), ("dbu_forecast", "money"),
+                 ("multiplier", "ratio"), ("sample_days", "long"), ("forecast_usd", "money")]
+
+
+@register("workload_forecast", FORECAST_COLS, ["forecasts"], "SELECT * FROM forecasts")
+def q_workload_forecast(spark, sf_dir):
+    """AGG9, AGG10, AGG11, FLT7, FLT9, JOIN4, JOIN8, SRT1: rest-of-day
+    forecast per workload at every check instant."""
+    return check_tables(spark, sf_dir)[1].forecasts
+
+
+@register("pace_inputs",
+          [("budget_id", "int"), ("as_of", "ts"), ("intraday_fraction", "ratio"), ("lag_fill", "money"),
+           ("observed_week", "money"), ("observed_today", "money")],
+          ["pace_inputs"], "SELECT * FROM pace_inputs")
+def q_pace_inputs(spark, sf_dir):
+    """AGG12, AGG13, AGG14, FLT8: intraday fraction, lag fill, observed."""
+    ct = check_tables(spark, sf_dir)[1]
+    return (ct.fraction.join(ct.fill, ["budget_id", "as_of"]).join(ct.observed, ["budget_id", "as_of"]))
+
+
+STATUS_COLS = [("budget_id", "int"), ("as_of", "ts"), ("severity", "str"), ("pace_ratio", "ratio"),
+               ("weekly_allowance", "money"), ("spend_week_to_date", "money"),
+               ("expected_week_to_date", "money"), ("day_target", "money"), ("spend_today", "money"),
+               ("forecast_remaining_today", "money"), ("required_reduction_today", "money"),
+               ("projected_week_end", "money"), ("day_headroom", "money")]
+
+
+@register("budget_status", STATUS_COLS, ["status"], "SELECT * FROM status")
+def q_budget_status(spark, sf_dir):
+    """PAC1-PAC7, WIN1, WIN2, WIN5: pace status per budget and instant."""
+    return check_tables(spark, sf_dir)[1].status
