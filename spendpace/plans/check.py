@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spendpace.config import PaceConfig
+from spendpace.operators import allocate as AL
 from spendpace.operators import forecast as FC
+from spendpace.operators import levers as LV
 from spendpace.operators import status as ST
 from spendpace.plans import weekly as W
+from spendpace.session import materialize
 from spendpace.sources import inventory as INV
 
 
@@ -29,6 +32,11 @@ class CheckTables:
     fill: DataFrame
     observed: DataFrame
     status: DataFrame
+    options: DataFrame
+    gap: DataFrame
+    chosen: DataFrame
+    summary: DataFrame
+    coverage: DataFrame
 
 
 def multipliers(pt: W.PlanTables) -> DataFrame:
@@ -36,26 +44,33 @@ def multipliers(pt: W.PlanTables) -> DataFrame:
 
 
 def build_check(inputs: W.Inputs, cfg: PaceConfig, instants: DataFrame,
-                queue: DataFrame | None = None, pt: W.PlanTables | None = None,
-                usage_hourly: DataFrame | None = None) -> CheckTables:
+                queue: DataFrame | None = None, active: DataFrame | None = None,
+                pt: W.PlanTables | None = None, usage_hourly: DataFrame | None = None) -> CheckTables:
     """``instants``: budget rows with an ``as_of`` timestamp column.
-    ``queue(budget_id, job_id, ...)``: jobs held by the deferral queue."""
+    ``queue(budget_id, job_id, ...)``: jobs held by the deferral queue;
+    ``active(budget_id, kind, target_id, estimated_savings, ...)``: actions
+    in force."""
     fcfg = cfg.forecast
-    pt = pt or W.build_plan(inputs, cfg, W.plan_instants(instants))
-    keys = FC.check_keys(instants, fcfg.usage_lag_hours)
-    uh = usage_hourly if usage_hourly is not None else inputs.usage_hourly()
+    uh = materialize(usage_hourly if usage_hourly is not None else inputs.usage_hourly())
+    pt = pt or W.build_plan(inputs, cfg, W.plan_instants(instants), uh)
+    keys = materialize(FC.check_keys(instants, fcfg.usage_lag_hours))
     hist = FC.history(uh, keys, fcfg.trailing_days)
     mult = multipliers(pt)
     jobs = INV.jobs(inputs.jobs_raw, cfg.priority_tag_key)
     whs = INV.warehouses(inputs.warehouses_raw, cfg.priority_tag_key)
     cls = INV.clusters(inputs.clusters_raw, cfg.priority_tag_key)
     meta = INV.workload_meta(jobs, whs, cls)
-    fc = FC.forecasts(keys, hist, mult, meta, queue, fcfg)
+    fc = materialize(FC.forecasts(keys, hist, mult, meta, queue, fcfg))
     totals = FC.day_hour_totals(hist)
     frac = FC.intraday_fraction(keys, totals)
     fill = FC.lag_fill(keys, totals, mult)
     ws = pt.plan.select("budget_id", F.col("as_of").alias("today"), "week_start")
     obs = FC.observed(keys, uh, ws, mult, fcfg)
     sums = ST.target_sums(keys, pt.targets)
-    st = ST.status(keys, pt.plan, sums, frac, fill, obs, fc, cfg.thresholds)
-    return CheckTables(keys, pt, jobs, whs, cls, meta, fc, frac, fill, obs, st)
+    st = materialize(ST.status(keys, pt.plan, sums, frac, fill, obs, fc, cfg.thresholds))
+    opts = materialize(LV.options(fc, st, jobs, whs, cls, active, cfg.levers))
+    gap = AL.gaps(st, AL.active_credit(keys, active))
+    chosen = AL.allocate(opts, gap)
+    summ = AL.summary(gap, chosen)
+    cov = AL.coverage(fc, st, opts, jobs, whs, cls, active)
+    return CheckTables(keys, pt, jobs, whs, cls, meta, fc, frac, fill, obs, st, opts, gap, chosen, summ, cov)

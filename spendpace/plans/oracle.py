@@ -423,3 +423,180 @@ cte("status", ["pace_inputs", "weekly_plan", "targets", "forecasts"], """
                      GROUP BY ALL) ts ON ts.budget_id = i.budget_id AND ts.as_of = i.as_of
           LEFT JOIN (SELECT budget_id, as_of, SUM(forecast_usd) AS total FROM forecasts GROUP BY ALL) fc
             ON fc.budget_id = i.budget_id AND fc.as_of = i.as_of))""")
+
+
+# ------------------------------------------------------------- decisions --
+def _m4(x: str) -> str:
+    return f"CAST(floor(({x}) * 10000 + 0.5) / 10000 AS DECIMAL(18,4))"
+
+
+def _lit(v: float) -> str:
+    return f"CAST({v!r} AS DOUBLE)"
+
+
+def _job_savings(f: str, spot: bool, cap, bid: bool) -> str:
+    from spendpace.config import Levers
+    cfg = Levers()
+    worker = f"({f} * {_lit(cfg.worker_cost_fraction)})"
+    after = f"({worker} * {_lit(1 - cfg.spot_discount)})" if spot else worker
+    savings = f"({worker} - {after})"
+    if cap is not None:
+        cut = f"({after} * {_lit(1 - cap)} * {_lit(cfg.worker_cap_efficiency)})"
+        savings = f"({savings} + {cut})"
+        after = f"({after} - {cut})"
+    if bid:
+        savings = f"({savings} + {after} * {_lit(cfg.spot_bid_savings_fraction)})"
+    return savings
+
+
+def _job_templates_sql() -> str:
+    from spendpace.config import Levers
+    from spendpace.operators.levers import job_cluster_templates
+    cfg = Levers()
+    rows = []
+    for i, (spot, cap, bid) in enumerate(job_cluster_templates(cfg)):
+        rows.append(f"""SELECT e.*, {i} AS template_seq, {_m4(_job_savings('e.forecast_usd', spot, cap, bid))} AS estimated_savings,
+          {'true' if spot else 'CAST(NULL AS BOOLEAN)'} AS spot,
+          {_lit(cap) if cap is not None else 'CAST(NULL AS DOUBLE)'} AS max_workers_factor,
+          {cfg.min_workers if cap is not None else 'CAST(NULL AS INTEGER)'} AS min_workers,
+          {cfg.min_spot_bid_percent if bid else 'CAST(NULL AS INTEGER)'} AS spot_bid_percent
+        FROM jc_elig e""")
+    return "\n  UNION ALL ".join(rows)
+
+
+_LADDER_LOWER = "[" + ", ".join(f"'{s.lower()}'" for s in __import__("spendpace.config", fromlist=["x"]).SIZE_LADDER) + "]"
+
+cte("elig", ["forecasts", "status"], """
+  SELECT f.*, s.severity FROM forecasts f JOIN status s ON s.budget_id = f.budget_id AND s.as_of = f.as_of
+  WHERE s.severity IN ('THROTTLE', 'CRITICAL') AND f.forecast_usd > 0 AND f.priority <> 'critical'""")
+
+cte("jc_elig", ["elig", "jobs"], """
+  SELECT e.*, j.name AS inv_name FROM elig e JOIN jobs j ON j.budget_id = e.budget_id AND j.job_id = e.workload_id
+  WHERE e.workload_type = 'JOB'""")
+
+cte("options0", ["elig", "jobs", "warehouses", "clusters", "jc_elig"], f"""
+  SELECT budget_id, as_of, 'idle_cluster_terminate:' || workload_id AS target_key, 'idle_cluster_terminate' AS kind,
+         workload_id AS target_id, inv_name AS target_name, priority, 0 AS disruption, 0 AS lever_seq,
+         workload_id AS emit_seq, 0 AS template_seq, {_m4('forecast_usd')} AS estimated_savings,
+         CAST(NULL AS BOOLEAN) AS spot, CAST(NULL AS DOUBLE) AS max_workers_factor, CAST(NULL AS INTEGER) AS min_workers,
+         CAST(NULL AS INTEGER) AS spot_bid_percent, CAST(NULL AS VARCHAR) AS cluster_size,
+         CAST(NULL AS INTEGER) AS auto_stop_mins, CAST(NULL AS INTEGER) AS max_num_clusters,
+         CAST(NULL AS VARCHAR) AS orig_cluster_size, CAST(NULL AS INTEGER) AS orig_auto_stop_mins,
+         CAST(NULL AS INTEGER) AS orig_max_num_clusters
+  FROM (SELECT e.*, c.name AS inv_name FROM elig e JOIN clusters c ON c.budget_id = e.budget_id AND c.cluster_id = e.workload_id
+        WHERE e.workload_type = 'CLUSTER' AND c.state = 'RUNNING' AND c.last_activity_time IS NOT NULL
+          AND epoch_ms(e.as_of) - c.last_activity_time >= 30 * 60 * 1000)
+  UNION ALL
+  SELECT budget_id, as_of, 'job_cluster_throttle:' || workload_id, 'job_cluster_throttle', workload_id, inv_name,
+         priority, 1, 1, workload_id, template_seq, estimated_savings, spot, max_workers_factor, min_workers,
+         spot_bid_percent, NULL, NULL, NULL, NULL, NULL, NULL
+  FROM ({_job_templates_sql()})
+  UNION ALL
+  SELECT budget_id, as_of, 'warehouse_throttle:' || workload_id, 'warehouse_throttle', workload_id, inv_name,
+         priority, 2, 2, workload_id, k, {_m4('savings')}, NULL, NULL, NULL, NULL,
+         CASE WHEN k > 0 THEN {_LADDER}[idx - k + 1] END,
+         CASE WHEN orig_auto_stop_mins > 5 THEN greatest(5, least(orig_auto_stop_mins, 10)) END,
+         CASE WHEN k >= 2 AND orig_max_num_clusters > 1 THEN 1 END,
+         orig_cluster_size, orig_auto_stop_mins, orig_max_num_clusters
+  FROM (SELECT *, CASE WHEN orig_auto_stop_mins > 5 THEN down + forecast_usd * rf * {_lit(0.1)} ELSE down END AS savings
+        FROM (SELECT *, CASE WHEN k > 0 THEN forecast_usd * (CAST(1.0 AS DOUBLE) - rf) ELSE CAST(0.0 AS DOUBLE) END AS down
+              FROM (SELECT *, CASE WHEN k > 0 THEN pow(CAST(0.5 AS DOUBLE), k) ELSE CAST(1.0 AS DOUBLE) END AS rf
+                    FROM (SELECT e.*, w.name AS inv_name, w.cluster_size AS orig_cluster_size,
+                                 w.auto_stop_mins AS orig_auto_stop_mins, w.max_num_clusters AS orig_max_num_clusters,
+                                 greatest(coalesce(list_position({_LADDER_LOWER}, lower(trim(w.cluster_size))), 0) - 1, 0) AS idx
+                          FROM elig e JOIN warehouses w ON w.budget_id = e.budget_id AND w.warehouse_id = e.workload_id
+                          WHERE e.workload_type = 'WAREHOUSE') x,
+                    LATERAL (SELECT CAST(unnest(range(0, x.idx + 1)) AS INTEGER) AS k))))
+  WHERE savings > 0
+  UNION ALL
+  SELECT e.budget_id, e.as_of, 'job_schedule_pause:' || e.workload_id, 'job_schedule_pause', e.workload_id, j.name,
+         e.priority, 3, 3, e.workload_id, 0, {_m4('e.forecast_usd')}, NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+         NULL, NULL, NULL
+  FROM elig e JOIN jobs j ON j.budget_id = e.budget_id AND j.job_id = e.workload_id
+  WHERE e.workload_type = 'JOB' AND e.severity = 'CRITICAL' AND j.has_schedule AND NOT j.schedule_paused""")
+
+cte("options", ["options0"], """
+  SELECT *, row_number() OVER (PARTITION BY budget_id, as_of, target_key
+                               ORDER BY estimated_savings, template_seq) AS option_seq
+  FROM options0""")
+
+cte("gap", ["status"], f"""
+  SELECT budget_id, as_of, severity,
+    CASE WHEN severity IN ('THROTTLE', 'CRITICAL')
+         THEN {_m4('greatest(CAST(0.0 AS DOUBLE), required_reduction_today - CAST(0.0 AS DOUBLE))')}
+         ELSE CAST(0 AS DECIMAL(18,4)) END AS gap
+  FROM status""")
+
+cte("walk", ["options", "gap"], """
+  SELECT g.*, gp.gap,
+    row_number() OVER (PARTITION BY g.budget_id, g.as_of ORDER BY
+        CASE g.priority WHEN 'low' THEN 0 WHEN 'normal' THEN 1 WHEN 'critical' THEN 2 END,
+        g.disruption, g.max_savings DESC, g.lever_seq, g.emit_seq) AS pick_order,
+    CAST(gp.gap - coalesce(SUM(greatest(g.max_savings, 0)) OVER (PARTITION BY g.budget_id, g.as_of ORDER BY
+        CASE g.priority WHEN 'low' THEN 0 WHEN 'normal' THEN 1 WHEN 'critical' THEN 2 END,
+        g.disruption, g.max_savings DESC, g.lever_seq, g.emit_seq
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DECIMAL(18,4)) AS left_before
+  FROM (SELECT budget_id, as_of, target_key, priority, disruption, lever_seq, emit_seq,
+               arg_max(estimated_savings, option_seq) AS max_savings, MAX(option_seq) AS last_seq
+        FROM options GROUP BY budget_id, as_of, target_key, priority, disruption, lever_seq, emit_seq) g
+  JOIN gap gp ON gp.budget_id = g.budget_id AND gp.as_of = g.as_of""")
+
+cte("chosen", ["walk", "options"], """
+  SELECT o.*, w.pick_order, w.left_before, w.gap FROM options o
+  JOIN (SELECT w.*, coalesce(p.first_ok, w.last_seq) AS pick_seq FROM walk w
+        LEFT JOIN (SELECT o2.budget_id, o2.as_of, o2.target_key, MIN(o2.option_seq) AS first_ok
+                   FROM options o2 JOIN walk w2 ON w2.budget_id = o2.budget_id AND w2.as_of = o2.as_of
+                    AND w2.target_key = o2.target_key
+                   WHERE o2.estimated_savings >= w2.left_before GROUP BY ALL) p
+          ON p.budget_id = w.budget_id AND p.as_of = w.as_of AND p.target_key = w.target_key
+        WHERE w.gap > 0 AND w.left_before > 0 AND w.max_savings > 0) w
+    ON w.budget_id = o.budget_id AND w.as_of = o.as_of AND w.target_key = o.target_key
+   AND o.option_seq = w.pick_seq""")
+
+cte("alloc_summary", ["gap", "chosen"], """
+  SELECT g.budget_id, g.as_of, g.severity, g.gap,
+    CAST(CASE WHEN g.gap > 0 THEN coalesce(c.total, 0) ELSE 0 END AS DECIMAL(18,4)) AS total_estimated_savings,
+    coalesce(c.actions, 0) AS actions,
+    CAST(CASE WHEN g.gap > 0 THEN coalesce(c.total, 0) ELSE 0 END AS DECIMAL(18,4)) >= g.gap AS gap_closed,
+    CAST(g.gap - CAST(CASE WHEN g.gap > 0 THEN coalesce(c.total, 0) ELSE 0 END AS DECIMAL(18,4)) AS DECIMAL(18,4)) AS gap_left
+  FROM gap g LEFT JOIN (SELECT budget_id, as_of, SUM(estimated_savings) AS total, COUNT(*) AS actions
+                        FROM chosen GROUP BY ALL) c ON c.budget_id = g.budget_id AND c.as_of = g.as_of""")
+
+cte("coverage", ["forecasts", "status", "options", "jobs", "warehouses", "clusters"], """
+  SELECT f.budget_id, f.as_of, f.workload_type, f.workload_id, f.name, f.forecast_usd,
+         'candidate' AS reason, og.kind, og.option_count, og.option_savings, CAST(NULL AS VARCHAR) AS detail
+  FROM forecasts f JOIN status s ON s.budget_id = f.budget_id AND s.as_of = f.as_of
+   AND s.severity IN ('THROTTLE', 'CRITICAL')
+  JOIN (SELECT budget_id, as_of, kind, target_id, COUNT(*) AS option_count,
+               string_agg(CAST(estimated_savings AS VARCHAR), ', ' ORDER BY option_seq) AS option_savings
+        FROM options GROUP BY budget_id, as_of, kind, target_id) og
+    ON og.budget_id = f.budget_id AND og.as_of = f.as_of AND og.target_id = f.workload_id
+   AND ((f.workload_type = 'JOB' AND og.kind IN ('job_cluster_throttle', 'job_schedule_pause'))
+     OR (f.workload_type = 'WAREHOUSE' AND og.kind = 'warehouse_throttle')
+     OR (f.workload_type = 'CLUSTER' AND og.kind = 'idle_cluster_terminate'))
+  UNION ALL
+  SELECT r.budget_id, r.as_of, r.workload_type, r.workload_id, r.name, r.forecast_usd,
+    CASE WHEN r.workload_type = 'OTHER' THEN 'unaddressable'
+         WHEN r.priority = 'critical' THEN 'exempt'
+         WHEN r.workload_type = 'JOB' AND NOT r.found THEN 'job_not_found'
+         WHEN r.workload_type = 'JOB' THEN 'no_options'
+         WHEN r.workload_type = 'WAREHOUSE' AND NOT r.found THEN 'warehouse_not_found'
+         WHEN r.workload_type = 'CLUSTER' AND NOT r.found THEN 'cluster_not_found'
+         ELSE 'no_options_produced' END,
+    NULL, NULL, NULL,
+    CASE WHEN r.workload_type = 'JOB' AND r.found AND r.priority <> 'critical' THEN concat_ws('; ',
+         CASE WHEN r.severity <> 'CRITICAL' THEN 'schedule pausing engages only at CRITICAL' END,
+         CASE WHEN NOT coalesce(r.scheduled, false) THEN 'job has no schedule to pause' END,
+         'cluster levers found nothing to change') END
+  FROM (SELECT f.*, s.severity, inv.scheduled, inv.budget_id IS NOT NULL AS found
+        FROM forecasts f JOIN status s ON s.budget_id = f.budget_id AND s.as_of = f.as_of
+         AND s.severity IN ('THROTTLE', 'CRITICAL')
+        LEFT JOIN (SELECT budget_id, 'JOB' AS wt, job_id AS wid, has_schedule AS scheduled FROM jobs
+                   UNION ALL SELECT budget_id, 'WAREHOUSE', warehouse_id, false FROM warehouses
+                   UNION ALL SELECT budget_id, 'CLUSTER', cluster_id, false FROM clusters) inv
+          ON inv.budget_id = f.budget_id AND inv.wt = f.workload_type AND inv.wid = f.workload_id
+        WHERE NOT EXISTS (SELECT 1 FROM options o WHERE o.budget_id = f.budget_id AND o.as_of = f.as_of
+                          AND o.target_id = f.workload_id
+                          AND ((f.workload_type = 'JOB' AND o.kind IN ('job_cluster_throttle', 'job_schedule_pause'))
+                            OR (f.workload_type = 'WAREHOUSE' AND o.kind = 'warehouse_throttle')
+                            OR (f.workload_type = 'CLUSTER' AND o.kind = 'idle_cluster_terminate')))) r""")

@@ -345,3 +345,46 @@ STATUS_COLS = [("budget_id", "int"), ("as_of", "ts"), ("severity", "str"), ("pac
 def q_budget_status(spark, sf_dir):
     """PAC1-PAC7, WIN1, WIN2, WIN5: pace status per budget and instant."""
     return check_tables(spark, sf_dir)[1].status
+
+
+# ---------------------------------------------------------------- decisions --
+OPTION_OUT = [("budget_id", "int"), ("as_of", "ts"), ("target_key", "str"), ("kind", "str"),
+              ("target_id", "str"), ("target_name", "str"), ("priority", "str"), ("disruption", "int"),
+              ("option_seq", "int"), ("estimated_savings", "dec"), ("spot", "bool"),
+              ("max_workers_factor", "ratio"), ("min_workers", "int"), ("spot_bid_percent", "int"),
+              ("cluster_size", "str"), ("auto_stop_mins", "int"), ("max_num_clusters", "int"),
+              ("orig_cluster_size", "str"), ("orig_auto_stop_mins", "int"), ("orig_max_num_clusters", "int")]
+
+
+@register("lever_options", OPTION_OUT, ["options"], "SELECT * FROM options")
+def q_lever_options(spark, sf_dir):
+    """LEV1-LEV7, SET2, FLT10, JOIN6, JOIN7, SRT3: every lever option."""
+    return check_tables(spark, sf_dir)[1].options
+
+
+@register("throttle_allocation",
+          OPTION_OUT + [("pick_order", "int"), ("left_before", "dec"), ("gap", "dec")],
+          ["chosen"], "SELECT * FROM chosen")
+def q_throttle_allocation(spark, sf_dir):
+    """WIN3, SRT2, DEC1, DEC2, LEV9: the options the greedy allocator takes."""
+    return check_tables(spark, sf_dir)[1].chosen
+
+
+@register("allocation_summary",
+          [("budget_id", "int"), ("as_of", "ts"), ("severity", "str"), ("gap", "dec"),
+           ("total_estimated_savings", "dec"), ("actions", "long"), ("gap_closed", "bool"),
+           ("gap_left", "dec")],
+          ["alloc_summary"], "SELECT * FROM alloc_summary")
+def q_allocation_summary(spark, sf_dir):
+    """DEC4, AGG15: modelled savings against the gap per check."""
+    return check_tables(spark, sf_dir)[1].summary
+
+
+@register("coverage_notes",
+          [("budget_id", "int"), ("as_of", "ts"), ("workload_type", "str"), ("workload_id", "str"),
+           ("name", "str"), ("forecast_usd", "money"), ("reason", "str"), ("kind", "str"),
+           ("option_count", "long"), ("option_savings", "str"), ("detail", "str")],
+          ["coverage"], "SELECT * FROM coverage")
+def q_coverage_notes(spark, sf_dir):
+    """DEC5, RPT3: per forecast workload, its candidates or why none."""
+    return check_tables(spark, sf_dir)[1].coverage

@@ -13,6 +13,7 @@ from spendpace import config as C
 from spendpace.config import PaceConfig
 from spendpace.operators import ledger as L
 from spendpace.operators import plan as P
+from spendpace.session import materialize
 from spendpace.sources import adapter, cur as cur_src, inventory, usage as usage_src
 
 
@@ -52,7 +53,7 @@ def adapter_inputs(spark: SparkSession, sf_dir: str, cfg: PaceConfig | None = No
         cur=cur,
         usage=adapter.usage(spark, sf_dir),
         prices=adapter.prices(spark, sf_dir),
-        budgets=adapter.budgets(spark, sf_dir, base_ledger),
+        budgets=materialize(adapter.budgets(spark, sf_dir, base_ledger)),
         jobs_raw=adapter.jobs_raw(spark, sf_dir, cfg.priority_tag_key),
         warehouses_raw=adapter.warehouses_raw(spark, sf_dir, cfg.priority_tag_key),
         clusters_raw=adapter.clusters_raw(spark, sf_dir, cfg.priority_tag_key),
@@ -83,16 +84,18 @@ def ledger_for(inputs: Inputs, cfg: PaceConfig, keys: DataFrame) -> DataFrame:
     return L.blended_ledger(inputs.attributed(cfg), inputs.usage_daily(), keys)
 
 
-def build_plan(inputs: Inputs, cfg: PaceConfig, instants: DataFrame) -> PlanTables:
+def build_plan(inputs: Inputs, cfg: PaceConfig, instants: DataFrame,
+               usage_hourly: DataFrame | None = None) -> PlanTables:
     """``instants``: budget rows with an ``as_of`` date column."""
-    keys = P.plan_keys(instants)
-    ledger = ledger_for(inputs, cfg, keys)
-    profile = P.dow_profile(ledger, keys, cfg.forecast.trailing_weeks)
-    plan = P.weekly_plan(ledger, keys)
-    targets = P.day_targets(plan, profile)
-    calib = P.calibration(ledger, inputs.usage_hourly(), keys,
-                          cfg.forecast.default_infra_multiplier, C.CALIBRATION_WINDOW_DAYS,
-                          C.CUR_LAG_DAYS, C.CALIBRATION_MIN_DAYS, C.MULTIPLIER_BOUNDS)
+    keys = materialize(P.plan_keys(instants))
+    ledger = materialize(ledger_for(inputs, cfg, keys))
+    profile = materialize(P.dow_profile(ledger, keys, cfg.forecast.trailing_weeks))
+    plan = materialize(P.weekly_plan(ledger, keys))
+    targets = materialize(P.day_targets(plan, profile))
+    calib = materialize(P.calibration(ledger, usage_hourly if usage_hourly is not None
+                                      else inputs.usage_hourly(), keys,
+                                      cfg.forecast.default_infra_multiplier, C.CALIBRATION_WINDOW_DAYS,
+                                      C.CUR_LAG_DAYS, C.CALIBRATION_MIN_DAYS, C.MULTIPLIER_BOUNDS))
     return PlanTables(keys, ledger, profile, plan, targets, calib)
 
 

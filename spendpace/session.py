@@ -51,3 +51,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def state_path(spark: SparkSession, name: str) -> str:
     """A table location under the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def materialize(df):
+    """Cut lineage at a stage boundary: a reliable checkpoint written to the
+    shared ``spark.checkpoint.dir`` (survives executor loss; later stages
+    plan against a scan of it instead of re-analysing the whole graph)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
