@@ -600,3 +600,91 @@ cte("coverage", ["forecasts", "status", "options", "jobs", "warehouses", "cluste
                           AND ((f.workload_type = 'JOB' AND o.kind IN ('job_cluster_throttle', 'job_schedule_pause'))
                             OR (f.workload_type = 'WAREHOUSE' AND o.kind = 'warehouse_throttle')
                             OR (f.workload_type = 'CLUSTER' AND o.kind = 'idle_cluster_terminate')))) r""")
+
+
+# ------------------------------------------------- two-step (stateful) chain --
+import re as _re  # noqa: E402
+
+
+def _closure(names: list[str]) -> list[str]:
+    order: list[str] = []
+
+    def visit(n: str) -> None:
+        if n in order:
+            return
+        for d in CTES[n][0]:
+            visit(d)
+        order.append(n)
+
+    for n in names:
+        visit(n)
+    return order
+
+
+def _depends_on(n: str, root: str) -> bool:
+    return n == root or any(_depends_on(d, root) for d in CTES[n][0])
+
+
+def step_ctes(targets: list[str], suffix: str, instants_sql: str,
+              extra: dict[str, str] | None = None) -> list[tuple[str, str]]:
+    """(name, body) of ``targets`` and their dependencies where everything
+    downstream of ``instants`` is renamed with ``suffix`` and ``instants``
+    itself is replaced by ``instants_sql``. ``extra`` maps a renamed CTE to
+    a wrapper body over ``<name>_raw<suffix>``."""
+    extra = extra or {}
+    out = []
+    for n in _closure(targets):
+        deps, body = CTES[n]
+        if not _depends_on(n, "instants"):
+            continue
+        if n == "instants":
+            body = instants_sql
+        for d in deps:
+            if _depends_on(d, "instants"):
+                new = d + suffix if d not in extra else d + "_raw" + suffix
+                new = d + suffix
+                body = _re.sub(rf"(FROM|JOIN)(\s+){d}\b", rf"\1\2{new}", body)
+        if n in extra:
+            out.append((n + "_raw" + suffix, body))
+            out.append((n + suffix, extra[n].format(raw=n + "_raw" + suffix)))
+        else:
+            out.append((n + suffix, body))
+    return out
+
+
+def chain_sql(steps: list[list[tuple[str, str]]], shared: list[str], select: str) -> str:
+    names = _closure(shared)
+    parts = [f"{n} AS ({CTES[n][1]}\n)" for n in names if not _depends_on(n, "instants")]
+    for step in steps:
+        parts += [f"{n} AS ({b}\n)" for n, b in step]
+    return "WITH " + ",\n".join(parts) + "\n" + select
+
+
+RELEASE_INSTANTS_SQL = (
+    "SELECT b.*, t AS as_of FROM budgets b CROSS JOIN (SELECT unnest(range("
+    f"TIMESTAMP '{A.RELEASE_FIRST}', TIMESTAMP '{A.RELEASE_LAST}' + INTERVAL {A.RELEASE_STEP_HOURS} HOUR, "
+    f"INTERVAL {A.RELEASE_STEP_HOURS} HOUR)) AS t)")
+FIRST_INSTANT_SQL = f"SELECT b.*, TIMESTAMP '{A.CHECK_INSTANTS[0]}' AS as_of FROM budgets b"
+
+
+def release_plan_sql(select: str) -> str:
+    step1 = step_ctes(["chosen"], "_1", FIRST_INSTANT_SQL)
+    queue = ("queue_1", """
+  SELECT budget_id, target_id AS job_id, target_name AS name, priority, estimated_savings AS est_run_cost,
+         as_of AS paused_at, CAST(pick_order AS BIGINT) AS seq
+  FROM chosen_1 WHERE kind = 'job_schedule_pause'""")
+    step2 = step_ctes(["status"], "_2", RELEASE_INSTANTS_SQL, extra={"forecasts": """
+  SELECT * FROM {raw} f WHERE NOT (f.workload_type = 'JOB' AND EXISTS (
+    SELECT 1 FROM queue_1 q WHERE q.budget_id = f.budget_id AND q.job_id = f.workload_id))"""})
+    release = ("release_2", """
+  SELECT *, NOT max(blocked) OVER (PARTITION BY budget_id, as_of ORDER BY paused_at, seq
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS released
+  FROM (SELECT q.*, s.as_of, s.day_headroom,
+          row_number() OVER (PARTITION BY q.budget_id, s.as_of ORDER BY q.paused_at, q.seq) AS queue_pos,
+          SUM(q.est_run_cost) OVER (PARTITION BY q.budget_id, s.as_of ORDER BY q.paused_at, q.seq
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_cost,
+          CAST(SUM(q.est_run_cost) OVER (PARTITION BY q.budget_id, s.as_of ORDER BY q.paused_at, q.seq
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) > s.day_headroom AS blocked
+        FROM queue_1 q JOIN status_2 s ON s.budget_id = q.budget_id
+        WHERE s.severity IN ('OK', 'WARN'))""")
+    return chain_sql([step1 + [queue], step2 + [release]], ["chosen", "status"], select)

@@ -56,6 +56,7 @@ class Query:
     build: Callable[[SparkSession, str], DataFrame]
     ctes: list[str] | None = None   # CTEs the SQL needs
     sql_from: str | None = None      # inner SELECT producing the columns
+    sql_builder: Callable[[str], str] | None = None  # custom WITH-builder
 
     def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.build(spark, sf_dir)
@@ -65,16 +66,19 @@ class Query:
         if self.sql_from is None:
             return None
         proj = ", ".join(f"{KINDS[k][1].format(n)} AS {n}" for n, k in self.columns)
-        return O.with_ctes(self.ctes or [], f"SELECT {proj} FROM ({self.sql_from}) q")
+        select = f"SELECT {proj} FROM ({self.sql_from}) q"
+        if self.sql_builder is not None:
+            return self.sql_builder(select)
+        return O.with_ctes(self.ctes or [], select)
 
 
 REGISTRY: dict[str, Query] = {}
 
 
 def register(name: str, columns: list[tuple[str, str]], ctes: list[str] | None = None,
-             sql_from: str | None = None):
+             sql_from: str | None = None, sql_builder=None):
     def deco(fn):
-        REGISTRY[name] = Query(name, columns, fn, ctes, sql_from)
+        REGISTRY[name] = Query(name, columns, fn, ctes, sql_from, sql_builder)
         return fn
     return deco
 
@@ -388,3 +392,27 @@ def q_allocation_summary(spark, sf_dir):
 def q_coverage_notes(spark, sf_dir):
     """DEC5, RPT3: per forecast workload, its candidates or why none."""
     return check_tables(spark, sf_dir)[1].coverage
+
+
+# -------------------------------------------------------------- FIFO queue --
+@register("release_plan",
+          [("budget_id", "int"), ("as_of", "ts"), ("job_id", "str"), ("name", "str"), ("priority", "str"),
+           ("est_run_cost", "dec"), ("paused_at", "ts"), ("seq", "long"), ("queue_pos", "int"),
+           ("running_cost", "dec"), ("day_headroom", "money"), ("released", "bool")],
+          sql_from="SELECT * FROM release_2", sql_builder=O.release_plan_sql)
+def q_release_plan(spark, sf_dir):
+    """QUE1, QUE2, WIN4, SRT4, JOIN5, JOIN7, AGG15: a live check at the first
+    instant pauses jobs into the FIFO queue; every later 6-hourly check
+    (with the queued jobs' forecasts removed) decides what the strict-FIFO
+    gate would release."""
+    from spendpace import config as C
+    from spendpace.operators import queue as QU
+    from spendpace.plans import check as CK
+    from spendpace.session import materialize
+    inp = inputs(spark, sf_dir)
+    first = CK.build_check(inp, _CFG, adapter.first_check_instants(inp.budgets))
+    queue = materialize(QU.enqueue(first.chosen))
+    active = materialize(QU.applied(first.chosen).filter(
+        F.col("kind").isin(*[k for k, r in C.REVERSIBLE.items() if r])))
+    later = CK.build_check(inp, _CFG, adapter.release_instants(inp.budgets), queue=queue, active=active)
+    return QU.release_plan(later.status, queue, _CFG.levers.fifo_release)

@@ -34,6 +34,9 @@ SEGMENT_PRIORITY = {"BUILDING": "critical", "MACHINERY": "low",
 #: Check instants (UTC) evaluated for every budget: the standard Tuesday
 #: 15:00, a 01:00 check whose lag window crosses midnight, and a Sunday.
 CHECK_INSTANTS = ("2024-01-23 15:00:00", "2024-01-24 01:00:00", "2024-01-28 10:00:00")
+#: Later checks for the release what-if: every 6 hours over the rest of the
+#: events (first and last inclusive).
+RELEASE_FIRST, RELEASE_LAST, RELEASE_STEP_HOURS = "2024-01-24 03:00:00", "2024-01-30 21:00:00", 6
 #: Budget amount: daily mean of the budget's attributed spend over
 #: [BUDGET_BASE_START, BUDGET_BASE_END) x 366 x (0.9 + 0.1 x budget_id).
 BUDGET_BASE_START, BUDGET_BASE_END, BUDGET_BASE_DAYS = "2023-10-01", "2024-01-01", 92
@@ -220,6 +223,18 @@ def budgets(spark: SparkSession, sf_dir: str, ledger_daily: DataFrame) -> DataFr
         F.lit(6).alias("week_start_weekday"))
 
 
+def release_instants(budgets_df: DataFrame) -> DataFrame:
+    """Every budget at each 6-hourly instant of RELEASE_FIRST..RELEASE_LAST."""
+    grid = F.sequence(F.lit(RELEASE_FIRST).cast("timestamp"), F.lit(RELEASE_LAST).cast("timestamp"),
+                      F.make_interval(hours=F.lit(RELEASE_STEP_HOURS)))
+    return budgets_df.select("*", F.explode(grid).alias("as_of"))
+
+
+def first_check_instants(budgets_df: DataFrame) -> DataFrame:
+    """Every budget at the first check instant only."""
+    return budgets_df.select("*", F.lit(CHECK_INSTANTS[0]).cast("timestamp").alias("as_of"))
+
+
 def check_instants(budgets_df: DataFrame) -> DataFrame:
     """Every budget at each of CHECK_INSTANTS (a generator over a literal
     array: budgets x instants rows, bounded by the config)."""
