@@ -4,7 +4,7 @@ is the one built for the check's date (``weekly.plan_instants``)."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,24 +19,105 @@ from spendpace.session import materialize
 from spendpace.sources import inventory as INV
 
 
-@dataclass
 class CheckTables:
-    keys: DataFrame
-    plan: W.PlanTables
-    jobs: DataFrame
-    warehouses: DataFrame
-    clusters: DataFrame
-    meta: DataFrame
-    forecasts: DataFrame
-    fraction: DataFrame
-    fill: DataFrame
-    observed: DataFrame
-    status: DataFrame
-    options: DataFrame
-    gap: DataFrame
-    chosen: DataFrame
-    summary: DataFrame
-    coverage: DataFrame
+    """The stages of a check, each built (and materialized where it is
+    reused) on first access, so a query pays only for what it reads."""
+
+    def __init__(self, inputs: W.Inputs, cfg: PaceConfig, instants: DataFrame,
+                 queue: DataFrame | None, active: DataFrame | None,
+                 pt: W.PlanTables | None, usage_hourly: DataFrame | None):
+        self.inputs, self.cfg, self.instants = inputs, cfg, instants
+        self.queue, self.active = queue, active
+        self._pt, self._uh = pt, usage_hourly
+
+    @cached_property
+    def usage_hourly(self) -> DataFrame:
+        uh = self._uh if self._uh is not None else self.inputs.usage_hourly()
+        return materialize(uh)
+
+    @cached_property
+    def plan(self) -> W.PlanTables:
+        pt = self._pt or W.build_plan(self.inputs, self.cfg, W.plan_instants(self.instants), self.usage_hourly)
+        return W.PlanTables(pt.keys, pt.ledger, pt.profile, materialize(pt.plan), materialize(pt.targets),
+                            materialize(pt.calibration))
+
+    @cached_property
+    def keys(self) -> DataFrame:
+        return FC.check_keys(self.instants, self.cfg.forecast.usage_lag_hours)
+
+    @cached_property
+    def history(self) -> DataFrame:
+        return FC.history(self.usage_hourly, self.keys, self.cfg.forecast.trailing_days)
+
+    @cached_property
+    def multipliers(self) -> DataFrame:
+        return multipliers(self.plan)
+
+    @cached_property
+    def jobs(self) -> DataFrame:
+        return INV.jobs(self.inputs.jobs_raw, self.cfg.priority_tag_key)
+
+    @cached_property
+    def warehouses(self) -> DataFrame:
+        return INV.warehouses(self.inputs.warehouses_raw, self.cfg.priority_tag_key)
+
+    @cached_property
+    def clusters(self) -> DataFrame:
+        return INV.clusters(self.inputs.clusters_raw, self.cfg.priority_tag_key)
+
+    @cached_property
+    def meta(self) -> DataFrame:
+        return INV.workload_meta(self.jobs, self.warehouses, self.clusters)
+
+    @cached_property
+    def forecasts(self) -> DataFrame:
+        return materialize(FC.forecasts(self.keys, self.history, self.multipliers, self.meta, self.queue,
+                                        self.cfg.forecast))
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        return FC.day_hour_totals(self.history)
+
+    @cached_property
+    def fraction(self) -> DataFrame:
+        return FC.intraday_fraction(self.keys, self.totals)
+
+    @cached_property
+    def fill(self) -> DataFrame:
+        return FC.lag_fill(self.keys, self.totals, self.multipliers)
+
+    @cached_property
+    def observed(self) -> DataFrame:
+        ws = self.plan.plan.select("budget_id", F.col("as_of").alias("today"), "week_start")
+        return FC.observed(self.keys, self.usage_hourly, ws, self.multipliers, self.cfg.forecast)
+
+    @cached_property
+    def status(self) -> DataFrame:
+        sums = ST.target_sums(self.keys, self.plan.targets)
+        return materialize(ST.status(self.keys, self.plan.plan, sums, self.fraction, self.fill,
+                                     self.observed, self.forecasts, self.cfg.thresholds))
+
+    @cached_property
+    def options(self) -> DataFrame:
+        return materialize(LV.options(self.forecasts, self.status, self.jobs, self.warehouses,
+                                      self.clusters, self.active, self.cfg.levers))
+
+    @cached_property
+    def gap(self) -> DataFrame:
+        return AL.gaps(self.status, AL.active_credit(self.keys, self.active))
+
+    @cached_property
+    def chosen(self) -> DataFrame:
+        return AL.allocate(self.options, self.gap)
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return AL.summary(self.gap, self.chosen)
+
+    @cached_property
+    def coverage(self) -> DataFrame:
+        return AL.coverage(self.forecasts, self.status, self.options, self.jobs, self.warehouses,
+                           self.clusters, self.active)
 
 
 def multipliers(pt: W.PlanTables) -> DataFrame:
@@ -50,27 +131,4 @@ def build_check(inputs: W.Inputs, cfg: PaceConfig, instants: DataFrame,
     ``queue(budget_id, job_id, ...)``: jobs held by the deferral queue;
     ``active(budget_id, kind, target_id, estimated_savings, ...)``: actions
     in force."""
-    fcfg = cfg.forecast
-    uh = materialize(usage_hourly if usage_hourly is not None else inputs.usage_hourly())
-    pt = pt or W.build_plan(inputs, cfg, W.plan_instants(instants), uh)
-    keys = materialize(FC.check_keys(instants, fcfg.usage_lag_hours))
-    hist = FC.history(uh, keys, fcfg.trailing_days)
-    mult = multipliers(pt)
-    jobs = INV.jobs(inputs.jobs_raw, cfg.priority_tag_key)
-    whs = INV.warehouses(inputs.warehouses_raw, cfg.priority_tag_key)
-    cls = INV.clusters(inputs.clusters_raw, cfg.priority_tag_key)
-    meta = INV.workload_meta(jobs, whs, cls)
-    fc = materialize(FC.forecasts(keys, hist, mult, meta, queue, fcfg))
-    totals = FC.day_hour_totals(hist)
-    frac = FC.intraday_fraction(keys, totals)
-    fill = FC.lag_fill(keys, totals, mult)
-    ws = pt.plan.select("budget_id", F.col("as_of").alias("today"), "week_start")
-    obs = FC.observed(keys, uh, ws, mult, fcfg)
-    sums = ST.target_sums(keys, pt.targets)
-    st = materialize(ST.status(keys, pt.plan, sums, frac, fill, obs, fc, cfg.thresholds))
-    opts = materialize(LV.options(fc, st, jobs, whs, cls, active, cfg.levers))
-    gap = AL.gaps(st, AL.active_credit(keys, active))
-    chosen = AL.allocate(opts, gap)
-    summ = AL.summary(gap, chosen)
-    cov = AL.coverage(fc, st, opts, jobs, whs, cls, active)
-    return CheckTables(keys, pt, jobs, whs, cls, meta, fc, frac, fill, obs, st, opts, gap, chosen, summ, cov)
+    return CheckTables(inputs, cfg, instants, queue, active, pt, usage_hourly)

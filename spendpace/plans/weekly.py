@@ -28,6 +28,8 @@ class Inputs:
     jobs_raw: DataFrame
     warehouses_raw: DataFrame
     clusters_raw: DataFrame
+    #: daily vendor-attributed ledger when already materialized
+    vendor_ledger: DataFrame | None = None
 
     def flagged(self, cfg: PaceConfig) -> DataFrame:
         return L.attribute(self.cur, cfg)
@@ -48,7 +50,7 @@ def adapter_inputs(spark: SparkSession, sf_dir: str, cfg: PaceConfig | None = No
     cur = L.assign_budgets(cur_src.normalize(adapter.cur_raw(spark, sf_dir), cfg),
                            adapter.budget_accounts(spark, sf_dir))
     # budget amounts come from the vendor-attributed ledger, whatever the mode
-    base_ledger = L.daily_costs(L.attributed_rows(cur, PaceConfig()))
+    base_ledger = materialize(L.daily_costs(L.attributed_rows(cur, PaceConfig())))
     return Inputs(
         cur=cur,
         usage=adapter.usage(spark, sf_dir),
@@ -57,6 +59,7 @@ def adapter_inputs(spark: SparkSession, sf_dir: str, cfg: PaceConfig | None = No
         jobs_raw=adapter.jobs_raw(spark, sf_dir, cfg.priority_tag_key),
         warehouses_raw=adapter.warehouses_raw(spark, sf_dir, cfg.priority_tag_key),
         clusters_raw=adapter.clusters_raw(spark, sf_dir, cfg.priority_tag_key),
+        vendor_ledger=base_ledger,
     )
 
 
@@ -80,22 +83,25 @@ class PlanTables:
 def ledger_for(inputs: Inputs, cfg: PaceConfig, keys: DataFrame) -> DataFrame:
     """Attributed ledger, or the blended one when usage is invoiced apart."""
     if not cfg.include_usage_invoice:
-        return L.daily_costs(inputs.attributed(cfg))
+        if inputs.vendor_ledger is not None and cfg.attribution == "vendor" \
+                and cfg.vendor == PaceConfig().vendor and cfg.tag_names == PaceConfig().tag_names \
+                and cfg.excluded_line_item_types == PaceConfig().excluded_line_item_types:
+            return inputs.vendor_ledger
+        return materialize(L.daily_costs(inputs.attributed(cfg)))
     return L.blended_ledger(inputs.attributed(cfg), inputs.usage_daily(), keys)
 
 
 def build_plan(inputs: Inputs, cfg: PaceConfig, instants: DataFrame,
                usage_hourly: DataFrame | None = None) -> PlanTables:
     """``instants``: budget rows with an ``as_of`` date column."""
-    keys = materialize(P.plan_keys(instants))
-    ledger = materialize(ledger_for(inputs, cfg, keys))
-    profile = materialize(P.dow_profile(ledger, keys, cfg.forecast.trailing_weeks))
-    plan = materialize(P.weekly_plan(ledger, keys))
-    targets = materialize(P.day_targets(plan, profile))
-    calib = materialize(P.calibration(ledger, usage_hourly if usage_hourly is not None
-                                      else inputs.usage_hourly(), keys,
-                                      cfg.forecast.default_infra_multiplier, C.CALIBRATION_WINDOW_DAYS,
-                                      C.CUR_LAG_DAYS, C.CALIBRATION_MIN_DAYS, C.MULTIPLIER_BOUNDS))
+    keys = P.plan_keys(instants)
+    ledger = ledger_for(inputs, cfg, keys)
+    profile = P.dow_profile(ledger, keys, cfg.forecast.trailing_weeks)
+    plan = P.weekly_plan(ledger, keys)
+    targets = P.day_targets(plan, profile)
+    calib = P.calibration(ledger, usage_hourly if usage_hourly is not None else inputs.usage_hourly(), keys,
+                          cfg.forecast.default_infra_multiplier, C.CALIBRATION_WINDOW_DAYS,
+                          C.CUR_LAG_DAYS, C.CALIBRATION_MIN_DAYS, C.MULTIPLIER_BOUNDS)
     return PlanTables(keys, ledger, profile, plan, targets, calib)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -54,8 +55,15 @@ def state_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df):
-    """Cut lineage at a stage boundary: a reliable checkpoint written to the
-    shared ``spark.checkpoint.dir`` (survives executor loss; later stages
-    plan against a scan of it instead of re-analysing the whole graph)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage at a stage boundary by writing the stage as a parquet
+    table under the shared ``spark.checkpoint.dir`` and reading it back.
+
+    The plan is computed once (an RDD checkpoint computes it twice), the
+    files survive executor loss, and the read-back scan carries real size
+    statistics, so later joins against small stage tables are planned as
+    broadcasts by Spark's own size threshold and large ones stay shuffled.
+    """
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "stage-" + uuid.uuid4().hex)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
