@@ -416,3 +416,50 @@ def q_release_plan(spark, sf_dir):
         F.col("kind").isin(*[k for k, r in C.REVERSIBLE.items() if r])))
     later = CK.build_check(inp, _CFG, adapter.release_instants(inp.budgets), queue=queue, active=active)
     return QU.release_plan(later.status, queue, _CFG.levers.fifo_release)
+
+
+# --------------------------------------------------------------- streaming --
+def _stream_rollup(spark: SparkSession, sf_dir: str):
+    import uuid
+    from spendpace.session import checkpoint_dir
+    from spendpace.streaming import usage_stream as US
+    schema = adapter.table(spark, sf_dir, "events").schema
+    events = US.file_stream(spark, sf_dir, schema, glob="events.parquet")
+    rollup = US.hourly_rollup(adapter.usage_from_events(events), adapter.prices(spark, sf_dir),
+                              _CFG.forecast.usage_lag_hours)
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    return US, rollup, base
+
+
+@register("usage_hourly_stream", REGISTRY["usage_hourly"].columns, ["usage_hourly"], f"""
+  SELECT * FROM usage_hourly
+  WHERE hour_start + INTERVAL 1 HOUR <= (SELECT max(CAST(ts AS TIMESTAMP)) FROM events)
+                                        - INTERVAL {_CFG.forecast.usage_lag_hours} HOUR""")
+def q_usage_hourly_stream(spark, sf_dir):
+    """STR1: streaming hourly rollup (watermark = usage lag, 1-hour windows,
+    stream-static price join), run to completion with availableNow; hours
+    still inside the lag are not yet emitted."""
+    US, rollup, base = _stream_rollup(spark, sf_dir)
+    US.run_available_now(rollup, f"{base}/out", f"{base}/ckpt")
+    return spark.read.parquet(f"{base}/out")
+
+
+@register("stream_budget_status", STATUS_COLS, ["status"], "SELECT * FROM status")
+def q_stream_budget_status(spark, sf_dir):
+    """STR2: foreachBatch over the streamed rollup runs the batch pace
+    status for the check instants; the result of the last epoch is read."""
+    from spendpace.plans import check as CK
+    inp = inputs(spark, sf_dir)
+    instants = adapter.check_instants(inp.budgets)
+    US, rollup, base = _stream_rollup(spark, sf_dir)
+
+    def status_for(hours):
+        return CK.build_check(inp, _CFG, instants, usage_hourly=hours).status
+
+    handler = US.foreach_batch_pace(spark, status_for, base)
+    q = (rollup.writeStream.outputMode("append").foreachBatch(handler)
+         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    import os
+    epochs = sorted(int(e.split("=")[1]) for e in os.listdir(f"{base}/status") if e.startswith("epoch="))
+    return spark.read.parquet(f"{base}/status/epoch={epochs[-1]}")

@@ -97,13 +97,18 @@ def budget_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metered usage from events; workspace (= budget) is user_id % 5 and
-    the workload kind is user_id % 4 (job, warehouse, cluster, none)."""
-    ev = table(spark, sf_dir, "events").select("ts", "user_id", "event_type", "value")
+    """Metered usage from events (see ``usage_from_events``)."""
+    return usage_from_events(table(spark, sf_dir, "events"))
+
+
+def usage_from_events(events: DataFrame) -> DataFrame:
+    """Workspace (= budget) is user_id % 5 and the workload kind is
+    user_id % 4 (job, warehouse, cluster, none). Row-wise only, so it
+    applies to a stream of events as well."""
     uid = F.col("user_id")
     kind = uid % 4
     uid_s = uid.cast("string")
-    return ev.select(
+    return events.select(
         (uid % 5).cast("int").alias("budget_id"),
         F.col("ts").cast("timestamp").alias("usage_start_time"),
         F.col("event_type").alias("sku_name"),
