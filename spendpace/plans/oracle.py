@@ -688,3 +688,54 @@ def release_plan_sql(select: str) -> str:
         FROM queue_1 q JOIN status_2 s ON s.budget_id = q.budget_id
         WHERE s.severity IN ('OK', 'WARN'))""")
     return chain_sql([step1 + [queue], step2 + [release]], ["chosen", "status"], select)
+
+
+# ------------------------------------------------------------ spec rewrite --
+def _spec_side(origin: str, key: str, size: str, cond: str) -> str:
+    n0 = f"CASE WHEN s.c_nationkey % 3 <> 0 THEN CAST({size} AS INTEGER) END"
+    mx0 = f"CASE WHEN s.c_nationkey % 3 = 0 THEN CAST({size} + 1 AS INTEGER) END"
+    mn0 = "CASE WHEN s.c_nationkey % 3 = 0 THEN 2 END"
+    cap_fixed = f"greatest(coalesce(c.min_workers, 1), CAST(floor({n0} * c.max_workers_factor) AS INTEGER))"
+    cap_auto = f"greatest(coalesce(c.min_workers, 1), CAST(floor(coalesce({mx0}, 1) * c.max_workers_factor) AS INTEGER))"
+    new_max = f"least(coalesce({mx0}, {cap_auto}), {cap_auto})"
+    return f"""
+  SELECT c.budget_id, c.as_of, c.target_id AS job_id, '{origin}' AS origin, '{key}' AS key,
+    {n0} AS orig_num_workers,
+    CASE WHEN s.c_nationkey % 3 <> 0 AND c.max_workers_factor IS NOT NULL
+         THEN least({n0}, {cap_fixed}) ELSE {n0} END AS num_workers,
+    {mn0} AS orig_min_workers,
+    CASE WHEN s.c_nationkey % 3 = 0 AND c.max_workers_factor IS NOT NULL
+         THEN least(coalesce({mn0}, 1), {new_max}) ELSE {mn0} END AS min_workers,
+    {mx0} AS orig_max_workers,
+    CASE WHEN s.c_nationkey % 3 = 0 AND c.max_workers_factor IS NOT NULL THEN {new_max} ELSE {mx0} END AS max_workers,
+    'ON_DEMAND' AS orig_availability,
+    CASE WHEN coalesce(c.spot, false) OR c.spot_bid_percent IS NOT NULL THEN 'SPOT' ELSE 'ON_DEMAND' END AS availability,
+    CASE WHEN coalesce(c.spot, false) THEN coalesce(CASE WHEN s.c_nationkey % 2 = 0 THEN 2 END, 1)
+         ELSE CASE WHEN s.c_nationkey % 2 = 0 THEN 2 END END AS first_on_demand,
+    c.spot_bid_percent AS spot_bid_price_percent
+  FROM chosen c JOIN inv_customers s ON c.budget_id = s.budget_id AND c.target_id = CAST(s.c_custkey AS VARCHAR)
+  WHERE c.kind = 'job_cluster_throttle' AND s.c_custkey % 4 = 0 AND {cond}"""
+
+
+cte("spec_changes", ["chosen", "inv_customers"],
+    _spec_side("job_cluster", "main", "s.c_custkey % 10 + 1", "true") + "\n  UNION ALL" +
+    _spec_side("task", "etl", "s.c_custkey % 5 + 1", "s.c_custkey % 8 = 0"))
+
+
+cte("plan_in_force", ["weekly_plan", "budgets"], f"""
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT c.budget_id, c.as_of, p.as_of AS plan_as_of, p.fy_label, p.week_start, p.week_end, p.weekly_allowance,
+           row_number() OVER (PARTITION BY c.budget_id, c.as_of ORDER BY p.as_of DESC) AS rn
+    FROM ({RELEASE_INSTANTS_SQL}) c
+    JOIN weekly_plan p ON p.budget_id = c.budget_id AND p.as_of <= CAST(c.as_of AS DATE)
+     AND p.week_start <= CAST(c.as_of AS DATE) AND CAST(c.as_of AS DATE) < p.week_end)
+  WHERE rn = 1""")
+
+cte("audit", ["weekly_plan", "calibration", "status", "alloc_summary"], """
+  SELECT p.budget_id, CAST(p.as_of AS TIMESTAMP) AS event_at, 'plan' AS event, p.weekly_allowance,
+         c.global_multiplier, CAST(NULL AS VARCHAR) AS severity, CAST(NULL AS DOUBLE) AS pace_ratio,
+         CAST(NULL AS BIGINT) AS actions
+  FROM weekly_plan p LEFT JOIN calibration c ON c.budget_id = p.budget_id AND c.as_of = p.as_of
+  UNION ALL
+  SELECT s.budget_id, s.as_of, 'check', NULL, NULL, s.severity, s.pace_ratio, a.actions
+  FROM status s LEFT JOIN alloc_summary a ON a.budget_id = s.budget_id AND a.as_of = s.as_of""")

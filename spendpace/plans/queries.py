@@ -463,3 +463,97 @@ def q_stream_budget_status(spark, sf_dir):
     import os
     epochs = sorted(int(e.split("=")[1]) for e in os.listdir(f"{base}/status") if e.startswith("epoch="))
     return spark.read.parquet(f"{base}/status/epoch={epochs[-1]}")
+
+
+# ------------------------------------------------- proposed changes, reports --
+@register("job_cluster_changes",
+          [("budget_id", "int"), ("as_of", "ts"), ("job_id", "str"), ("origin", "str"), ("key", "str"),
+           ("orig_num_workers", "int"), ("num_workers", "int"), ("orig_min_workers", "int"),
+           ("min_workers", "int"), ("orig_max_workers", "int"), ("max_workers", "int"),
+           ("orig_availability", "str"), ("availability", "str"), ("first_on_demand", "int"),
+           ("spot_bid_price_percent", "int")],
+          ["spec_changes"], "SELECT * FROM spec_changes")
+def q_job_cluster_changes(spark, sf_dir):
+    """LEV7, LEV8: nested job-cluster spec rewrites of the chosen throttles
+    (flattened: one row per rewritten cluster)."""
+    from spendpace.operators import specs as SP
+    inp, ct = check_tables(spark, sf_dir)
+    return SP.flatten_changes(SP.job_cluster_changes(ct.chosen, adapter.job_specs(spark, sf_dir)))
+
+
+@register("warehouse_changes",
+          [("budget_id", "int"), ("as_of", "ts"), ("warehouse_id", "str"), ("target_name", "str"),
+           ("orig_cluster_size", "str"), ("cluster_size", "str"), ("orig_auto_stop_mins", "int"),
+           ("auto_stop_mins", "int"), ("orig_max_num_clusters", "int"), ("max_num_clusters", "int"),
+           ("estimated_savings", "dec")],
+          ["chosen"], """
+  SELECT budget_id, as_of, target_id AS warehouse_id, target_name, orig_cluster_size, cluster_size,
+         orig_auto_stop_mins, auto_stop_mins, orig_max_num_clusters, max_num_clusters, estimated_savings
+  FROM chosen WHERE kind = 'warehouse_throttle'""")
+def q_warehouse_changes(spark, sf_dir):
+    """LEV9: proposed warehouse settings with the originals."""
+    from spendpace.operators import specs as SP
+    return SP.warehouse_changes(check_tables(spark, sf_dir)[1].chosen)
+
+
+@register("check_summary",
+          [("budget_id", "int"), ("as_of", "ts"), ("severity", "str"), ("pace_ratio", "ratio"),
+           ("spend_week_to_date", "money"), ("expected_week_to_date", "money"), ("spend_today", "money"),
+           ("forecast_remaining_today", "money"), ("day_target", "money"),
+           ("required_reduction_today", "money"), ("projected_week_end", "money"), ("gap", "dec"),
+           ("actions", "long"), ("total_estimated_savings", "dec"), ("gap_closed", "bool")],
+          ["status", "alloc_summary"], """
+  SELECT s.*, a.gap, a.actions, a.total_estimated_savings, a.gap_closed
+  FROM status s JOIN alloc_summary a ON a.budget_id = s.budget_id AND a.as_of = s.as_of""")
+def q_check_summary(spark, sf_dir):
+    """RPT2: status with the decision summary per check."""
+    ct = check_tables(spark, sf_dir)[1]
+    return ct.status.join(ct.summary.drop("severity"), ["budget_id", "as_of"])
+
+
+@register("action_descriptions",
+          [("budget_id", "int"), ("as_of", "ts"), ("pick_order", "int"), ("kind", "str"),
+           ("target_id", "str"), ("description", "str")])
+def q_action_descriptions(spark, sf_dir):
+    """RPT4: one line per chosen action (text; compared by rows only)."""
+    from spendpace.operators import specs as SP
+    return SP.describe(check_tables(spark, sf_dir)[1].chosen)
+
+
+# ------------------------------------------------------------------- state --
+@register("plan_in_force",
+          [("budget_id", "int"), ("as_of", "ts"), ("plan_as_of", "date"), ("fy_label", "str"),
+           ("week_start", "date"), ("week_end", "date"), ("weekly_allowance", "money")],
+          ["plan_in_force"], "SELECT * FROM plan_in_force")
+def q_plan_in_force(spark, sf_dir):
+    """SNK1, SRC10, WIN5: plans stored as versions for the check dates are
+    read back; each later 6-hourly check takes the latest plan built on or
+    before its date whose budget week holds it."""
+    import uuid
+    from spendpace.session import checkpoint_dir
+    from spendpace.sources import state as SS
+    inp, pt = plan_tables(spark, sf_dir)
+    path = f"{checkpoint_dir(spark)}/plans-{uuid.uuid4().hex}"
+    SS.write_version(W.plan_columns(pt.plan), path)
+    stored = SS.read_versions(spark, path)
+    return SS.plan_in_force(stored, adapter.release_instants(inp.budgets))
+
+
+@register("audit_tail",
+          [("budget_id", "int"), ("event_at", "ts"), ("event", "str"), ("weekly_allowance", "money"),
+           ("global_multiplier", "ratio"), ("severity", "str"), ("pace_ratio", "ratio"), ("actions", "long"),
+           ("recent_rank", "int")],
+          ["audit"], """
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY budget_id ORDER BY event_at DESC, event DESC) AS recent_rank
+                 FROM audit) WHERE recent_rank <= 4""")
+def q_audit_tail(spark, sf_dir):
+    """SNK2, SRT5, RPT5: plan and check events appended to the audit log
+    (partitioned by date), then the last 4 entries per budget."""
+    import uuid
+    from spendpace.session import checkpoint_dir
+    from spendpace.sources import state as SS
+    inp, ct = check_tables(spark, sf_dir)
+    path = f"{checkpoint_dir(spark)}/audit-{uuid.uuid4().hex}"
+    SS.append_audit(SS.audit_events(plan=ct.plan.plan, calibration=ct.plan.calibration,
+                                    status=ct.status, summary=ct.summary), path)
+    return SS.audit_tail(SS.read_audit(spark, path), 4)

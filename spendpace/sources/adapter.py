@@ -245,3 +245,27 @@ def check_instants(budgets_df: DataFrame) -> DataFrame:
     array: budgets x instants rows, bounded by the config)."""
     arr = F.array(*[F.lit(t).cast("timestamp") for t in CHECK_INSTANTS])
     return budgets_df.select("*", F.explode(arr).alias("as_of"))
+
+
+def job_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job settings with nested cluster specs: one job cluster ('main'),
+    fixed size or autoscaling by c_nationkey % 3, and one task ('etl') that
+    carries its own cluster for every eighth job."""
+    c = _inventory_customers(spark, sf_dir).filter(F.col("c_custkey") % 4 == 0)
+    nk, ck = F.col("c_nationkey"), F.col("c_custkey")
+
+    def cluster(size: Column) -> Column:
+        return F.struct(
+            F.when(nk % 3 != 0, size).cast("int").alias("num_workers"),
+            F.when(nk % 3 == 0, F.struct(F.lit(2).alias("min_workers"),
+                                          (size + 1).cast("int").alias("max_workers"))).alias("autoscale"),
+            F.struct(F.lit("ON_DEMAND").alias("availability"),
+                     F.when(nk % 2 == 0, F.lit(2)).cast("int").alias("first_on_demand"),
+                     F.lit(None).cast("int").alias("spot_bid_price_percent")).alias("aws_attributes"))
+
+    return c.select(
+        "budget_id", ck.cast("string").alias("job_id"),
+        F.array(F.struct(F.lit("main").alias("job_cluster_key"),
+                         cluster(ck % 10 + 1).alias("new_cluster"))).alias("job_clusters"),
+        F.array(F.struct(F.lit("etl").alias("task_key"),
+                         F.when(ck % 8 == 0, cluster(ck % 5 + 1)).alias("new_cluster"))).alias("tasks"))
