@@ -739,3 +739,30 @@ cte("audit", ["weekly_plan", "calibration", "status", "alloc_summary"], """
   UNION ALL
   SELECT s.budget_id, s.as_of, 'check', NULL, NULL, s.severity, s.pace_ratio, a.actions
   FROM status s LEFT JOIN alloc_summary a ON a.budget_id = s.budget_id AND a.as_of = s.as_of""")
+
+
+cte("ledger_blended", ["flagged", "pk", "usage_daily"], """
+  SELECT coalesce(c.budget_id, u.budget_id) AS budget_id, coalesce(c.as_of, u.as_of) AS as_of,
+         coalesce(c.usage_date, u.usage_date) AS usage_date,
+         CAST(coalesce(c.cost, 0) + coalesce(u.dbu_dollars, 0) AS DECIMAL(18,4)) AS cost
+  FROM (SELECT k.budget_id, k.as_of, d.usage_date, d.cost
+        FROM (SELECT DISTINCT budget_id, as_of FROM pk) k
+        JOIN (SELECT budget_id, usage_date, CAST(SUM(cost) AS DECIMAL(18,4)) AS cost FROM flagged
+              WHERE attributed AND NOT is_marketplace AND usage_date IS NOT NULL GROUP BY ALL) d
+          ON d.budget_id = k.budget_id) c
+  FULL JOIN (SELECT k.budget_id, k.as_of, u.usage_date, u.dbu_dollars
+             FROM (SELECT DISTINCT budget_id, as_of, fy_start FROM pk) k
+             JOIN usage_daily u ON u.budget_id = k.budget_id AND u.usage_date >= k.fy_start
+              AND u.usage_date <= k.as_of) u
+    ON c.budget_id = u.budget_id AND c.as_of = u.as_of AND c.usage_date = u.usage_date""")
+
+cte("calibration_in_force", ["calibration", "budgets"], f"""
+  SELECT c.budget_id, c.as_of, coalesce(s.global_multiplier, CAST(1.6 AS DOUBLE)) AS global_multiplier,
+         coalesce(s.window_days, 0) AS window_days, s.as_of AS calibrated_on
+  FROM ({RELEASE_INSTANTS_SQL}) c
+  LEFT JOIN (SELECT * FROM (
+      SELECT c2.budget_id, c2.as_of AS check_at, k.as_of, k.global_multiplier, k.window_days,
+             row_number() OVER (PARTITION BY c2.budget_id, c2.as_of ORDER BY k.as_of DESC) AS rn
+      FROM ({RELEASE_INSTANTS_SQL}) c2 JOIN calibration k
+        ON k.budget_id = c2.budget_id AND k.as_of <= CAST(c2.as_of AS DATE)) WHERE rn = 1) s
+    ON s.budget_id = c.budget_id AND s.check_at = c.as_of""")

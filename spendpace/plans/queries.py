@@ -557,3 +557,44 @@ def q_audit_tail(spark, sf_dir):
     SS.append_audit(SS.audit_events(plan=ct.plan.plan, calibration=ct.plan.calibration,
                                     status=ct.status, summary=ct.summary), path)
     return SS.audit_tail(SS.read_audit(spark, path), 4)
+
+
+@register("calibration_in_force",
+          [("budget_id", "int"), ("as_of", "ts"), ("global_multiplier", "ratio"), ("window_days", "int"),
+           ("calibrated_on", "date")],
+          ["calibration_in_force"], "SELECT * FROM calibration_in_force")
+def q_calibration_in_force(spark, sf_dir):
+    """AGG17, JOIN8: calibrations stored for the check dates are read back;
+    each later check uses the latest one made on or before its date, else
+    the configured default."""
+    import uuid
+    from spendpace.session import checkpoint_dir
+    from spendpace.sources import state as SS
+    inp, pt = plan_tables(spark, sf_dir)
+    path = f"{checkpoint_dir(spark)}/calibration-{uuid.uuid4().hex}"
+    SS.write_version(pt.calibration, path)
+    return SS.calibration_in_force(SS.read_versions(spark, path), adapter.release_instants(inp.budgets),
+                                   _CFG.forecast.default_infra_multiplier)
+
+
+@register("ledger_blended", [("budget_id", "int"), ("as_of", "date"), ("usage_date", "date"), ("cost", "dec")],
+          ["ledger_blended"], "SELECT * FROM ledger_blended")
+def q_ledger_blended(spark, sf_dir):
+    """PLN1, JOIN2, FLT6, SRC6: ledger when usage is invoiced separately:
+    non-marketplace line items plus priced usage from the FY start through
+    each plan date (full outer join on the date)."""
+    from spendpace.operators import ledger as L
+    from spendpace.operators import plan as P
+    cfg = PaceConfig(include_usage_invoice=True)
+    inp = inputs(spark, sf_dir, cfg)
+    keys = P.plan_keys(W.plan_instants(adapter.check_instants(inp.budgets)))
+    return L.blended_ledger(inp.attributed(cfg), inp.usage_daily(), keys)
+
+
+@register("cur_quality",
+          [("rows", "long"), ("rows_with_start", "long"), ("rows_with_cost", "long")],
+          ["cur"], "SELECT COUNT(*) AS rows, COUNT(usage_start) AS rows_with_start, COUNT(cost) AS rows_with_cost FROM cur")
+def q_cur_quality(spark, sf_dir):
+    """PRJ4: required-column data-quality counts over the line items."""
+    from spendpace.sources import cur as CUR
+    return CUR.required_column_check(inputs(spark, sf_dir).cur)

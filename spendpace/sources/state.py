@@ -49,15 +49,15 @@ def calibration_in_force(stored: DataFrame | None, checks: DataFrame, default_mu
     c = checks.select("budget_id", "as_of").withColumn("check_date", F.to_date("as_of"))
     if stored is None:
         return c.select("budget_id", "as_of", F.lit(default_multiplier).alias("global_multiplier"),
-                        F.lit(0).alias("window_days"))
-    s = stored.select("budget_id", F.col("as_of").alias("cal_as_of"), "global_multiplier", "window_days")
-    j = c.join(s, "budget_id", "left").filter(
-        F.col("cal_as_of").isNull() | (F.col("cal_as_of") <= F.col("check_date")))
-    j = latest(j, ["budget_id", "as_of"], "cal_as_of")
-    out = c.join(j.select("budget_id", "as_of", "global_multiplier", "window_days"), ["budget_id", "as_of"], "left")
+                        F.lit(0).alias("window_days"), F.lit(None).cast("date").alias("calibrated_on"))
+    s = stored.select("budget_id", F.col("as_of").alias("calibrated_on"), "global_multiplier", "window_days")
+    j = c.join(s, "budget_id", "inner").filter(F.col("calibrated_on") <= F.col("check_date"))
+    j = latest(j, ["budget_id", "as_of"], "calibrated_on")
+    out = c.join(j.select("budget_id", "as_of", "global_multiplier", "window_days", "calibrated_on"),
+                 ["budget_id", "as_of"], "left")
     return out.select("budget_id", "as_of",
                       F.coalesce("global_multiplier", F.lit(default_multiplier)).alias("global_multiplier"),
-                      F.coalesce("window_days", F.lit(0)).alias("window_days"))
+                      F.coalesce("window_days", F.lit(0)).alias("window_days"), "calibrated_on")
 
 
 def audit_events(plan: DataFrame | None = None, calibration: DataFrame | None = None,
