@@ -1,4 +1,4 @@
-"""Reference SQL (DuckDB dialect) for every registered query.
+"""Oracle SQL (DuckDB dialect) for every registered query.
 
 The driver registers the test tables as views and runs these statements next
 to the Spark queries. Each statement is assembled from named common table

@@ -54,7 +54,9 @@ def adapter_inputs(spark: SparkSession, sf_dir: str, cfg: PaceConfig | None = No
     return Inputs(
         cur=cur,
         usage=adapter.usage(spark, sf_dir),
-        prices=adapter.prices(spark, sf_dir),
+        # the price list is a small catalogue: materialized, its measured
+        # size lets Spark broadcast it into the usage join (no SKU shuffle)
+        prices=materialize(adapter.prices(spark, sf_dir)),
         budgets=materialize(adapter.budgets(spark, sf_dir, base_ledger)),
         jobs_raw=adapter.jobs_raw(spark, sf_dir, cfg.priority_tag_key),
         warehouses_raw=adapter.warehouses_raw(spark, sf_dir, cfg.priority_tag_key),

@@ -40,7 +40,7 @@ RELEASE_FIRST, RELEASE_LAST, RELEASE_STEP_HOURS = "2024-01-24 03:00:00", "2024-0
 #: Budget amount: daily mean of the budget's attributed spend over
 #: [BUDGET_BASE_START, BUDGET_BASE_END) x 366 x (0.9 + 0.1 x budget_id).
 BUDGET_BASE_START, BUDGET_BASE_END, BUDGET_BASE_DAYS = "2023-10-01", "2024-01-01", 92
-#: Reference instant for cluster activity: idle minutes = (custkey % 7) * 10.
+#: Anchor instant for cluster activity: idle minutes = (custkey % 7) * 10.
 ACTIVITY_ANCHOR = "2024-01-23 15:00:00"
 
 N_BUDGETS_COL = "r_regionkey"
