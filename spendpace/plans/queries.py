@@ -59,6 +59,7 @@ class Query:
     sql_builder: Callable[[str], str] | None = None  # custom WITH-builder
 
     def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # calendar math is UTC
         df = self.build(spark, sf_dir)
         return df.select(*[KINDS[k][0](F.col(n)).alias(n) for n, k in self.columns])
 
