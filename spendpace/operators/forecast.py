@@ -4,6 +4,8 @@ History for a check on day D is the hourly usage of the ``trailing_days``
 complete days before D. The sample pool is the same-weekday days of that
 history when there are at least two, else all its days; it is shared by all
 workloads of the budget. A day with no row for a workload counts as zero.
+The pool is decided on the small (budget, date) presence table; hourly rows
+are then joined only to the pool dates of each check day (usually two).
 
 Everything that depends on the day but not on the hour is computed once per
 (budget_id, today): pooled dollars per (workload, hour-of-day) on a dense
@@ -45,46 +47,70 @@ def _with_date(usage_hourly: DataFrame) -> DataFrame:
             .withColumn("hour", F.hour("hour_start")))
 
 
-def history(usage_hourly: DataFrame, keys: DataFrame, trailing_days: int) -> DataFrame:
-    """Hourly usage rows of the complete days ``[today - n, today)`` of every
-    (budget_id, today), each flagged ``in_pool``, with ``pool_size``."""
+def pool_days(usage_hourly: DataFrame, keys: DataFrame, trailing_days: int) -> DataFrame:
+    """(budget_id, today, usage_date, in_pool, pool_size) for every date of
+    the trailing window that has any usage. Built from the tiny
+    (budget, date) presence table, so it never touches the hourly rows."""
+    presence = usage_hourly.select("budget_id", F.to_date("hour_start").alias("usage_date")).distinct()
     day_keys = keys.select(*DAY_KEY, "today_wd").distinct()
     dates = day_keys.select(*DAY_KEY, "today_wd", F.explode(fiscal.week_dates(
         F.date_sub("today", trailing_days), F.col("today"))).alias("usage_date"))
-    hist = dates.join(_with_date(usage_hourly), ["budget_id", "usage_date"], "inner")
-    days = hist.select(*DAY_KEY, "today_wd", "usage_date").distinct()
+    days = dates.join(presence, ["budget_id", "usage_date"], "inner")
     per_key = Window.partitionBy(*DAY_KEY)
     same = F.weekday("usage_date") == F.col("today_wd")
-    days = (days.withColumn("n_same", F.count_if(same).over(per_key))
-            .withColumn("use_same", F.col("n_same") >= MIN_WEEKDAY_SAMPLES)
-            .withColumn("in_pool", ~F.col("use_same") | same)
+    return (days.withColumn("n_same", F.count_if(same).over(per_key))
+            .withColumn("in_pool", (F.col("n_same") < MIN_WEEKDAY_SAMPLES) | same)
             .withColumn("pool_size", F.count_if(F.col("in_pool")).over(per_key))
             .select(*DAY_KEY, "usage_date", "in_pool", "pool_size"))
-    return hist.join(days, DAY_KEY + ["usage_date"], "inner")
+
+
+def history(usage_hourly: DataFrame, keys: DataFrame, trailing_days: int,
+            days: DataFrame | None = None) -> DataFrame:
+    """Hourly usage rows of the **pool** days of every (budget_id, today),
+    with ``pool_size``. Each hourly row is joined only to the check days
+    whose pool holds its date (two same-weekday dates in the usual case),
+    by an equi-join on (budget_id, date)."""
+    days = days if days is not None else pool_days(usage_hourly, keys, trailing_days)
+    pool = days.filter("in_pool").select(*DAY_KEY, "usage_date", "pool_size")
+    return pool.join(_with_date(usage_hourly), ["budget_id", "usage_date"], "inner")
+
+
+def modal_compute_type(usage_hourly: DataFrame, days: DataFrame) -> DataFrame:
+    """Most frequent compute type per (budget_id, today, workload) over the
+    whole trailing window (hourly rows counted; smallest name on a tie).
+    Counts are pre-aggregated per (budget, date, workload, type) first."""
+    daily = (_with_date(usage_hourly)
+             .groupBy("budget_id", "usage_date", "workload_type", "workload_id", "compute_type")
+             .agg(F.count(F.lit(1)).alias("n")))
+    win = days.select(*DAY_KEY, "usage_date").join(daily, ["budget_id", "usage_date"], "inner")
+    wk = DAY_KEY + ["workload_type", "workload_id"]
+    counts = win.groupBy(*wk, "compute_type").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy(*wk).orderBy(F.col("n").desc(), F.col("compute_type"))
+    return (counts.withColumn("_r", F.row_number().over(order)).filter("_r = 1")
+            .select(*wk, "compute_type"))
 
 
 def _dense_hours(df: DataFrame, key: list[str]) -> DataFrame:
     return df.select(*key).distinct().select(*key, F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
 
 
-def workload_day_profile(hist: DataFrame) -> DataFrame:
+def workload_day_profile(hist: DataFrame, modes: DataFrame) -> DataFrame:
     """Per (budget_id, today, workload): pooled dollars from each hour of the
-    day to midnight (suffix sums), the pool size and the modal compute type
-    (most hourly rows over the whole window; smallest name on a tie)."""
+    day to midnight (suffix sums over a dense 24-hour grid), the pool size
+    and the modal compute type."""
     wk = DAY_KEY + ["workload_type", "workload_id"]
-    pooled = (hist.filter("in_pool").groupBy(*wk, "hour")
-              .agg(F.sum("dbu_dollars").alias("dbu")))
-    meta = hist.groupBy(*wk).agg(F.mode("compute_type", deterministic=True).alias("compute_type"),
-                                 F.max("pool_size").alias("pool_size"))
-    grid = _dense_hours(meta, wk).join(pooled, wk + ["hour"], "left")
+    pooled = (hist.groupBy(*wk, "hour")
+              .agg(F.sum("dbu_dollars").alias("dbu"), F.max("pool_size").alias("pool_size")))
+    meta = pooled.groupBy(*wk).agg(F.max("pool_size").alias("pool_size")).join(modes, wk, "inner")
+    grid = _dense_hours(meta, wk).join(pooled.drop("pool_size"), wk + ["hour"], "left")
     suffix = Window.partitionBy(*wk).orderBy(F.col("hour").desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     grid = grid.withColumn("rest_of_day", F.coalesce(F.sum("dbu").over(suffix), F.lit(0)))
     return grid.join(meta, wk, "inner")
 
 
-def forecasts(keys: DataFrame, hist: DataFrame, multipliers: DataFrame, meta: DataFrame | None,
-              queue: DataFrame | None, cfg: Forecasting) -> DataFrame:
+def forecasts(keys: DataFrame, hist: DataFrame, modes: DataFrame, multipliers: DataFrame,
+              meta: DataFrame | None, queue: DataFrame | None, cfg: Forecasting) -> DataFrame:
     """Rest-of-day all-in forecast per workload and check instant.
 
     ``multipliers(budget_id, today, global_multiplier)``; overrides come
@@ -92,7 +118,7 @@ def forecasts(keys: DataFrame, hist: DataFrame, multipliers: DataFrame, meta: Da
     priority)``; unknown workloads get a default name and ``normal``.
     Jobs waiting in ``queue(budget_id, job_id)`` are removed.
     """
-    prof = workload_day_profile(hist)
+    prof = workload_day_profile(hist, modes)
     k = keys.select("budget_id", "as_of", "today", F.col("now_hour").alias("hour"))
     f = (k.join(prof, DAY_KEY + ["hour"], "inner")
          .withColumn("dbu_forecast", F.col("rest_of_day").cast("double") / F.col("pool_size"))
@@ -115,9 +141,12 @@ def forecasts(keys: DataFrame, hist: DataFrame, multipliers: DataFrame, meta: Da
         queued = queue.select("budget_id", F.col("job_id").alias("workload_id"),
                               F.lit("JOB").alias("workload_type")).distinct()
         f = f.join(queued, ["budget_id", "workload_type", "workload_id"], "left_anti")
+    rank = Window.partitionBy("budget_id", "as_of").orderBy(
+        F.col("forecast_usd").desc(), F.col("workload_type"), F.col("workload_id"))
     return f.select("budget_id", "as_of", "workload_type", "workload_id", "name", "priority",
                     "compute_type", "dbu_forecast", "multiplier",
-                    F.col("pool_size").alias("sample_days"), "forecast_usd")
+                    F.col("pool_size").alias("sample_days"), "forecast_usd",
+                    F.row_number().over(rank).alias("forecast_rank"))
 
 
 def multiplier_for(compute_type, global_multiplier, cfg: Forecasting):
@@ -130,7 +159,7 @@ def multiplier_for(compute_type, global_multiplier, cfg: Forecasting):
 def day_hour_totals(hist: DataFrame) -> DataFrame:
     """Pooled dollars of all workloads per (budget_id, today, hour) on a
     dense grid, with pool size and the pooled day total."""
-    tot = hist.filter("in_pool").groupBy(*DAY_KEY, "hour").agg(F.sum("dbu_dollars").alias("dbu"))
+    tot = hist.groupBy(*DAY_KEY, "hour").agg(F.sum("dbu_dollars").alias("dbu"))
     size = hist.groupBy(*DAY_KEY).agg(F.max("pool_size").alias("pool_size"))
     grid = _dense_hours(size, DAY_KEY).join(tot, DAY_KEY + ["hour"], "left").fillna(0, ["dbu"])
     before = Window.partitionBy(*DAY_KEY).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)

@@ -45,9 +45,17 @@ class CheckTables:
     def keys(self) -> DataFrame:
         return FC.check_keys(self.instants, self.cfg.forecast.usage_lag_hours)
 
+    @cached_property
+    def pool_days(self) -> DataFrame:
+        return FC.pool_days(self.usage_hourly, self.keys, self.cfg.forecast.trailing_days)
+
     @cached_property
     def history(self) -> DataFrame:
-        return FC.history(self.usage_hourly, self.keys, self.cfg.forecast.trailing_days)
+        return FC.history(self.usage_hourly, self.keys, self.cfg.forecast.trailing_days, self.pool_days)
+
+    @cached_property
+    def modes(self) -> DataFrame:
+        return FC.modal_compute_type(self.usage_hourly, self.pool_days)
 
     @cached_property
     def multipliers(self) -> DataFrame:
@@ -71,8 +79,8 @@ class CheckTables:
 
     @cached_property
     def forecasts(self) -> DataFrame:
-        return materialize(FC.forecasts(self.keys, self.history, self.multipliers, self.meta, self.queue,
-                                        self.cfg.forecast))
+        return materialize(FC.forecasts(self.keys, self.history, self.modes, self.multipliers, self.meta,
+                                        self.queue, self.cfg.forecast))
 
     @cached_property
     def totals(self) -> DataFrame:

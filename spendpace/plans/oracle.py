@@ -349,7 +349,9 @@ cte("forecasts", ["hist_pool", "ck", "mult", "workload_meta"], """
          ELSE md.compute_type END AS name,
     coalesce(m.priority, 'normal') AS priority, md.compute_type, f.dbu_forecast,
     c.global_multiplier AS multiplier, f.pool_size AS sample_days,
-    f.dbu_forecast * c.global_multiplier AS forecast_usd
+    f.dbu_forecast * c.global_multiplier AS forecast_usd,
+    row_number() OVER (PARTITION BY f.budget_id, f.as_of ORDER BY f.dbu_forecast * c.global_multiplier DESC,
+                       f.workload_type, f.workload_id) AS forecast_rank
   FROM (SELECT budget_id, as_of, workload_type, workload_id, MAX(pool_size) AS pool_size,
                CAST(CAST(coalesce(SUM(dbu_dollars) FILTER (WHERE in_pool AND hour >= now_hour), 0)
                     AS DECIMAL(18,4)) AS DOUBLE) / MAX(pool_size) AS dbu_forecast
@@ -766,3 +768,15 @@ cte("calibration_in_force", ["calibration", "budgets"], f"""
       FROM ({RELEASE_INSTANTS_SQL}) c2 JOIN calibration k
         ON k.budget_id = c2.budget_id AND k.as_of <= CAST(c2.as_of AS DATE)) WHERE rn = 1) s
     ON s.budget_id = c.budget_id AND s.check_at = c.as_of""")
+
+
+def revert_all_sql(select: str) -> str:
+    """Active actions and queue after the live first check, as one list."""
+    step1 = step_ctes(["chosen"], "_1", FIRST_INSTANT_SQL)
+    lst = ("revert_all_1", """
+  SELECT budget_id, 'revert' AS operation, kind, target_id, target_name FROM chosen_1
+  WHERE kind IN ('job_cluster_throttle', 'warehouse_throttle', 'job_schedule_pause')
+  UNION ALL
+  SELECT budget_id, 'release', 'job_schedule_pause', target_id, target_name FROM chosen_1
+  WHERE kind = 'job_schedule_pause'""")
+    return chain_sql([step1 + [lst]], ["chosen"], select)

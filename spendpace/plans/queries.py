@@ -319,7 +319,8 @@ def q_inventory_summary(spark, sf_dir):
 # ------------------------------------------------------------- forecasting --
 FORECAST_COLS = [("budget_id", "int"), ("as_of", "ts"), ("workload_type", "str"), ("workload_id", "str"),
                  ("name", "str"), ("priority", "str"), ("compute_type", "str"), ("dbu_forecast", "money"),
-                 ("multiplier", "ratio"), ("sample_days", "long"), ("forecast_usd", "money")]
+                 ("multiplier", "ratio"), ("sample_days", "long"), ("forecast_usd", "money"),
+                 ("forecast_rank", "int")]
 
 
 @register("workload_forecast", FORECAST_COLS, ["forecasts"], "SELECT * FROM forecasts")
@@ -599,3 +600,24 @@ def q_cur_quality(spark, sf_dir):
     """PRJ4: required-column data-quality counts over the line items."""
     from spendpace.sources import cur as CUR
     return CUR.required_column_check(inputs(spark, sf_dir).cur)
+
+
+@register("revert_all",
+          [("budget_id", "int"), ("operation", "str"), ("kind", "str"), ("target_id", "str"),
+           ("target_name", "str")],
+          sql_from="SELECT * FROM revert_all_1", sql_builder=O.revert_all_sql)
+def q_revert_all(spark, sf_dir):
+    """QUE4, SET3: after a live check at the first instant (its reversible
+    actions become active, its pauses enter the queue), the manual escape
+    hatch lists every reversible action to revert and every queued job."""
+    from spendpace.operators import queue as QU
+    from spendpace.plans import check as CK
+    inp = inputs(spark, sf_dir)
+    first = CK.build_check(inp, _CFG, adapter.first_check_instants(inp.budgets))
+    chosen = first.chosen
+    empty = QU.applied(chosen).filter(F.lit(False))
+    active = QU.next_active(empty, empty.select("budget_id", "kind", "target_id"), QU.applied(chosen),
+                            chosen.select("budget_id", F.col("target_id").alias("job_id"),
+                                          F.lit(False).alias("released")), dry_run=False)
+    queue = QU.enqueue(chosen)
+    return QU.revert_all(active, queue)

@@ -14,9 +14,12 @@ def _run(spark, rows, now=NOW, mult=1.0, lag=3, cfg=Forecasting()):
     inst = spark.createDataFrame([(0, now)], "budget_id int, as_of timestamp")
     keys = FC.check_keys(inst, lag)
     uh = usage_df(spark, rows)
-    hist = FC.history(uh, keys, cfg.trailing_days)
+    days = FC.pool_days(uh, keys, cfg.trailing_days)
+    hist = FC.history(uh, keys, cfg.trailing_days, days)
+    modes = FC.modal_compute_type(uh, days)
     m = spark.createDataFrame([(0, now.date(), mult)], "budget_id int, today date, global_multiplier double")
-    fc = {(r.workload_type, r.workload_id): r for r in FC.forecasts(keys, hist, m, None, None, cfg).collect()}
+    fc = {(r.workload_type, r.workload_id): r
+          for r in FC.forecasts(keys, hist, modes, m, None, None, cfg).collect()}
     totals = FC.day_hour_totals(hist)
     frac = FC.intraday_fraction(keys, totals).first().intraday_fraction
     fill = FC.lag_fill(keys, totals, m).first().lag_fill
