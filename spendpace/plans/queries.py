@@ -137,8 +137,7 @@ def q_attribution_summary(spark, sf_dir):
           ["ledger"], "SELECT * FROM ledger")
 def q_ledger_daily(spark, sf_dir):
     """AGG1: daily attributed cost per budget."""
-    from spendpace.operators.ledger import daily_costs
-    return daily_costs(inputs(spark, sf_dir).attributed(_CFG))
+    return inputs(spark, sf_dir).vendor_ledger
 
 
 @register("granularity_check",
@@ -151,8 +150,8 @@ def q_ledger_daily(spark, sf_dir):
                MAX(usage_date) - MIN(usage_date) + 1 AS span_days FROM ledger GROUP BY budget_id)""")
 def q_granularity_check(spark, sf_dir):
     """AGG5: monthly-export detector over each budget's ledger."""
-    from spendpace.operators.ledger import daily_costs, granularity_check
-    return granularity_check(daily_costs(inputs(spark, sf_dir).attributed(_CFG)))
+    from spendpace.operators.ledger import granularity_check
+    return granularity_check(inputs(spark, sf_dir).vendor_ledger)
 
 
 @register("usage_hourly",

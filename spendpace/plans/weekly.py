@@ -17,19 +17,38 @@ from spendpace.session import materialize
 from spendpace.sources import adapter, cur as cur_src, inventory, usage as usage_src
 
 
-@dataclass
 class Inputs:
-    """The pipeline's input tables (lazy)."""
-
-    cur: DataFrame            # canonical line items with budget_id
-    usage: DataFrame          # raw metered usage with budget_id
-    prices: DataFrame
-    budgets: DataFrame        # budget_id, annual_budget, calendar params
-    jobs_raw: DataFrame
-    warehouses_raw: DataFrame
-    clusters_raw: DataFrame
-    #: daily vendor-attributed ledger when already materialized
-    vendor_ledger: DataFrame | None = None
+    """The pipeline's input tables.
+
+    Each table is given as a DataFrame or as a zero-argument function that
+    builds it; a function runs (and may materialize) only when the table is
+    first used, so a query pays only for the inputs it reads.
+    """
+
+    _NAMES = ("cur", "usage", "prices", "budgets", "jobs_raw", "warehouses_raw", "clusters_raw",
+              "vendor_ledger")
+
+    def __init__(self, cur, usage, prices, budgets, jobs_raw, warehouses_raw, clusters_raw,
+                 vendor_ledger=None):
+        self._given = dict(zip(self._NAMES, (cur, usage, prices, budgets, jobs_raw, warehouses_raw,
+                                              clusters_raw, vendor_ledger)))
+        self._built: dict[str, DataFrame | None] = {}
+
+    def _get(self, name: str) -> DataFrame | None:
+        if name not in self._built:
+            v = self._given[name]
+            self._built[name] = v() if callable(v) else v
+        return self._built[name]
+
+    cur = property(lambda self: self._get("cur"))                        # canonical line items
+    usage = property(lambda self: self._get("usage"))                    # raw metered usage
+    prices = property(lambda self: self._get("prices"))
+    budgets = property(lambda self: self._get("budgets"))                # amount + calendar params
+    jobs_raw = property(lambda self: self._get("jobs_raw"))
+    warehouses_raw = property(lambda self: self._get("warehouses_raw"))
+    clusters_raw = property(lambda self: self._get("clusters_raw"))
+    #: daily vendor-attributed ledger, when available as a stage table
+    vendor_ledger = property(lambda self: self._get("vendor_ledger"))
 
     def flagged(self, cfg: PaceConfig) -> DataFrame:
         return L.attribute(self.cur, cfg)
@@ -45,24 +64,29 @@ class Inputs:
 
 
 def adapter_inputs(spark: SparkSession, sf_dir: str, cfg: PaceConfig | None = None) -> Inputs:
-    """Inputs derived from the driver's test tables."""
+    """Inputs derived from the driver's test tables (built on first use)."""
     cfg = cfg or PaceConfig()
     cur = L.assign_budgets(cur_src.normalize(adapter.cur_raw(spark, sf_dir), cfg),
                            adapter.budget_accounts(spark, sf_dir))
-    # budget amounts come from the vendor-attributed ledger, whatever the mode
-    base_ledger = materialize(L.daily_costs(L.attributed_rows(cur, PaceConfig())))
-    return Inputs(
+    inputs: Inputs
+
+    def vendor_ledger() -> DataFrame:
+        # budget amounts come from the vendor-attributed ledger, whatever the mode
+        return materialize(L.daily_costs(L.attributed_rows(cur, PaceConfig())))
+
+    inputs = Inputs(
         cur=cur,
-        usage=adapter.usage(spark, sf_dir),
+        usage=lambda: adapter.usage(spark, sf_dir),
         # the price list is a small catalogue: materialized, its measured
         # size lets Spark broadcast it into the usage join (no SKU shuffle)
-        prices=materialize(adapter.prices(spark, sf_dir)),
-        budgets=materialize(adapter.budgets(spark, sf_dir, base_ledger)),
-        jobs_raw=adapter.jobs_raw(spark, sf_dir, cfg.priority_tag_key),
-        warehouses_raw=adapter.warehouses_raw(spark, sf_dir, cfg.priority_tag_key),
-        clusters_raw=adapter.clusters_raw(spark, sf_dir, cfg.priority_tag_key),
-        vendor_ledger=base_ledger,
+        prices=lambda: materialize(adapter.prices(spark, sf_dir)),
+        budgets=lambda: materialize(adapter.budgets(spark, sf_dir, inputs.vendor_ledger)),
+        jobs_raw=lambda: adapter.jobs_raw(spark, sf_dir, cfg.priority_tag_key),
+        warehouses_raw=lambda: adapter.warehouses_raw(spark, sf_dir, cfg.priority_tag_key),
+        clusters_raw=lambda: adapter.clusters_raw(spark, sf_dir, cfg.priority_tag_key),
+        vendor_ledger=vendor_ledger,
     )
+    return inputs
 
 
 def plan_instants(check_instants: DataFrame) -> DataFrame:
