@@ -85,7 +85,7 @@ def register(name: str, columns: list[tuple[str, str]], ctes: list[str] | None =
 
 
 # ------------------------------------------------------------- shared build --
-_CFG = PaceConfig()
+CFG = _CFG = PaceConfig()  # the configuration every registered query runs with
 
 
 def inputs(spark: SparkSession, sf_dir: str, cfg: PaceConfig = _CFG) -> W.Inputs:

@@ -14,7 +14,7 @@ from spendpace.config import PaceConfig
 from spendpace.operators import ledger as L
 from spendpace.operators import plan as P
 from spendpace.session import materialize
-from spendpace.sources import adapter, cur as cur_src, inventory, usage as usage_src
+from spendpace.sources import adapter, cur as cur_src, usage as usage_src
 
 
 class Inputs:
@@ -137,6 +137,3 @@ def plan_columns(plan: DataFrame) -> DataFrame:
                        F.col("annual_budget").cast("double").alias("annual_budget"),
                        "fy_to_date_spend", "remaining_budget", "remaining_weeks", "weekly_allowance")
 
-
-__all__ = ["Inputs", "adapter_inputs", "plan_instants", "build_plan", "PlanTables",
-           "plan_columns", "inventory"]
