@@ -201,19 +201,38 @@ def observed(keys: DataFrame, usage_hourly: DataFrame, week_start: DataFrame,
     type, each times its multiplier.
 
     ``week_start(budget_id, today, week_start)`` comes from the plan.
+
+    The window ``[week_start, cutoff)`` is split into whole days before the
+    cutoff's date, read from per-day totals, and the part of the cutoff's
+    date before its hour, read from an hour-of-day prefix sum. A check thus
+    touches at most 6 day rows and one prefix row per compute type, never
+    the hourly rows of its week: cost follows the usage aggregate, not
+    checks x hours.
     """
-    by_type = (_with_date(usage_hourly)
-               .groupBy("budget_id", "usage_date", "hour_start", "compute_type")
+    by_hour = (_with_date(usage_hourly)
+               .groupBy("budget_id", "usage_date", "hour", "compute_type")
                .agg(F.sum("dbu_dollars").alias("dbu")))
-    k = keys.select("budget_id", "as_of", "today", "cutoff").join(week_start, DAY_KEY, "inner")
-    dates = k.select("*", F.explode(fiscal.week_dates(F.col("week_start"), F.date_add("today", 1)))
-                     .alias("usage_date"))
-    rows = (dates.join(by_type, ["budget_id", "usage_date"], "inner")
-            .filter(F.col("hour_start") < F.col("cutoff")))
-    day_start = F.greatest(F.col("today"), F.col("week_start")).cast("timestamp")
-    t = rows.groupBy("budget_id", "as_of", "today", "compute_type").agg(
-        F.sum("dbu").alias("week_dbu"),
-        F.sum(F.when(F.col("hour_start") >= day_start, F.col("dbu"))).alias("today_dbu"))
+    by_day = (by_hour.groupBy("budget_id", "usage_date", "compute_type")
+              .agg(F.sum("dbu").alias("dbu")))
+    day_type = ["budget_id", "usage_date", "compute_type"]
+    before = Window.partitionBy(*day_type).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    prefix = (_dense_hours(by_day, day_type).join(by_hour, day_type + ["hour"], "left")
+              .withColumn("dbu", F.sum("dbu").over(before))
+              .filter(F.col("dbu").isNotNull()))
+    k = (keys.select("budget_id", "as_of", "today", "cutoff").join(week_start, DAY_KEY, "inner")
+         .withColumn("cut_date", F.to_date("cutoff")).withColumn("cut_hour", F.hour("cutoff")))
+    whole_days = (k.select("budget_id", "as_of", "today", F.explode(fiscal.week_dates(
+        F.col("week_start"), F.least(F.col("cut_date"), F.date_add("today", 1)))).alias("usage_date"))
+        .join(by_day, ["budget_id", "usage_date"], "inner")
+        .select("budget_id", "as_of", "today", "compute_type", F.col("dbu").alias("week_dbu"),
+                F.lit(None).cast(by_day.schema["dbu"].dataType).alias("today_dbu")))
+    cut_day = (k.filter((F.col("cut_date") >= F.col("week_start")) & (F.col("cut_date") <= F.col("today")))
+               .join(prefix, (k["budget_id"] == prefix["budget_id"]) & (k["cut_date"] == prefix["usage_date"])
+                     & (k["cut_hour"] == prefix["hour"]), "inner")
+               .select(k["budget_id"], "as_of", "today", "compute_type", F.col("dbu").alias("week_dbu"),
+                       F.when(F.col("cut_date") == F.col("today"), F.col("dbu")).alias("today_dbu")))
+    t = whole_days.unionByName(cut_day).groupBy("budget_id", "as_of", "today", "compute_type").agg(
+        F.sum("week_dbu").alias("week_dbu"), F.sum("today_dbu").alias("today_dbu"))
     t = t.join(multipliers.select(*DAY_KEY, "global_multiplier"), DAY_KEY, "left")
     m = multiplier_for(F.col("compute_type"), F.col("global_multiplier"), cfg)
     s = t.groupBy("budget_id", "as_of").agg(

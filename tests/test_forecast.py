@@ -59,3 +59,47 @@ def test_modal_compute_type_smallest_on_tie(spark):
     rows = hourly_history(NOW, 14, [("SQL", "JOB", "7", 20, 1.0), ("JOBS", "JOB", "7", 21, 1.0)])
     fc, _, _ = _run(spark, rows)
     assert fc[("JOB", "7")].compute_type == "JOBS"
+
+
+def test_observed_matches_brute_force_every_hour(spark):
+    """Observed week/today dollars from day totals + intraday prefix equal a
+    plain filter-and-sum over the hourly rows, for every hour of a week
+    (lag windows crossing midnight and the week start included)."""
+    import random
+    from decimal import Decimal
+
+    from spendpace.config import Forecasting as Fc
+    rnd = random.Random(7)
+    start = dt.datetime(2026, 7, 1)
+    rows = [(b, start + dt.timedelta(hours=h), rnd.choice(["JOBS", "SQL", "DLT"]), "JOB", str(rnd.randrange(4)),
+             round(rnd.uniform(0, 5), 2))
+            for b in (0, 1) for h in range(24 * 12) if rnd.random() < 0.6]
+    uh = usage_df(spark, rows)
+    lag, week_start = 3, dt.date(2026, 7, 4)  # a Saturday: week boundary inside the grid
+    instants = [(b, start + dt.timedelta(days=3, hours=h)) for b in (0, 1) for h in range(24 * 8)]
+    keys = FC.check_keys(spark.createDataFrame(instants, "budget_id int, as_of timestamp"), lag)
+    ws = spark.createDataFrame(
+        [(b, d, week_start + dt.timedelta(days=7 * ((d - week_start).days // 7)))
+         for b in (0, 1) for d in {t.date() for _, t in instants}],
+        "budget_id int, today date, week_start date")
+    mult = spark.createDataFrame([(b, d, 1.5) for b, d, _ in ws.collect()],
+                                 "budget_id int, today date, global_multiplier double")
+    cfg = Fc(multiplier_overrides=(("SQL", 2.0),))
+    got = {(r.budget_id, r.as_of): (r.observed_week, r.observed_today)
+           for r in FC.observed(keys, uh, ws, mult, cfg).collect()}
+    wsd = {(r.budget_id, r.today): r.week_start for r in ws.collect()}
+    m = {"SQL": 2.0}
+    for b, t in instants:
+        cutoff = t - dt.timedelta(hours=lag)
+        wk = dt.datetime.combine(wsd[(b, t.date())], dt.time())
+        today = dt.datetime.combine(t.date(), dt.time())
+        week, day = {}, {}
+        for rb, ts, ct, _, _, d in rows:
+            if rb == b and wk <= ts < cutoff and ts < today + dt.timedelta(days=1):
+                week[ct] = week.get(ct, Decimal(0)) + Decimal(str(d))
+                if ts >= today:
+                    day[ct] = day.get(ct, Decimal(0)) + Decimal(str(d))
+        exp_w = sum(float(v) * m.get(c, 1.5) for c, v in week.items())
+        exp_d = sum(float(v) * m.get(c, 1.5) for c, v in day.items())
+        gw, gd = got[(b, t)]
+        assert abs(gw - exp_w) < 1e-6 and abs(gd - exp_d) < 1e-6, (b, t, gw, exp_w, gd, exp_d)
