@@ -32,14 +32,15 @@ class CheckTables:
 
     @cached_property
     def usage_hourly(self) -> DataFrame:
-        uh = self._uh if self._uh is not None else self.inputs.usage_hourly()
-        return materialize(uh)
+        """The given hourly table as is (the caller's table or stage), else
+        the priced rollup of the inputs, materialized."""
+        return self._uh if self._uh is not None else materialize(self.inputs.usage_hourly())
 
     @cached_property
     def plan(self) -> W.PlanTables:
-        pt = self._pt or W.build_plan(self.inputs, self.cfg, W.plan_instants(self.instants), self.usage_hourly)
-        return W.PlanTables(pt.keys, pt.ledger, pt.profile, materialize(pt.plan), materialize(pt.targets),
-                            materialize(pt.calibration))
+        """The given plan tables as is (see ``plan_tables``), else the plan
+        for the dates of this check's instants."""
+        return self._pt or plan_tables(self.inputs, self.cfg, self.instants, self.usage_hourly)
 
     @cached_property
     def keys(self) -> DataFrame:
@@ -128,6 +129,16 @@ class CheckTables:
                            self.clusters, self.active)
 
 
+def plan_tables(inputs: W.Inputs, cfg: PaceConfig, instants: DataFrame,
+                usage_hourly: DataFrame) -> W.PlanTables:
+    """Plan, day targets and calibration for the dates of ``instants``,
+    materialized as stage tables. Checks at different instants can share
+    one: every check reads its own (budget_id, date) rows by equi-join."""
+    pt = W.build_plan(inputs, cfg, W.plan_instants(instants), usage_hourly)
+    return W.PlanTables(pt.keys, pt.ledger, pt.profile, materialize(pt.plan), materialize(pt.targets),
+                        materialize(pt.calibration))
+
+
 def multipliers(pt: W.PlanTables) -> DataFrame:
     return pt.calibration.select("budget_id", F.col("as_of").alias("today"), "global_multiplier")
 

@@ -411,11 +411,15 @@ def q_release_plan(spark, sf_dir):
     from spendpace.plans import check as CK
     from spendpace.session import materialize
     inp = inputs(spark, sf_dir)
-    first = CK.build_check(inp, _CFG, adapter.first_check_instants(inp.budgets))
+    first_at, later_at = adapter.first_check_instants(inp.budgets), adapter.release_instants(inp.budgets)
+    # one hourly rollup and one plan build serve both the live and the later checks
+    uh = materialize(inp.usage_hourly())
+    pt = CK.plan_tables(inp, _CFG, first_at.unionByName(later_at), uh)
+    first = CK.build_check(inp, _CFG, first_at, pt=pt, usage_hourly=uh)
     queue = materialize(QU.enqueue(first.chosen))
     active = materialize(QU.applied(first.chosen).filter(
         F.col("kind").isin(*[k for k, r in C.REVERSIBLE.items() if r])))
-    later = CK.build_check(inp, _CFG, adapter.release_instants(inp.budgets), queue=queue, active=active)
+    later = CK.build_check(inp, _CFG, later_at, queue=queue, active=active, pt=pt, usage_hourly=uh)
     return QU.release_plan(later.status, queue, _CFG.levers.fifo_release)
 
 
@@ -461,9 +465,11 @@ def q_stream_budget_status(spark, sf_dir):
     q = (rollup.writeStream.outputMode("append").foreachBatch(handler)
          .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
-    import os
-    epochs = sorted(int(e.split("=")[1]) for e in os.listdir(f"{base}/status") if e.startswith("epoch="))
-    return spark.read.parquet(f"{base}/status/epoch={epochs[-1]}")
+    # the last epoch's status, found by partition discovery on the shared
+    # file system (no driver-side listing)
+    status = spark.read.parquet(f"{base}/status")
+    last = status.agg(F.max("epoch").alias("epoch"))
+    return status.join(last, "epoch", "left_semi").drop("epoch")
 
 
 # ------------------------------------------------- proposed changes, reports --
