@@ -94,13 +94,19 @@ def _dense_hours(df: DataFrame, key: list[str]) -> DataFrame:
     return df.select(*key).distinct().select(*key, F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
 
 
-def workload_day_profile(hist: DataFrame, modes: DataFrame) -> DataFrame:
+def pooled_hours(hist: DataFrame) -> DataFrame:
+    """Pooled dollars per (budget_id, today, workload, hour of day) with the
+    pool size: the one aggregate of the history that both the forecasts and
+    the intraday measures read (a stage table in a check)."""
+    return (hist.groupBy(*DAY_KEY, "workload_type", "workload_id", "hour")
+            .agg(F.sum("dbu_dollars").alias("dbu"), F.max("pool_size").alias("pool_size")))
+
+
+def workload_day_profile(pooled: DataFrame, modes: DataFrame) -> DataFrame:
     """Per (budget_id, today, workload): pooled dollars from each hour of the
     day to midnight (suffix sums over a dense 24-hour grid), the pool size
-    and the modal compute type."""
+    and the modal compute type. ``pooled`` is ``pooled_hours``."""
     wk = DAY_KEY + ["workload_type", "workload_id"]
-    pooled = (hist.groupBy(*wk, "hour")
-              .agg(F.sum("dbu_dollars").alias("dbu"), F.max("pool_size").alias("pool_size")))
     meta = pooled.groupBy(*wk).agg(F.max("pool_size").alias("pool_size")).join(modes, wk, "inner")
     grid = _dense_hours(meta, wk).join(pooled.drop("pool_size"), wk + ["hour"], "left")
     suffix = Window.partitionBy(*wk).orderBy(F.col("hour").desc()).rowsBetween(
@@ -109,16 +115,17 @@ def workload_day_profile(hist: DataFrame, modes: DataFrame) -> DataFrame:
     return grid.join(meta, wk, "inner")
 
 
-def forecasts(keys: DataFrame, hist: DataFrame, modes: DataFrame, multipliers: DataFrame,
+def forecasts(keys: DataFrame, pooled: DataFrame, modes: DataFrame, multipliers: DataFrame,
               meta: DataFrame | None, queue: DataFrame | None, cfg: Forecasting) -> DataFrame:
     """Rest-of-day all-in forecast per workload and check instant.
 
     ``multipliers(budget_id, today, global_multiplier)``; overrides come
     from ``cfg``. ``meta(budget_id, workload_type, workload_id, name,
     priority)``; unknown workloads get a default name and ``normal``.
-    Jobs waiting in ``queue(budget_id, job_id)`` are removed.
+    Jobs waiting in ``queue(budget_id, job_id)`` are removed. ``pooled``
+    is ``pooled_hours`` of the history.
     """
-    prof = workload_day_profile(hist, modes)
+    prof = workload_day_profile(pooled, modes)
     k = keys.select("budget_id", "as_of", "today", F.col("now_hour").alias("hour"))
     f = (k.join(prof, DAY_KEY + ["hour"], "inner")
          .withColumn("dbu_forecast", F.col("rest_of_day").cast("double") / F.col("pool_size"))
@@ -156,11 +163,12 @@ def multiplier_for(compute_type, global_multiplier, cfg: Forecasting):
     return expr
 
 
-def day_hour_totals(hist: DataFrame) -> DataFrame:
+def day_hour_totals(pooled: DataFrame) -> DataFrame:
     """Pooled dollars of all workloads per (budget_id, today, hour) on a
-    dense grid, with pool size and the pooled day total."""
-    tot = hist.groupBy(*DAY_KEY, "hour").agg(F.sum("dbu_dollars").alias("dbu"))
-    size = hist.groupBy(*DAY_KEY).agg(F.max("pool_size").alias("pool_size"))
+    dense grid, with pool size and the pooled day total. ``pooled`` is
+    ``pooled_hours``."""
+    tot = pooled.groupBy(*DAY_KEY, "hour").agg(F.sum("dbu").alias("dbu"))
+    size = pooled.groupBy(*DAY_KEY).agg(F.max("pool_size").alias("pool_size"))
     grid = _dense_hours(size, DAY_KEY).join(tot, DAY_KEY + ["hour"], "left").fillna(0, ["dbu"])
     before = Window.partitionBy(*DAY_KEY).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*DAY_KEY)

@@ -13,6 +13,7 @@ from spendpace.config import PaceConfig
 from spendpace.operators import allocate as AL
 from spendpace.operators import forecast as FC
 from spendpace.operators import levers as LV
+from spendpace.operators import plan as P
 from spendpace.operators import status as ST
 from spendpace.plans import weekly as W
 from spendpace.session import materialize
@@ -54,6 +55,10 @@ class CheckTables:
     def history(self) -> DataFrame:
         return FC.history(self.usage_hourly, self.keys, self.cfg.forecast.trailing_days, self.pool_days)
 
+    @cached_property
+    def pooled(self) -> DataFrame:
+        return materialize(FC.pooled_hours(self.history))
+
     @cached_property
     def modes(self) -> DataFrame:
         return FC.modal_compute_type(self.usage_hourly, self.pool_days)
@@ -80,12 +85,12 @@ class CheckTables:
 
     @cached_property
     def forecasts(self) -> DataFrame:
-        return materialize(FC.forecasts(self.keys, self.history, self.modes, self.multipliers, self.meta,
+        return materialize(FC.forecasts(self.keys, self.pooled, self.modes, self.multipliers, self.meta,
                                         self.queue, self.cfg.forecast))
 
     @cached_property
     def totals(self) -> DataFrame:
-        return FC.day_hour_totals(self.history)
+        return FC.day_hour_totals(self.pooled)
 
     @cached_property
     def fraction(self) -> DataFrame:
@@ -135,8 +140,10 @@ def plan_tables(inputs: W.Inputs, cfg: PaceConfig, instants: DataFrame,
     materialized as stage tables. Checks at different instants can share
     one: every check reads its own (budget_id, date) rows by equi-join."""
     pt = W.build_plan(inputs, cfg, W.plan_instants(instants), usage_hourly)
-    return W.PlanTables(pt.keys, pt.ledger, pt.profile, materialize(pt.plan), materialize(pt.targets),
-                        materialize(pt.calibration))
+    plan = materialize(pt.plan)
+    # targets split the stored plan row's allowance: the plan is not recomputed
+    targets = materialize(P.day_targets(plan, pt.profile))
+    return W.PlanTables(pt.keys, pt.ledger, pt.profile, plan, targets, materialize(pt.calibration))
 
 
 def multipliers(pt: W.PlanTables) -> DataFrame:

@@ -15,7 +15,7 @@ def _run(spark, rows, now=NOW, mult=1.0, lag=3, cfg=Forecasting()):
     keys = FC.check_keys(inst, lag)
     uh = usage_df(spark, rows)
     days = FC.pool_days(uh, keys, cfg.trailing_days)
-    hist = FC.history(uh, keys, cfg.trailing_days, days)
+    hist = FC.pooled_hours(FC.history(uh, keys, cfg.trailing_days, days))
     modes = FC.modal_compute_type(uh, days)
     m = spark.createDataFrame([(0, now.date(), mult)], "budget_id int, today date, global_multiplier double")
     fc = {(r.workload_type, r.workload_id): r
