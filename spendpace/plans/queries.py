@@ -140,6 +140,21 @@ def q_ledger_daily(spark, sf_dir):
     return inputs(spark, sf_dir).vendor_ledger
 
 
+@register("cur_csv_ledger", REGISTRY["ledger_daily"].columns, ["ledger"], "SELECT * FROM ledger")
+def q_cur_csv_ledger(spark, sf_dir):
+    """SRC2, SET1, PRJ1 (legacy names): the line items exported as gzip CSV
+    in the slash-named layout, two billing-period folders whose headers
+    list the columns in different orders; read back per header group,
+    unioned by name, normalised and attributed. Equals the parquet ledger."""
+    import uuid
+    from spendpace.operators import ledger as L
+    from spendpace.session import checkpoint_dir
+    from spendpace.sources import cur as CUR
+    root = adapter.write_cur_csv(spark, sf_dir, f"{checkpoint_dir(spark)}/cur-csv-{uuid.uuid4().hex}")
+    cur = L.assign_budgets(CUR.normalize(CUR.read_csv(spark, root), _CFG), adapter.budget_accounts(spark, sf_dir))
+    return L.daily_costs(L.attributed_rows(cur, _CFG))
+
+
 @register("granularity_check",
           [("budget_id", "int"), ("n_dates", "long"), ("first_date", "date"), ("last_date", "date"),
            ("span_days", "int"), ("looks_monthly", "bool")],

@@ -44,6 +44,11 @@ BUDGET_BASE_START, BUDGET_BASE_END, BUDGET_BASE_DAYS = "2023-10-01", "2024-01-01
 ACTIVITY_ANCHOR = "2024-01-23 15:00:00"
 
 N_BUDGETS_COL = "r_regionkey"
+#: CSV export: line items starting before this date go to the first
+#: billing-period folder, the rest to the second (written with its columns
+#: in reverse order, so the reader must combine the files by name).
+CSV_PERIOD_SPLIT = "2024-01-01"
+CSV_PERIODS = ("20231001-20240101", "20240101-20240201")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -269,3 +274,27 @@ def job_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
                          cluster(ck % 10 + 1).alias("new_cluster"))).alias("job_clusters"),
         F.array(F.struct(F.lit("etl").alias("task_key"),
                          F.when(ck % 8 == 0, cluster(ck % 5 + 1)).alias("new_cluster"))).alias("tasks"))
+
+
+def write_cur_csv(spark: SparkSession, sf_dir: str, root: str) -> str:
+    """The line items of ``cur_raw`` as a gzip CSV export in the legacy
+    (slash-named) layout under ``root``: every row is written once, into one
+    of two billing-period folders split at CSV_PERIOD_SPLIT; the second
+    folder's files list the columns in reverse order. Whitespace and NULLs
+    are written as they are. Returns ``root``."""
+    from spendpace.config import CUR_COLUMNS, PaceConfig
+    from spendpace.sources.cur import tag_column_variants
+    legacy = {snake.lower(): old for snake, old in CUR_COLUMNS.values()}
+    legacy.update({tag_column_variants(t)[0].lower(): tag_column_variants(t)[1] for t in PaceConfig().tag_names})
+    raw = cur_raw(spark, sf_dir)
+    named = raw.select(*[F.col(c).alias(legacy.get(c.lower(), c)) for c in raw.columns])
+    start = F.col(f"`{CUR_COLUMNS['usage_start'][1]}`")
+    early = F.coalesce(start < F.lit(CSV_PERIOD_SPLIT).cast("timestamp"), F.lit(True))
+    parts = ((named.filter(early), list(named.columns), CSV_PERIODS[0]),
+             (named.filter(~early), list(reversed(named.columns)), CSV_PERIODS[1]))
+    for df, order, period in parts:
+        (df.select(*[F.col(f"`{c}`") for c in order]).write.mode("overwrite")
+         .option("header", "true").option("compression", "gzip")
+         .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
+         .csv(f"{root}/{period}/delivery"))
+    return root
