@@ -438,6 +438,54 @@ def q_release_plan(spark, sf_dir):
     return QU.release_plan(later.status, queue, _CFG.levers.fifo_release)
 
 
+def _two_checks(spark, sf_dir):
+    """A live check at TRANSITION_INSTANTS[0], then a live check at
+    TRANSITION_INSTANTS[1] that sees the first one's reversible actions (credited against
+    its gap, their targets not offered again) and its queue (queued jobs'
+    forecasts removed). One plan build and hourly stage serve both."""
+    from spendpace import config as C
+    from spendpace.operators import allocate as AL
+    from spendpace.operators import queue as QU
+    from spendpace.plans import check as CK
+    from spendpace.session import materialize
+    inp = inputs(spark, sf_dir)
+    first_at, second_at = adapter.transition_instants(inp.budgets, 0), adapter.transition_instants(inp.budgets, 1)
+    uh = materialize(inp.usage_hourly())
+    pt = CK.plan_tables(inp, _CFG, first_at.unionByName(second_at), uh)
+    first = CK.build_check(inp, _CFG, first_at, pt=pt, usage_hourly=uh)
+    queue = materialize(QU.enqueue(first.chosen))
+    active = materialize(QU.applied(first.chosen).filter(
+        F.col("kind").isin(*[k for k, r in C.REVERSIBLE.items() if r])))
+    second = CK.build_check(inp, _CFG, second_at, queue=queue, active=active, pt=pt, usage_hourly=uh)
+    fifo = _CFG.levers.fifo_release
+    released = materialize(QU.release_plan(second.status, queue, fifo))
+    reverted = AL.reverts(second.status, active, fifo)
+    return QU, queue, active, second.chosen, released, reverted
+
+
+@register("next_active",
+          [("budget_id", "int"), ("kind", "str"), ("target_id", "str"), ("target_name", "str"),
+           ("priority", "str"), ("estimated_savings", "dec"), ("applied_at", "ts"), ("seq", "long")],
+          sql_from="SELECT * FROM next_active_2", sql_builder=O.transition_sql("next_active_2"))
+def q_next_active(spark, sf_dir):
+    """SET3, DEC3, QUE3: actions in force after the second check = active -
+    reverted at OK (pauses stay with the FIFO queue) - pauses of released
+    jobs + the second check's reversible choices."""
+    QU, queue, active, chosen, released, reverted = _two_checks(spark, sf_dir)
+    return QU.next_active(active, reverted, QU.applied(chosen), released, dry_run=False)
+
+
+@register("next_queue",
+          [("budget_id", "int"), ("job_id", "str"), ("name", "str"), ("priority", "str"),
+           ("est_run_cost", "dec"), ("paused_at", "ts"), ("seq", "long")],
+          sql_from="SELECT * FROM next_queue_2", sql_builder=O.transition_sql("next_queue_2"))
+def q_next_queue(spark, sf_dir):
+    """SET4, QUE1, QUE2: the deferral queue after the second check = queue +
+    the second check's pauses - jobs released by the strict-FIFO gate."""
+    QU, queue, active, chosen, released, reverted = _two_checks(spark, sf_dir)
+    return QU.next_queue(queue, QU.enqueue(chosen), released, dry_run=False)
+
+
 # --------------------------------------------------------------- streaming --
 def _stream_rollup(spark: SparkSession, sf_dir: str):
     import uuid

@@ -34,6 +34,9 @@ SEGMENT_PRIORITY = {"BUILDING": "critical", "MACHINERY": "low",
 #: Check instants (UTC) evaluated for every budget: the standard Tuesday
 #: 15:00, a 01:00 check whose lag window crosses midnight, and a Sunday.
 CHECK_INSTANTS = ("2024-01-23 15:00:00", "2024-01-24 01:00:00", "2024-01-28 10:00:00")
+#: State-transition queries: a live check, then the next one (some budgets
+#: throttled at the first have recovered to OK at the second).
+TRANSITION_INSTANTS = ("2024-01-26 15:00:00", "2024-01-28 09:00:00")
 #: Later checks for the release what-if: every 6 hours over the rest of the
 #: events (first and last inclusive).
 RELEASE_FIRST, RELEASE_LAST, RELEASE_STEP_HOURS = "2024-01-24 03:00:00", "2024-01-30 21:00:00", 6
@@ -245,6 +248,12 @@ def first_check_instants(budgets_df: DataFrame) -> DataFrame:
     return budgets_df.select("*", F.lit(CHECK_INSTANTS[0]).cast("timestamp").alias("as_of"))
 
 
+def transition_instants(budgets_df: DataFrame, step: int) -> DataFrame:
+    """Every budget at TRANSITION_INSTANTS[step] (0: the live check whose
+    actions and queue carry over, 1: the check that follows it)."""
+    return budgets_df.select("*", F.lit(TRANSITION_INSTANTS[step]).cast("timestamp").alias("as_of"))
+
+
 def check_instants(budgets_df: DataFrame) -> DataFrame:
     """Every budget at each of CHECK_INSTANTS (a generator over a literal
     array: budgets x instants rows, bounded by the config)."""
