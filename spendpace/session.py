@@ -66,4 +66,5 @@ def materialize(df):
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "stage-" + uuid.uuid4().hex)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    # the schema is known: reading it back needs no footer-inference job
+    return spark.read.schema(df.schema).parquet(path)
