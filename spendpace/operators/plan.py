@@ -44,13 +44,29 @@ def _window_join(keys: DataFrame, key_cols: list[str], start: str, end: str,
 
 
 def fy_to_date(ledger: DataFrame, keys: DataFrame) -> DataFrame:
-    """Spend in ``[fy_start, week_start)``; unreported days count 0."""
+    """Spend in ``[fy_start, week_start)``; unreported days count 0.
+
+    One running total per (ledger key, fiscal year) over the dates up to
+    the last week start asked for (at most a year of daily rows), read at
+    the day before each week start by equi-join: every week of a fleet
+    history shares it, instead of re-summing the year to date per week.
+    """
     lk = _ledger_keys(ledger)
     kc = list(dict.fromkeys(lk + ["fy_start", "week_start"]))
+    fy = lk + ["fy_start"]
     distinct_keys = keys.select(*kc).distinct()
-    rows = _window_join(distinct_keys, kc, "fy_start", "week_start", ledger)
-    sums = rows.groupBy(*kc).agg(F.sum("cost").alias("fytd"))
-    return (distinct_keys.join(sums, kc, "left")
+    span = distinct_keys.groupBy(*fy).agg(F.max("week_start").alias("last_week_start"))
+    dates = span.select(*fy, F.explode(fiscal.week_dates(F.col("fy_start"), F.col("last_week_start")))
+                        .alias("usage_date"))
+    # dense dates (unreported days are NULL), so the day before every week
+    # start has a running total to read
+    daily = dates.join(ledger.select(*lk, "usage_date", "cost"), lk + ["usage_date"], "left")
+    upto = Window.partitionBy(*fy).orderBy("usage_date").rowsBetween(Window.unboundedPreceding,
+                                                                      Window.currentRow)
+    running = daily.select(*fy, F.col("usage_date").alias("day_before"), F.sum("cost").over(upto).alias("fytd"))
+    latest = (distinct_keys.withColumn("day_before", F.date_sub("week_start", 1))
+              .join(running, fy + ["day_before"], "inner").select(*kc, "fytd"))
+    return (distinct_keys.join(latest, kc, "left")
             .select(*kc, F.coalesce(F.col("fytd"), F.lit(0)).cast(MONEY).alias("fy_to_date_spend")))
 
 
