@@ -285,6 +285,19 @@ def job_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.when(ck % 8 == 0, cluster(ck % 5 + 1)).alias("new_cluster"))).alias("tasks"))
 
 
+def write_cur_redelivery(spark: SparkSession, sf_dir: str, root: str) -> str:
+    """The second billing period's line items delivered twice, as export
+    assemblies 1 and 2 of the same period folder (a corrected re-delivery).
+    One partitioned write, so each task's file carries the same name in both
+    assembly folders, as a re-issued export does. Returns ``root``."""
+    start = F.col("line_item_usage_start_date")
+    late = cur_raw(spark, sf_dir).filter(start >= F.lit(CSV_PERIOD_SPLIT).cast("timestamp"))
+    (late.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("assembly"))
+     .write.mode("overwrite").partitionBy("assembly").option("header", "true").option("compression", "gzip")
+     .csv(f"{root}/{CSV_PERIODS[1]}"))
+    return root
+
+
 def write_cur_csv(spark: SparkSession, sf_dir: str, root: str) -> str:
     """The line items of ``cur_raw`` as a gzip CSV export in the legacy
     (slash-named) layout under ``root``: every row is written once, into one
