@@ -13,7 +13,7 @@ from spendpace import config as C
 from spendpace.config import PaceConfig
 from spendpace.operators import ledger as L
 from spendpace.operators import plan as P
-from spendpace.session import materialize
+from spendpace.session import apply_scale_settings, input_bytes, materialize
 from spendpace.sources import adapter, cur as cur_src, usage as usage_src
 
 
@@ -66,6 +66,8 @@ class Inputs:
 def adapter_inputs(spark: SparkSession, sf_dir: str, cfg: PaceConfig | None = None) -> Inputs:
     """Inputs derived from the driver's test tables (built on first use)."""
     cfg = cfg or PaceConfig()
+    # partition sizing from the facts' size, where the deployment left the defaults
+    apply_scale_settings(spark, input_bytes(spark, [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "events")]))
     cur = L.assign_budgets(cur_src.normalize(adapter.cur_raw(spark, sf_dir), cfg),
                            adapter.budget_accounts(spark, sf_dir))
     inputs: Inputs

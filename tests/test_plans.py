@@ -77,3 +77,12 @@ def test_state_after_two_checks(spark):
     assert all(r.kind != "idle_cluster_terminate" for r in act)  # not reversible: never held
     q = Q.REGISTRY["next_queue"].spark(spark, SF).collect()
     assert len({(r.budget_id, r.job_id) for r in q}) == len(q)
+
+
+def test_scale_settings_bounds():
+    from spendpace.session import MAX_SHUFFLE_PARTITIONS, scale_settings
+    big = scale_settings(100 * 1024 ** 4)
+    assert int(big["spark.sql.shuffle.partitions"]) == MAX_SHUFFLE_PARTITIONS
+    assert int(big["spark.sql.files.maxPartitionBytes"]) == 256 * 1024 ** 2
+    assert int(scale_settings(10 ** 6)["spark.sql.shuffle.partitions"]) == 200
+    assert int(scale_settings(10 * 1024 ** 4)["spark.sql.shuffle.partitions"]) == 2560
