@@ -529,24 +529,23 @@ def q_usage_hourly_stream(spark, sf_dir):
 @register("stream_budget_status", STATUS_COLS, ["status"], "SELECT * FROM status")
 def q_stream_budget_status(spark, sf_dir):
     """STR2: foreachBatch over the streamed rollup runs the batch pace
-    status for the check instants; the result of the last epoch is read."""
+    status of each check instant once, in the epoch that closes its last
+    input hour; all epochs' outputs are read."""
     from spendpace.plans import check as CK
     inp = inputs(spark, sf_dir)
     instants = adapter.check_instants(inp.budgets)
     US, rollup, base = _stream_rollup(spark, sf_dir)
 
-    def status_for(hours):
-        return CK.build_check(inp, _CFG, instants, usage_hourly=hours).status
+    def status_for(due, hours):
+        return CK.build_check(inp, _CFG, due, usage_hourly=hours).status
 
-    handler = US.foreach_batch_pace(spark, status_for, base)
+    handler = US.foreach_batch_pace(spark, instants, status_for, base, _CFG.forecast.usage_lag_hours)
     q = (rollup.writeStream.outputMode("append").foreachBatch(handler)
          .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
-    # the last epoch's status, found by partition discovery on the shared
+    # every epoch's newly ready checks, by partition discovery on the shared
     # file system (no driver-side listing)
-    status = spark.read.parquet(f"{base}/status")
-    last = status.agg(F.max("epoch").alias("epoch"))
-    return status.join(last, "epoch", "left_semi").drop("epoch")
+    return spark.read.parquet(f"{base}/status").drop("epoch")
 
 
 # ------------------------------------------------- proposed changes, reports --

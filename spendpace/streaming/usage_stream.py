@@ -7,9 +7,10 @@ table joined to the stream (stream-static inner join). State is bounded by
 the watermark: at most ``lag / 1 h + 1`` open hours per workload.
 
 ``foreach_batch_pace`` turns each micro-batch of closed hours into the batch
-pace status of the checks whose lag cutoff the stream has passed, by
-calling the same batch operators (idempotent per epoch: each epoch writes
-its own folder with overwrite).
+pace status of the checks whose inputs it completed, by calling the same
+batch operators; each check is computed once, in the epoch that closes its
+last input hour (idempotent per epoch: each epoch writes its own folder
+with overwrite).
 """
 
 from __future__ import annotations
@@ -47,19 +48,40 @@ def run_available_now(rollup: DataFrame, sink_path: str, checkpoint_path: str) -
     q.awaitTermination()
 
 
-def foreach_batch_pace(spark: SparkSession, status_for: "callable", out_path: str):
+def ready_time(as_of, lag_hours: int):
+    """When a check's inputs are final: every hour it reads ends by then.
+    Observed spend reads hours before the lag cutoff; forecasts, intraday
+    fraction and lag fill read whole days before the check's date."""
+    as_of = F.date_trunc("hour", as_of.cast("timestamp"))
+    return F.greatest(as_of - F.make_interval(hours=F.lit(lag_hours)), F.date_trunc("day", as_of))
+
+
+def foreach_batch_pace(spark: SparkSession, instants: DataFrame, status_for: "callable", out_path: str,
+                       lag_hours: int):
     """foreachBatch handler: append the batch's closed hours to
-    ``out_path/hours`` and write the pace status computed from all hours
-    seen so far to ``out_path/status/epoch=<id>`` (overwrite: a retried
-    epoch replaces its own output)."""
+    ``out_path/hours/epoch=<id>`` and write the pace status of the checks
+    in ``instants`` that became ready in this epoch (``ready_time`` after
+    the hours closed by earlier epochs, at or before the hours closed now)
+    to ``out_path/status/epoch=<id>``. Append mode emits every hour up to
+    the watermark at once, so a check is computed exactly once, when its
+    inputs are final; an epoch never recomputes earlier checks. Overwrite
+    per epoch folder: a retried epoch replaces its own output."""
     hours_path = os.path.join(out_path, "hours")
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
         if batch.isEmpty():
             return
         batch.write.mode("overwrite").parquet(os.path.join(hours_path, f"epoch={epoch_id}"))
-        hours = spark.read.parquet(hours_path).drop("epoch")
-        status = status_for(hours)
+        hours = spark.read.parquet(hours_path)
+        closed = hours.agg(
+            F.max(F.when(F.col("epoch") < epoch_id, F.col("hour_start"))).alias("before"),
+            F.max("hour_start").alias("now")).first()  # one row: the closed-hour frontier
+        hour = F.make_interval(hours=F.lit(1))
+        ready = ready_time(F.col("as_of"), lag_hours)
+        due = ready <= F.lit(closed["now"]).cast("timestamp") + hour
+        if closed["before"] is not None:
+            due = due & (ready > F.lit(closed["before"]).cast("timestamp") + hour)
+        status = status_for(instants.filter(due), hours.drop("epoch"))
         if status is not None:
             status.write.mode("overwrite").parquet(os.path.join(out_path, "status", f"epoch={epoch_id}"))
 

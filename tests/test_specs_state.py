@@ -2,6 +2,7 @@
 
 import datetime as dt
 import tempfile
+import time
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -119,3 +120,44 @@ def test_streaming_rollup_matches_batch_for_closed_hours(spark):
     b = sorted(tuple(r) for r in batch.select(*cols).collect())
     assert a == b and len(a) > 0
     assert all(isinstance(r[5], Decimal) for r in a[:3])
+
+
+def test_stream_status_computes_each_check_once_across_epochs(spark):
+    """Events arrive as three time-ordered files, one per trigger, so the
+    watermark advances over several epochs. Every check's status is written
+    exactly once, in the epoch that closes its inputs, and equals the batch
+    status computed from all usage."""
+    import os
+    from spendpace.plans import check as CK
+    from spendpace.plans.queries import CFG, inputs
+    from spendpace.sources import adapter
+    from spendpace.streaming import usage_stream as US
+    sf = "/root/testdata/sf0.001"
+    ev = adapter.table(spark, sf, "events")
+    base = tempfile.mkdtemp(prefix="spendpace-stream-epochs-")
+    ts = F.col("ts").cast("timestamp")
+    cuts = [F.lit(d).cast("timestamp") for d in ("2024-01-20", "2024-01-26")]
+    for i, cond in enumerate([ts < cuts[0], (ts >= cuts[0]) & (ts < cuts[1]), ts >= cuts[1]]):
+        ev.filter(cond).coalesce(1).write.parquet(os.path.join(base, "in", f"chunk={i}"))
+        time.sleep(1.1)  # file modification order = arrival order
+    stream = US.file_stream(spark, os.path.join(base, "in"), ev.schema, max_files=1)
+    rollup = US.hourly_rollup(adapter.usage_from_events(stream), adapter.prices(spark, sf), 3)
+    inp = inputs(spark, sf)
+    instants = adapter.check_instants(inp.budgets)
+
+    def status_for(due, hours):
+        return CK.build_check(inp, CFG, due, usage_hourly=hours).status
+
+    handler = US.foreach_batch_pace(spark, instants, status_for, os.path.join(base, "out"), 3)
+    (rollup.writeStream.outputMode("append").foreachBatch(handler)
+     .option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start()
+     .awaitTermination())
+    out = spark.read.parquet(os.path.join(base, "out", "status"))
+    per_epoch = {r.epoch: r.n for r in out.groupBy("epoch").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert len(per_epoch) >= 2  # checks became ready in different epochs
+    cols = ["budget_id", "as_of", "severity", "pace_ratio", "spend_week_to_date", "forecast_remaining_today",
+            "observed_week", "lag_fill"]
+    got = sorted((r[0], r[1], r[2], *[round(x, 6) for x in r[3:]]) for r in out.select(*cols).collect())
+    batch = CK.build_check(inp, CFG, instants).status
+    want = sorted((r[0], r[1], r[2], *[round(x, 6) for x in r[3:]]) for r in batch.select(*cols).collect())
+    assert got == want and len(got) == instants.count()
