@@ -156,5 +156,7 @@ def build_check(inputs: W.Inputs, cfg: PaceConfig, instants: DataFrame,
     """``instants``: budget rows with an ``as_of`` timestamp column.
     ``queue(budget_id, job_id, ...)``: jobs held by the deferral queue;
     ``active(budget_id, kind, target_id, estimated_savings, ...)``: actions
-    in force."""
+    in force. ``pt`` (from ``plan_tables``) and ``usage_hourly`` are used as
+    given, so pass stage tables (``materialize``) when they are shared by
+    several checks; when omitted they are built and materialized here."""
     return CheckTables(inputs, cfg, instants, queue, active, pt, usage_hourly)
