@@ -86,3 +86,14 @@ def test_scale_settings_bounds():
     assert int(big["spark.sql.files.maxPartitionBytes"]) == 256 * 1024 ** 2
     assert int(scale_settings(10 ** 6)["spark.sql.shuffle.partitions"]) == 200
     assert int(scale_settings(10 * 1024 ** 4)["spark.sql.shuffle.partitions"]) == 2560
+
+
+def test_scale_settings_keep_explicit_shuffle_count(spark):
+    """A session that chose its shuffle partition count keeps it, and AQE's
+    initial count is not raised behind its back."""
+    from spendpace.session import apply_scale_settings
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    applied = apply_scale_settings(spark, 100 * 1024 ** 4)
+    assert "spark.sql.shuffle.partitions" not in applied
+    assert "spark.sql.adaptive.coalescePartitions.initialPartitionNum" not in applied
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
