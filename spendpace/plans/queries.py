@@ -435,13 +435,22 @@ def q_release_plan(spark, sf_dir):
     instant pauses jobs into the FIFO queue; every later 6-hourly check
     (with the queued jobs' forecasts removed) decides what the strict-FIFO
     gate would release."""
+    from spendpace.operators import queue as QU
+    inp = inputs(spark, sf_dir)
+    queue, _, later = _live_then(inp, adapter.first_check_instants(inp.budgets),
+                                 adapter.release_instants(inp.budgets))
+    return QU.release_plan(later.status, queue, _CFG.levers.fifo_release)
+
+
+def _live_then(inp, first_at, later_at):
+    """A live check at ``first_at``, then checks at ``later_at`` that see its
+    queue (queued jobs' forecasts removed) and its reversible actions
+    (credited against the gap, their targets not offered again). One hourly
+    stage and one plan build serve both. Returns (queue, active, later)."""
     from spendpace import config as C
     from spendpace.operators import queue as QU
     from spendpace.plans import check as CK
     from spendpace.session import materialize
-    inp = inputs(spark, sf_dir)
-    first_at, later_at = adapter.first_check_instants(inp.budgets), adapter.release_instants(inp.budgets)
-    # one hourly rollup and one plan build serve both the live and the later checks
     uh = materialize(inp.usage_hourly())
     pt = CK.plan_tables(inp, _CFG, first_at.unionByName(later_at), uh)
     first = CK.build_check(inp, _CFG, first_at, pt=pt, usage_hourly=uh)
@@ -449,28 +458,18 @@ def q_release_plan(spark, sf_dir):
     active = materialize(QU.applied(first.chosen).filter(
         F.col("kind").isin(*[k for k, r in C.REVERSIBLE.items() if r])))
     later = CK.build_check(inp, _CFG, later_at, queue=queue, active=active, pt=pt, usage_hourly=uh)
-    return QU.release_plan(later.status, queue, _CFG.levers.fifo_release)
+    return queue, active, later
 
 
 def _two_checks(spark, sf_dir):
-    """A live check at TRANSITION_INSTANTS[0], then a live check at
-    TRANSITION_INSTANTS[1] that sees the first one's reversible actions (credited against
-    its gap, their targets not offered again) and its queue (queued jobs'
-    forecasts removed). One plan build and hourly stage serve both."""
-    from spendpace import config as C
+    """Live checks at TRANSITION_INSTANTS[0] and [1] (see ``_live_then``),
+    with the second check's releases and reverts."""
     from spendpace.operators import allocate as AL
     from spendpace.operators import queue as QU
-    from spendpace.plans import check as CK
     from spendpace.session import materialize
     inp = inputs(spark, sf_dir)
-    first_at, second_at = adapter.transition_instants(inp.budgets, 0), adapter.transition_instants(inp.budgets, 1)
-    uh = materialize(inp.usage_hourly())
-    pt = CK.plan_tables(inp, _CFG, first_at.unionByName(second_at), uh)
-    first = CK.build_check(inp, _CFG, first_at, pt=pt, usage_hourly=uh)
-    queue = materialize(QU.enqueue(first.chosen))
-    active = materialize(QU.applied(first.chosen).filter(
-        F.col("kind").isin(*[k for k, r in C.REVERSIBLE.items() if r])))
-    second = CK.build_check(inp, _CFG, second_at, queue=queue, active=active, pt=pt, usage_hourly=uh)
+    queue, active, second = _live_then(inp, adapter.transition_instants(inp.budgets, 0),
+                                       adapter.transition_instants(inp.budgets, 1))
     fifo = _CFG.levers.fifo_release
     released = materialize(QU.release_plan(second.status, queue, fifo))
     reverted = AL.reverts(second.status, active, fifo)
