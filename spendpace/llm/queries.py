@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from spendpace.llm import exact_dedup, mixing, packing, quality, simhash, toxicity
+from spendpace.llm import exact_dedup, lm, mixing, packing, quality, secrets, simhash, toxicity
 from spendpace.llm.common import table
 
 
+def op2_lm_scoring(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
 
@@ -26,11 +30,16 @@ def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("whole", "part")
 
 
+def op8_secret_scan(spark, sf_dir):
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_quality_classifier, op5_simhash_near_dedup, op6_packing, op7_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (
+    op2_lm_scoring, op3_exact_dedup, op4_quality_classifier, op5_simhash_near_dedup, op6_packing, op7_mixing, op8_secret_scan, op10_toxicity)}
 
 #: A-Z lower-cased only, as the contract says.
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -107,7 +107,7 @@ def train(hashed: list[np.ndarray], y: np.ndarray, bits: int = 24, factors: int
     dp = np.bincount(col, y[doc], len(names))
     rate_all = df / n
     z = (dp / pos - (df - dp) / (n - pos)) / np.sqrt(np.maximum(rate_all * (1 - rate_all), 1e-12) * (1 / pos + 1 / (n - pos)))
-    least = max(3, n // 1000) if min_docs is None else min_docs
+    least = max(4, int(n ** 0.5 / 8)) if min_docs is None else min_docs
     use = (df >= least) & (np.abs(z) >= min_z)
     new = np.where(use, np.cumsum(use) - 1, -1)
     keep = new[col] >= 0
