@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from spendpace.llm import exact_dedup, lm, mixing, packing, quality, secrets, simhash, toxicity
+from spendpace.llm import exact_dedup, html, lm, mixing, neighbours, packing, quality, secrets, simhash, toxicity
 from spendpace.llm.common import table
 
 
+def op1_html_extraction(spark, sf_dir):
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_lm_scoring(spark, sf_dir):
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -34,12 +38,17 @@ def op8_secret_scan(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_near_dedup(spark, sf_dir):
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_lm_scoring, op3_exact_dedup, op4_quality_classifier, op5_simhash_near_dedup, op6_packing, op7_mixing, op8_secret_scan, op10_toxicity)}
+    op1_html_extraction, op2_lm_scoring, op3_exact_dedup, op4_quality_classifier, op5_simhash_near_dedup, op6_packing, op7_mixing,
+    op8_secret_scan, op9_embedding_near_dedup, op10_toxicity)}
 
 #: A-Z lower-cased only, as the contract says.
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
