@@ -25,7 +25,6 @@ table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -39,41 +38,47 @@ WINDOW, END = 2048, 1
 BLOCK, QUERY_TERMS = 2048, 24
 
 
-#: White space for which splitting at spaces could part what one token holds:
-#: a space beside other white space or at either end.
-_MIXED_BLANKS = re.compile(r"\s | \s|\A | \Z")
+#: White space other than the space and the line feed, as the vocabulary's
+#: pattern counts it. Fixed values.
+_OTHER_BLANKS = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-class Encoder:
-    """Ids as little-endian uint32 bytes, cached by word: between two
-    non-blank characters a single space always begins a new token."""
+def _plainly_spaced(text: str) -> bool:
+    """Whether each space stands between two non-blank characters, so that a
+    new token begins at every space."""
+    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
+        return False
+    return not any(c in text for c in _OTHER_BLANKS)
 
-    def __init__(self, vocabulary: str, pattern: str, cache: int = 400_000):
+
+class Encoder(dict):
+    """Ids as little-endian uint32 bytes, cached by word with the space before
+    it; a text with uncommon spacing is encoded as a whole."""
+
+    def __init__(self, vocabulary: str, pattern: str, size: int = 400_000):
         import base64
 
         import tiktoken
 
+        super().__init__()
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.plain = tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.cache, self.size = {}, cache
+        self.plain, self.size = tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), size
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.plain.encode_ordinary(text), "<u4").tobytes()
 
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self._ids(" " + word)
+        return ids
+
     def __call__(self, text: str) -> bytes:
-        if _MIXED_BLANKS.search(text):
+        if not _plainly_spaced(text):
             return self._ids(text)
+        if len(self) > self.size:
+            self.clear()
         first, *rest = text.split(" ")
-        if len(self.cache) > self.size:
-            self.cache.clear()
-        cache, out = self.cache, [self._ids(first)]
-        for w in rest:
-            v = cache.get(w)
-            if v is None:
-                v = cache[w] = self._ids(" " + w)
-            out.append(v)
-        return b"".join(out)
+        return self._ids(first) + b"".join(map(self.__getitem__, rest))
 
 
 def _encoder(cached={}):  # one per Python worker
@@ -129,13 +134,14 @@ def _index(ids: list[np.ndarray], query_terms: int):
     idf = np.log1p((len(ids) - df + 0.5) / (df + 0.5))
     weight = idf[term] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length[doc] / length.mean()))
     # the best terms of a document that another one shares
-    rank = np.lexsort((-np.where(df[term] > 1, weight, 0), doc))
+    worth = np.where(df[term] > 1, weight, 0)
+    rank = np.argsort((doc << 32) + (1 << 31) - np.rint(worth * (1 << 20)).astype(np.int64))
     first = np.searchsorted(doc, np.arange(len(ids)))
     nth = np.empty(len(doc), np.int64)
     nth[rank] = np.arange(len(doc)) - first[doc[rank]]
     best = (nth < query_terms) & (df[term] > 1)
     queries = np.split(term[best], np.searchsorted(doc[best], np.arange(1, len(ids))))
-    order = np.lexsort((doc, term))
+    order = np.argsort((term.astype(np.int64) << 32) + doc)
     return doc[order], weight[order], np.searchsorted(term[order], np.arange(len(names) + 1)), queries
 
 
@@ -225,7 +231,8 @@ def pack(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, query_terms:
     rows = stage(tokenized(docs, window))
     # a crowded min-hash value gets one shard for every block of its documents
     crowd = rows.groupBy("minhash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    crowd = crowd.select("minhash", F.ceil(F.col("n") / block).alias("salts"))
+    # stored, so that Spark knows its size before it plans the join
+    crowd = stage(crowd.select("minhash", F.ceil(F.col("n") / block).alias("salts")))
     dealt = rows.join(crowd, "minhash", "left").select(
         "doc_id", "n_tokens", "whole", "rest", "minhash",
         F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "rest"), F.col("salts"))).alias("salt"))
