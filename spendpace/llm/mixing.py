@@ -91,7 +91,7 @@ def plan(rows: DataFrame, seed: int = 7, max_epochs: int = 3, slice_rows: int =
 def mix(docs: DataFrame, seed: int = 7, max_epochs: int = 3) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, whole, part."""
     rows = pick(docs, "doc_id", "text", "source").select("doc_id", "source", size_of(F.col("text")).alias("size"))
-    return plan(rows, seed, max_epochs).select("doc_id", "size", "source_size", "target", "taken", "whole", "part")
+    return plan(stage(rows), seed, max_epochs).select("doc_id", "size", "source_size", "target", "taken", "whole", "part")
 
 
 def mixed(docs: DataFrame, seed: int = 7, max_epochs: int = 3) -> DataFrame:
