@@ -41,7 +41,7 @@ from spendpace.llm.common import fold, pick, stage, utf8
 
 FOLDS, HELD = 5, 1
 #: Tokens of one block, and n-grams one slot should hold.
-BLOCK, SLOT = 3_000_000, 2_000_000
+BLOCK, SLOT = 2_000_000, 2_000_000
 #: Buckets of context frequency, and steps per doubling of an estimate.
 BUCKETS, FINE, LOWEST = 24, 4, 40
 
