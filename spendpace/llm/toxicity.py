@@ -100,18 +100,25 @@ def train(hashed: list[np.ndarray], y: np.ndarray, bits: int = 24, factors: int
         share = pos / n if n else 0.0
         bias = -35.0 if share == 0 else 35.0
         return Machine(bits, bias, {}, np.zeros(0), np.zeros((0, factors)))
-    flat = np.concatenate(hashed) if hashed else np.zeros(0, np.int64)
-    doc = np.repeat(np.arange(n), [len(h) for h in hashed])
-    names, col = np.unique(flat, return_inverse=True)
-    df = np.bincount(col, minlength=len(names))
-    dp = np.bincount(col, y[doc], len(names))
+    # document frequencies, over all and over label 1, in two counting tables
+    df, dp = np.zeros(1 << bits, np.uint32), np.zeros(1 << bits, np.uint32)
+    for h, label in zip(hashed, y):
+        df[h] += 1
+        if label:
+            dp[h] += 1
+    least = max(4, int(n ** 0.5 / 8)) if min_docs is None else min_docs
+    names = np.nonzero(df >= least)[0]
+    df, dp = df[names].astype(float), dp[names].astype(float)
     rate_all = df / n
     z = (dp / pos - (df - dp) / (n - pos)) / np.sqrt(np.maximum(rate_all * (1 - rate_all), 1e-12) * (1 / pos + 1 / (n - pos)))
-    least = max(4, int(n ** 0.5 / 8)) if min_docs is None else min_docs
-    use = (df >= least) & (np.abs(z) >= min_z)
-    new = np.where(use, np.cumsum(use) - 1, -1)
-    keep = new[col] >= 0
-    doc, col, names = doc[keep], new[col[keep]], names[use]
+    names = names[np.abs(z) >= min_z]
+    if not len(names):
+        return Machine(bits, float(np.log(pos / (n - pos))), {}, np.zeros(0), np.zeros((0, factors)))
+    parts = []
+    for h in hashed:
+        k = np.searchsorted(names, h)
+        parts.append(k[names[np.minimum(k, len(names) - 1)] == h])
+    col, doc = np.concatenate(parts), np.repeat(np.arange(n), [len(x) for x in parts])
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(names)), rng.normal(0, 0.05, (len(names), factors))
     bias = np.log(pos / (n - pos))
@@ -152,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, bits: int = 24
             yield pa.RecordBatch.from_arrays([pa.array([np.array(s, "<u4").tobytes() for s in sets], pa.binary()), b.column("y")], ["h", "y"])
 
     rows = labelled_sample(docs, labels, "toxic", FOLDS, HELD, sample).mapInArrow(hashed, "h binary, y int").collect()
-    return train([np.frombuffer(r["h"], "<u4").astype(np.int64) for r in rows], np.array([r["y"] for r in rows], float), bits, **how)
+    return train([np.frombuffer(r["h"], "<u4") for r in rows], np.array([r["y"] for r in rows], float), bits, **how)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
