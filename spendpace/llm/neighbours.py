@@ -45,8 +45,11 @@ FLOOR = 0.6
 
 
 def _unit(column) -> np.ndarray:
-    """Vectors of one length as rows of norm 1 in double precision."""
-    x = np.array(column.to_pylist() if hasattr(column, "to_pylist") else list(column), np.float64)
+    """Vectors as rows of norm 1 in double precision; shorter ones end in
+    zeros, which changes no cosine."""
+    rows = column.to_pylist() if hasattr(column, "to_pylist") else list(column)
+    width = max(map(len, rows))
+    x = np.array([r if len(r) == width else [*r, *[0.0] * (width - len(r))] for r in rows], np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

@@ -121,8 +121,9 @@ def train(xp: np.ndarray, xu: np.ndarray, prior: float | None = None, steps: int
     """(weights, prior) minimising the non-negative risk over mini-batches."""
     if len(xp) < 4 or len(xu) < 4:
         return np.zeros(SHAPES + 48), 0.5
-    p = class_prior(xp, xu) if prior is None else prior
     rng = np.random.default_rng(seed)
+    xp, xu = rng.permutation(xp), rng.permutation(xu)  # the prior's halves must be alike
+    p = class_prior(xp, xu) if prior is None else prior
 
     def grad(w):
         a, b = xp[rng.integers(0, len(xp), min(len(xp), 1024))], xu[rng.integers(0, len(xu), min(len(xu), 1024))]
