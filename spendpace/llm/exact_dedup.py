@@ -112,14 +112,17 @@ def duplicates(docs: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
 
 def keep_one(docs: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """The documents without their copies, all columns as they were."""
-    _, links = _chains(docs, bucket_keys)
-    rows = wrap(docs, "doc_id", "text")
-    rows = rows.withColumn("t", lowered(F.col("text")))
+    index, links = _chains(docs, bucket_keys)
+    rows = wrap(docs, "doc_id", "text").withColumn("t", lowered(F.col("text")))
     rows = rows.select("doc_id", "row", F.xxhash64("t").alias("hash"), F.sha2("t", 256).alias("digest"))
-    rows = rows.join(links, ["hash", "digest"], "left")
-    alone = rows.where("group_size is null").select("row")
-    # the rows that bear the kept id: one, unless ids repeat
+    # kept ids that several rows bear beside the same text
+    repeated = stage(index.where("n > 1").join(links, ["hash", "digest"]).where("doc_id <=> keep_id")
+                     .select("hash", "digest", F.lit(True).alias("repeated")))
+    if repeated.isEmpty():
+        rows = rows.join(links, ["hash", "digest"], "left")
+        return unwrap(rows.where("group_size is null or doc_id <=> keep_id").select("row"), docs)
+    marked = links.join(repeated, ["hash", "digest"], "left")
+    kept = rows.join(marked, ["hash", "digest"], "left").where("group_size is null or doc_id <=> keep_id")
     same = Window.partitionBy("hash", "digest").orderBy(F.xxhash64("row"))
-    kept = (rows.where("group_size is not null and doc_id <=> keep_id")
-            .withColumn("nth", F.row_number().over(same)).where("nth = 1").select("row"))
-    return unwrap(alone.unionByName(kept), docs)
+    one = kept.where("repeated").withColumn("nth", F.row_number().over(same)).where("nth = 1").select("row")
+    return unwrap(kept.where("repeated is null").select("row").unionByName(one), docs)
