@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, MapType, StringType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from spendpace.config import PRIORITY_ORDER, SIZE_LADDER
 
@@ -17,10 +17,21 @@ def money(c) -> Column:
     return F.coalesce(c.try_cast(MONEY), F.lit(0).cast(MONEY))
 
 
+#: Money and prices of single fact rows: far below a cent, summed exactly.
+#: Published columns are rounded to ``MONEY``.
+FACT_MONEY = "decimal(38,12)"
+
+
+def fact_money(c: Column) -> Column:
+    """Like ``money``, at the width of single fact rows."""
+    return F.coalesce(c.try_cast(FACT_MONEY), F.lit(0).cast(FACT_MONEY))
+
+
 def tag_entries_expr(c: Column, dtype: DataType) -> Column:
     """A resource-tag cell -> array<struct<key,value>>, keys as given.
 
-    Native maps pass through. Text is parsed as a JSON object, else as a JSON
+    Native maps pass through, as do arrays of two-field structs and of pairs;
+    another type raises. Text is parsed as a JSON object, else as a JSON
     list of pairs (entries not exactly two long are skipped). Unparsable or
     NULL cells give an empty array. Entries are kept as an array, never
     rebuilt into a map, because duplicate keys would raise.
@@ -28,8 +39,15 @@ def tag_entries_expr(c: Column, dtype: DataType) -> Column:
     empty = F.array().cast("array<struct<key:string,value:string>>")
     if isinstance(dtype, MapType):
         return F.coalesce(F.map_entries(c.cast("map<string,string>")), empty)
+    if isinstance(dtype, ArrayType) and isinstance(dtype.elementType, StructType) and len(dtype.elementType.fields) == 2:
+        key, value = dtype.elementType.fieldNames()
+        whole = F.filter(c, lambda e: e.isNotNull())
+        return F.coalesce(F.transform(whole, lambda e: F.struct(e[key].cast("string").alias("key"), e[value].cast("string").alias("value"))), empty)
+    if isinstance(dtype, ArrayType) and isinstance(dtype.elementType, ArrayType):
+        pairs = F.filter(c.cast("array<array<string>>"), lambda e: F.size(e) == 2)
+        return F.coalesce(F.transform(pairs, lambda e: F.struct(e[0].alias("key"), e[1].alias("value"))), empty)
     if not isinstance(dtype, StringType):
-        return empty
+        raise TypeError(f"resource tags of type {dtype.simpleString()} are not supported")
     obj = F.from_json(c, "map<string,string>")
     pairs = F.filter(F.from_json(c, "array<array<string>>"), lambda p: F.size(p) == 2)
     pair_entries = F.transform(pairs, lambda p: F.struct(p[0].alias("key"), p[1].alias("value")))

@@ -101,11 +101,14 @@ def input_bytes(spark: SparkSession, paths: list[str]) -> int:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in spark.checkpoint.dir.
 
-    On a cluster it is set by the deployment and only read here. Where it is
-    unset (local tests) a scratch folder is created and registered.
+    On a cluster it is set by the deployment and only read here; a cluster
+    without it raises. In local mode a scratch folder stands in.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="spendpace-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
