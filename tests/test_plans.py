@@ -19,8 +19,9 @@ def test_registry_contract():
     qs, sqls = E.queries(), E.oracle_sql()
     assert set(sqls) <= set(qs)
     assert len(qs) >= 30
-    for name in qs:
-        cols = [c for c, _ in Q.REGISTRY[name].columns]
+    assert set(Q.REGISTRY) <= set(qs)
+    for name, query in Q.REGISTRY.items():
+        cols = [c for c, _ in query.columns]
         assert len(cols) == len(set(cols)), name
 
 
