@@ -21,15 +21,27 @@ def _contains_ci(c: Column, text: str) -> Column:
     return F.coalesce(F.lower(c).contains(text.lower()), F.lit(False))
 
 
-def assign_budgets(cur: DataFrame, budget_accounts: DataFrame) -> DataFrame:
+def _stripped(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def assign_budgets(cur: DataFrame, budget_accounts: DataFrame, budgets: DataFrame | None = None) -> DataFrame:
     """Account filter as a join: ``budget_accounts(budget_id, usage_account_id)``
     lists the accounts of each budget (ids compared as text). A line item
     belongs to every budget that lists its account. The account table is a
     dimension; Spark broadcasts it when its measured size is under the
-    broadcast threshold and shuffles otherwise."""
+    broadcast threshold and shuffles otherwise. Of ``budgets(budget_id)``,
+    those that list no account take every line item: their ids are one
+    array, laid beside each row without a join."""
     accounts = budget_accounts.select(
         "budget_id", F.col("usage_account_id").cast("string").alias("usage_account_id"))
-    return cur.join(accounts, on="usage_account_id", how="inner")
+    listed = cur.join(accounts, on="usage_account_id", how="inner")
+    if budgets is None:
+        return listed
+    unlisted = budgets.select("budget_id").join(accounts, "budget_id", "left_anti").agg(F.collect_set("budget_id"))
+    every = cur.select("*", unlisted.scalar().alias("ids")).select("*", F.explode("ids").alias("budget_id")).drop("ids")
+    return listed.unionByName(every)
 
 
 def line_type_kept(cfg: PaceConfig) -> Column:
@@ -47,9 +59,9 @@ def marketplace_mask(cfg: PaceConfig) -> Column:
 def tag_mask(cfg: PaceConfig) -> Column:
     """Vendor tag (trimmed, lower-cased) equals the vendor, or any
     attribution tag is non-blank."""
-    mask = F.coalesce(F.lower(F.trim(F.col(f"tag_{cfg.vendor_tag}"))) == cfg.vendor.lower(), F.lit(False))
+    mask = F.coalesce(F.lower(_stripped(F.col(f"tag_{cfg.vendor_tag}"))) == cfg.vendor.lower(), F.lit(False))
     for tag in cfg.attribution_tags:
-        mask = mask | F.coalesce(F.trim(F.col(f"tag_{tag}")) != "", F.lit(False))
+        mask = mask | F.coalesce(_stripped(F.col(f"tag_{tag}")) != "", F.lit(False))
     return mask
 
 

@@ -69,15 +69,15 @@ class CheckTables:
 
     @cached_property
     def jobs(self) -> DataFrame:
-        return INV.jobs(self.inputs.jobs_raw, self.cfg.priority_tag_key)
+        return materialize(INV.jobs(self.inputs.jobs_raw, self.cfg.priority_tag_key))
 
     @cached_property
     def warehouses(self) -> DataFrame:
-        return INV.warehouses(self.inputs.warehouses_raw, self.cfg.priority_tag_key)
+        return materialize(INV.warehouses(self.inputs.warehouses_raw, self.cfg.priority_tag_key))
 
     @cached_property
     def clusters(self) -> DataFrame:
-        return INV.clusters(self.inputs.clusters_raw, self.cfg.priority_tag_key)
+        return materialize(INV.clusters(self.inputs.clusters_raw, self.cfg.priority_tag_key))
 
     @cached_property
     def meta(self) -> DataFrame:

@@ -437,34 +437,21 @@ def _lit(v: float) -> str:
     return f"CAST({v!r} AS DOUBLE)"
 
 
-def _job_savings(f: str, spot: bool, cap, bid: bool) -> str:
-    from spendpace.config import Levers
-    cfg = Levers()
-    worker = f"({f} * {_lit(cfg.worker_cost_fraction)})"
-    after = f"({worker} * {_lit(1 - cfg.spot_discount)})" if spot else worker
-    savings = f"({worker} - {after})"
-    if cap is not None:
-        cut = f"({after} * {_lit(1 - cap)} * {_lit(cfg.worker_cap_efficiency)})"
-        savings = f"({savings} + {cut})"
-        after = f"({after} - {cut})"
-    if bid:
-        savings = f"({savings} + {after} * {_lit(cfg.spot_bid_savings_fraction)})"
-    return savings
-
-
 def _job_templates_sql() -> str:
+    """Options of a job with all levers on, stated apart from the operator."""
     from spendpace.config import Levers
-    from spendpace.operators.levers import job_cluster_templates
     cfg = Levers()
-    rows = []
-    for i, (spot, cap, bid) in enumerate(job_cluster_templates(cfg)):
-        rows.append(f"""SELECT e.*, {i} AS template_seq, {_m4(_job_savings('e.forecast_usd', spot, cap, bid))} AS estimated_savings,
-          {'true' if spot else 'CAST(NULL AS BOOLEAN)'} AS spot,
-          {_lit(cap) if cap is not None else 'CAST(NULL AS DOUBLE)'} AS max_workers_factor,
-          {cfg.min_workers if cap is not None else 'CAST(NULL AS INTEGER)'} AS min_workers,
-          {cfg.min_spot_bid_percent if bid else 'CAST(NULL AS INTEGER)'} AS spot_bid_percent
-        FROM jc_elig e""")
-    return "\n  UNION ALL ".join(rows)
+    d, e = _lit(cfg.spot_discount), _lit(cfg.worker_cap_efficiency)
+    b, w = _lit(cfg.spot_bid_savings_fraction), _lit(cfg.worker_cost_fraction)
+    one = "CAST(1 AS DOUBLE)"
+    cap = f"(CASE WHEN t.cap IS NULL THEN CAST(0 AS DOUBLE) ELSE ({one} - t.cap) * {e} END)"
+    rebate = f"(CASE WHEN t.bid IS NULL THEN CAST(0 AS DOUBLE) ELSE {b} END)"
+    share = f"({w} * ({one} - ({one} - {d}) * ({one} - {cap}) * ({one} - {rebate})))"
+    return f"""SELECT e.*, t.seq AS template_seq, {_m4(f"e.forecast_usd * {share}")} AS estimated_savings, true AS spot,
+      t.cap AS max_workers_factor, CASE WHEN t.cap IS NOT NULL THEN {cfg.min_workers} END AS min_workers,
+      t.bid AS spot_bid_percent
+    FROM jc_elig e, (VALUES (0, CAST(NULL AS DOUBLE), CAST(NULL AS INTEGER)),
+      (1, 0.75, NULL), (2, 0.5, NULL), (3, 0.5, {cfg.min_spot_bid_percent})) t(seq, cap, bid)"""
 
 
 _LADDER_LOWER = "[" + ", ".join(f"'{s.lower()}'" for s in __import__("spendpace.config", fromlist=["x"]).SIZE_LADDER) + "]"
@@ -588,9 +575,9 @@ cte("coverage", ["forecasts", "status", "options", "jobs", "warehouses", "cluste
          ELSE 'no_options_produced' END,
     NULL, NULL, NULL,
     CASE WHEN r.workload_type = 'JOB' AND r.found AND r.priority <> 'critical' THEN concat_ws('; ',
-         CASE WHEN r.severity <> 'CRITICAL' THEN 'schedule pausing engages only at CRITICAL' END,
-         CASE WHEN NOT coalesce(r.scheduled, false) THEN 'job has no schedule to pause' END,
-         'cluster levers found nothing to change') END
+         CASE WHEN r.severity <> 'CRITICAL' THEN 'pause_below_critical' END,
+         CASE WHEN NOT coalesce(r.scheduled, false) THEN 'no_schedule' END,
+         'cluster_unchanged') END
   FROM (SELECT f.*, s.severity, inv.scheduled, inv.budget_id IS NOT NULL AS found
         FROM forecasts f JOIN status s ON s.budget_id = f.budget_id AND s.as_of = f.as_of
          AND s.severity IN ('THROTTLE', 'CRITICAL')

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from spendpace.config import PaceConfig
 from spendpace.plans import oracle as O
 from spendpace.plans import weekly as W
+from spendpace.session import materialize
 from spendpace.sources import adapter
 
 def _fixed(places: int):
@@ -140,6 +141,19 @@ def q_ledger_daily(spark, sf_dir):
     return inputs(spark, sf_dir).vendor_ledger
 
 
+@register("ledger_open_accounts", REGISTRY["ledger_daily"].columns, ["ledger"], """
+  SELECT * FROM ledger
+  UNION ALL SELECT 99, usage_date, CAST(SUM(cost) AS DECIMAL(18,4)) FROM ledger GROUP BY usage_date""")
+def q_ledger_open_accounts(spark, sf_dir):
+    """FLT2: a further budget, 99, lists no account and takes every line item."""
+    from spendpace.operators import ledger as L
+    from spendpace.sources import cur as CUR
+    accounts = adapter.budget_accounts(spark, sf_dir)
+    budgets = accounts.select("budget_id").union(spark.range(99, 100).select(F.col("id").cast("int")))
+    cur = L.assign_budgets(CUR.normalize(adapter.cur_raw(spark, sf_dir), _CFG), accounts, budgets)
+    return L.daily_costs(L.attributed_rows(cur, _CFG))
+
+
 @register("cur_csv_ledger", REGISTRY["ledger_daily"].columns, ["ledger"], "SELECT * FROM ledger")
 def q_cur_csv_ledger(spark, sf_dir):
     """SRC2, SET1, PRJ1 (legacy names): the line items exported as gzip CSV
@@ -450,7 +464,6 @@ def _live_then(inp, first_at, later_at):
     from spendpace import config as C
     from spendpace.operators import queue as QU
     from spendpace.plans import check as CK
-    from spendpace.session import materialize
     uh = materialize(inp.usage_hourly())
     pt = CK.plan_tables(inp, _CFG, first_at.unionByName(later_at), uh)
     first = CK.build_check(inp, _CFG, first_at, pt=pt, usage_hourly=uh)
@@ -466,7 +479,6 @@ def _two_checks(spark, sf_dir):
     with the second check's releases and reverts."""
     from spendpace.operators import allocate as AL
     from spendpace.operators import queue as QU
-    from spendpace.session import materialize
     inp = inputs(spark, sf_dir)
     queue, active, second = _live_then(inp, adapter.transition_instants(inp.budgets, 0),
                                        adapter.transition_instants(inp.budgets, 1))
@@ -506,7 +518,7 @@ def _stream_rollup(spark: SparkSession, sf_dir: str):
     from spendpace.streaming import usage_stream as US
     schema = adapter.table(spark, sf_dir, "events").schema
     events = US.file_stream(spark, sf_dir, schema, glob="events.parquet")
-    rollup = US.hourly_rollup(adapter.usage_from_events(events), adapter.prices(spark, sf_dir),
+    rollup = US.hourly_rollup(adapter.usage_from_events(events), materialize(adapter.prices(spark, sf_dir)),
                               _CFG.forecast.usage_lag_hours)
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     return US, rollup, base
@@ -595,9 +607,16 @@ def q_check_summary(spark, sf_dir):
 
 @register("action_descriptions",
           [("budget_id", "int"), ("as_of", "ts"), ("pick_order", "int"), ("kind", "str"),
-           ("target_id", "str"), ("description", "str")])
+           ("target_id", "str"), ("description", "str")],
+          ["chosen"], """
+  SELECT *, concat_ws('; ', target_name, 'spot=' || CAST(spot AS VARCHAR),
+    'max_workers_factor=' || CAST(max_workers_factor AS VARCHAR), 'spot_bid_percent=' || CAST(spot_bid_percent AS VARCHAR),
+    'cluster_size=' || cluster_size, 'auto_stop_mins=' || CAST(auto_stop_mins AS VARCHAR),
+    'max_num_clusters=' || CAST(max_num_clusters AS VARCHAR),
+    'saves=' || CAST(estimated_savings AS VARCHAR)) AS description
+  FROM chosen""")
 def q_action_descriptions(spark, sf_dir):
-    """RPT4: one line per chosen action (text; compared by rows only)."""
+    """RPT4: one line per chosen action."""
     from spendpace.operators import specs as SP
     return SP.describe(check_tables(spark, sf_dir)[1].chosen)
 
@@ -675,11 +694,17 @@ def q_ledger_blended(spark, sf_dir):
 
 @register("cur_quality",
           [("rows", "long"), ("rows_with_start", "long"), ("rows_with_cost", "long")],
-          ["cur"], "SELECT COUNT(*) AS rows, COUNT(usage_start) AS rows_with_start, COUNT(cost) AS rows_with_cost FROM cur")
+          ["cur"], """
+  SELECT COUNT(*) AS rows, COUNT(l_shipdate) AS rows_with_start,
+         COUNT(*) FILTER (l_linestatus <> 'F' OR l_returnflag NOT IN ('A', 'N')) AS rows_with_cost
+  FROM lineitem""")
 def q_cur_quality(spark, sf_dir):
-    """PRJ4: required-column data-quality counts over the line items."""
+    """PRJ4: required-column counts over the raw line items, from a delivery
+    whose untyped lines have no cost and whose tax lines have text for it."""
     from spendpace.sources import cur as CUR
-    return CUR.required_column_check(inputs(spark, sf_dir).cur)
+    kind = F.col("line_item_line_item_type")
+    cost = F.when(kind == "Tax", F.lit("n/a")).when(kind.isNotNull(), F.col("line_item_unblended_cost").cast("string"))
+    return CUR.required_column_check(adapter.cur_raw(spark, sf_dir).withColumn("line_item_unblended_cost", cost))
 
 
 @register("revert_all",
