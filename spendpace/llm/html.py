@@ -43,6 +43,7 @@ from spendpace.llm.common import pick
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_LABEL = re.compile(r' data-k="([bc])"')
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 RAW = frozenset("script style noscript template title iframe svg math object textarea".split())
@@ -75,9 +76,10 @@ def _blank(text: str) -> str:
     return " ".join(entities.unescape(text).split())
 
 
-def parse(page: str) -> list[Node]:
+def parse(page: str, marked: bool = False) -> list[Node]:
     """The page's nodes in page order; nodes with text hold it decoded, with
-    single spaces."""
+    single spaces. Only in ``marked`` pages, those ``altered`` made, is the
+    label attribute read: pages may use that name for their own ends."""
     nodes = [Node("html", -1, 0)]
     stack, piece, linked, link = [0], [], 0, 0
     at, end = 0, len(page)
@@ -135,9 +137,8 @@ def parse(page: str) -> list[Node]:
             if tag in VOID:
                 continue
             attrs = m[3]
-            mark = None
-            if "data-k=" in attrs:
-                mark = attrs.split('data-k="')[1][:1]
+            label = _LABEL.search(attrs) if marked else None
+            mark = label[1] if label else None
             nodes.append(Node(tag, stack[-1], nodes[stack[-1]].depth + 1, _words(attrs) if attrs else frozenset(), mark))
             if not m[3].endswith("/"):
                 stack.append(len(nodes) - 1)
@@ -298,10 +299,10 @@ def _seeded(nodes: list[Node]) -> bool:
     return main
 
 
-def examples(page: str):
+def examples(page: str, marked: bool = False):
     """(features, labels) of a page's nodes: a text belongs to the article if
     its nearest marked ancestor does, an element if it holds such text."""
-    nodes = parse(page)
+    nodes = parse(page, marked)
     if not _seeded(nodes):
         return None
     side, label = ["b"] * len(nodes), np.zeros(len(nodes))
@@ -399,7 +400,8 @@ def learn(pages: list[str], forms: int = 4, seed: int = 11) -> Trees:
     """Trees from sampled pages and altered forms of them."""
     rng = random.Random(seed)
     texts = [t for t in (" ".join(n.text for n in parse(p) if n.tag == "p" and n.text) for p in pages) if t] or ["none"]
-    got = [examples(x) for p in pages for x in [p, *(altered(p, texts, rng) for _ in range(forms))]]
+    pages = [_LABEL.sub("", p) for p in pages]
+    got = [examples(x, True) for p in pages for x in [p, *(altered(p, texts, rng) for _ in range(forms))]]
     got = [g for g in got if g is not None]
     if not got:
         return Trees(1.0)

@@ -118,9 +118,11 @@ PAGE = ('<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><bo
 
 def test_html(spark):
     pages = table(spark, "/root/testdata/sf0.01", "pages")
-    odd = spark.createDataFrame([(-1, "u", PAGE), (-2, "u", None), (-3, None, ""), (-4, "u", "<<p<div>x"), (-5, "u", "<p>" * 5000 + "deep")], pages.schema)
+    odd = spark.createDataFrame([(-1, "u", PAGE), (-2, "u", None), (-3, None, ""), (-4, "u", "<<p<div>x"), (-5, "u", "<p>" * 5000 + "deep"),
+                                 (-6, "u", PAGE.replace("<p>", "<p data-k=x data-k='c'>"))], pages.schema)
     got = {r["page_id"]: r for r in html.main_text(pages.unionByName(odd)).collect()}
     assert got[-1]["text"] == "A & B\nFirst bold paragraph, with words.\nSecond one, été € ends here.\nThird part of the story, after the advert."
+    assert got[-6]["text"] == got[-1]["text"]  # pages may have an attribute of the training label's name
     assert got[-2]["text"] == got[-3]["text"] == "" and got[-2]["n_chars"] == 0
     for r in pages.collect():
         inner = r["html"].split("<article>")[1].split("</article>")[0]
