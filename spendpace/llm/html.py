@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendpace.llm.common import pick
+from spendpace.llm.common import first_by_hash, pick
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -414,7 +414,7 @@ def main_text(pages: DataFrame, sample: int = 300) -> DataFrame:
     import pyarrow as pa
 
     rows = pick(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit("")))
-    some = rows.where(F.length("html") < 200_000).orderBy(F.xxhash64("page_id", "html")).limit(sample).select("html").collect()
+    some = first_by_hash(rows.where(F.length("html") < 200_000), sample, "page_id", "html").select("html").collect()
     model = learn([r["html"] for r in some])
 
     def run(batches):

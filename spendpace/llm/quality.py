@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendpace.llm.common import labelled_sample, pick, scored, utf8
+from spendpace.llm.common import first_by_hash, labelled_sample, pick, scored, utf8
 
 FOLDS, HELD, SHAPES = 4, 2, 256
 
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6_000) -> np.ndarray:
         return np.array([np.frombuffer(r["x"], "<f4") for r in got], float).reshape(-1, SHAPES + 48)
 
     positive = labelled_sample(docs, labels.where(F.col("quality") == 1), "quality", FOLDS, HELD, sample)
-    ids = pick(docs, "doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit("u")), "doc_id").limit(sample).distinct()
+    ids = first_by_hash(pick(docs, "doc_id").where("doc_id is not null"), sample, "doc_id").distinct()
     text = pick(docs, "doc_id", "text").select("doc_id", utf8(F.col("text")).alias("text"))
     unlabelled = text.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id", "text")).limit(sample)
     return train(rows(positive), rows(unlabelled.select("text", F.lit(0).alias("y"))))[0]

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from spendpace.llm import html, lm, quality, toxicity
-from spendpace.llm.common import table
+from spendpace.llm.common import first_by_hash, table
 
 ODD = [(1, None, "a"), (2, "", "a"), (3, "idiot " * 5, None), (3, "idiot " * 5, None), (None, "the of and", "b"), (4, "w\x85x\tY " * 40_000, "b")]
 DOCS = "doc_id long, text string, source string, score string"
@@ -78,6 +78,16 @@ def test_odd_rows_and_no_labels(spark, score):
     assert score(docs.limit(0), known.limit(0)).count() == 0
 
 
+def test_bounded_sample_is_the_first_by_hash(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_000).select(F.when(F.col("id") > 4, F.col("id") % 9_000).alias("k"), "id")
+    for n in (1, 50, 5_000):
+        want = rows.orderBy(F.xxhash64("k"), "k", "id").limit(n).collect()
+        assert first_by_hash(rows, n, "k", "id").collect() == want
+    assert first_by_hash(rows.where("k is null"), 3, "k", "id").count() == 3 and first_by_hash(rows.limit(0), 3, "k").count() == 0
+
+
 def test_clean_keeps_columns(spark, sf):
     docs = sf("documents")
     got = toxicity.clean(docs, sf("labels"))
