@@ -34,8 +34,10 @@ class CheckTables:
     @cached_property
     def usage_hourly(self) -> DataFrame:
         """The given hourly table as is (the caller's table or stage), else
-        the priced rollup of the inputs, materialized."""
-        return self._uh if self._uh is not None else materialize(self.inputs.usage_hourly())
+        the priced rollup of the days this check can read, materialized."""
+        if self._uh is not None:
+            return self._uh
+        return materialize(self.inputs.usage_hourly(*W.usage_window(self.instants, self.cfg)))
 
     @cached_property
     def plan(self) -> W.PlanTables:

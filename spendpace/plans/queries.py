@@ -464,8 +464,9 @@ def _live_then(inp, first_at, later_at):
     from spendpace import config as C
     from spendpace.operators import queue as QU
     from spendpace.plans import check as CK
-    uh = materialize(inp.usage_hourly())
-    pt = CK.plan_tables(inp, _CFG, first_at.unionByName(later_at), uh)
+    both = first_at.unionByName(later_at)
+    uh = materialize(inp.usage_hourly(*W.usage_window(both, _CFG)))
+    pt = CK.plan_tables(inp, _CFG, both, uh)
     first = CK.build_check(inp, _CFG, first_at, pt=pt, usage_hourly=uh)
     queue = materialize(QU.enqueue(first.chosen))
     active = materialize(QU.applied(first.chosen).filter(

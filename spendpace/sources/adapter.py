@@ -10,6 +10,8 @@ see identical inputs.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,9 +67,23 @@ def _case(c: Column, mapping: dict, default=None) -> Column:
     return expr
 
 
-def cur_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items in the parquet (snake_case) layout with one column per tag."""
-    li = table(spark, sf_dir, "lineitem").select(
+def _between(df: DataFrame, column: str, start: date | None, end: date | None, shift_days: int = 0) -> DataFrame:
+    """Rows whose ``column`` moved by ``shift_days`` lies in ``[start, end)``.
+    The bounds are moved instead, and take the column's own type, so that the
+    scan can skip row groups by them."""
+    kind = df.schema[column].dataType
+    bound = lambda d: F.lit(str(d - timedelta(days=shift_days))).cast(kind)
+    if start is not None:
+        df = df.filter(F.col(column) >= bound(start))
+    if end is not None:
+        df = df.filter(F.col(column) < bound(end))
+    return df
+
+
+def cur_raw(spark: SparkSession, sf_dir: str, start: date | None = None, end: date | None = None) -> DataFrame:
+    """Line items in the parquet (snake_case) layout with one column per tag,
+    of usage starting in ``[start, end)`` where given."""
+    li = _between(table(spark, sf_dir, "lineitem"), "l_shipdate", start, end, SHIP_SHIFT_DAYS).select(
         "l_partkey", "l_suppkey", "l_extendedprice", "l_discount",
         "l_returnflag", "l_linestatus", "l_shipdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size")
@@ -104,9 +120,9 @@ def budget_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad(F.col(N_BUDGETS_COL).cast("string"), 12, "0").alias("usage_account_id"))
 
 
-def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metered usage from events (see ``usage_from_events``)."""
-    return usage_from_events(table(spark, sf_dir, "events"))
+def usage(spark: SparkSession, sf_dir: str, start: date | None = None, end: date | None = None) -> DataFrame:
+    """Metered usage from events (see ``usage_from_events``) in ``[start, end)``."""
+    return usage_from_events(_between(table(spark, sf_dir, "events"), "ts", start, end))
 
 
 def usage_from_events(events: DataFrame) -> DataFrame:

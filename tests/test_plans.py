@@ -1,6 +1,7 @@
 """Plan-shape checks: pruned scans, no Python UDFs, partitioned windows,
 and the driver contract."""
 
+import datetime as dt
 import re
 
 import pytest
@@ -40,6 +41,31 @@ def test_billing_scan_is_pruned(spark):
     assert all("l_comment" not in s and "l_tax" not in s and "l_quantity" not in s for s in schemas)
 
 
+def test_time_bounds_reach_the_scans(spark):
+    inp = Q.inputs(spark, SF)
+    days = dt.date(2024, 1, 3), dt.date(2024, 1, 5)
+    for df, column in ((inp.usage_hourly(*days), "ts"), (inp.attributed(Q._CFG, *days), "l_shipdate")):
+        plan = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        pushed = [p for p in re.findall(r"PushedFilters: \[(.*)\]", plan) if column in p]
+        assert pushed and all(f"GreaterThanOrEqual({column}," in p and f"LessThan({column}," in p for p in pushed)
+    whole = inp.usage_hourly().where("hour_start >= '2024-01-03' and hour_start < '2024-01-05'")
+    assert _rows(inp.usage_hourly(*days)) == _rows(whole)
+    whole = inp.attributed(Q._CFG).where("usage_date >= '2024-01-03' and usage_date < '2024-01-05'")
+    assert inp.attributed(Q._CFG, *days).count() == whole.count() > 0
+
+
+@pytest.mark.parametrize("name", ["day_targets", "budget_status"])
+def test_plans_and_checks_bound_their_facts(spark, monkeypatch, name):
+    from spendpace.sources import adapter
+    bounds = []
+    for reader in ("usage", "cur_raw"):
+        read = getattr(adapter, reader)
+        monkeypatch.setattr(adapter, reader, lambda s, d, start=None, end=None, read=read:
+                            bounds.append(start) or read(s, d, start, end))
+    Q.REGISTRY[name].spark(spark, SF).collect()
+    assert len(bounds) == 2 and all(bounds)
+
+
 @pytest.mark.parametrize("name", ["usage_hourly", "ledger_daily", "weekly_plan", "budget_status"])
 def test_no_python_udf(spark, name):
     plan = _plan(Q.REGISTRY[name].spark(spark, SF))
