@@ -101,6 +101,57 @@ def test_vectors(spark):
     assert neighbours.near_duplicates(spark.createDataFrame([], schema)).count() == 0
 
 
+def vectors_frame(spark, x, labels=None):
+    rows = [(i, v.astype(np.float32).tolist(), 0 if labels is None else int(labels[i])) for i, v in enumerate(x)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+
+
+def test_audit_is_not_hidden_by_a_large_set(spark):
+    rng = np.random.default_rng(11)
+    crowd = rng.normal(size=64) + rng.normal(0, 0.03, (300, 64))
+    pairs = np.repeat(rng.normal(size=(60, 64)), 2, 0) + rng.normal(0, 0.03, (120, 64))
+    all_nodes = stage(neighbours.nodes(vectors_frame(spark, np.concatenate([crowd, pairs]))))
+    found = all_nodes.where("least < 300").selectExpr("rid", "299L as links")
+    assert neighbours.recall(all_nodes, found, 0.98, 1000) == 0.0
+    _, right = neighbours.exact(all_nodes, 0.98)
+    assert neighbours.recall(all_nodes, right, 0.98, 1000) == 1.0
+    # nodes without links say nothing about recall
+    assert neighbours.recall(all_nodes, right, 0.98, 8, most=32, enough=200) is None
+
+
+def test_exact_comparison_is_brute_force(spark):
+    rng = np.random.default_rng(12)
+    x, label = np.repeat(rng.normal(size=(500, 32)), 3, 0) + rng.normal(0, 0.1, (1500, 32)), rng.integers(0, 2, 1500)
+    all_nodes = stage(neighbours.nodes(vectors_frame(spark, x, label)))
+    roots, counts = neighbours.exact(all_nodes, 0.98)
+    id_of = {r["rid"]: r["least"] for r in all_nodes.collect()}
+    x = x.astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    assert {id_of[r["rid"]]: r["links"] for r in counts.collect()} == dict(enumerate(near.sum(1).tolist()))
+    groups = {}
+    for r in roots.collect():
+        groups.setdefault(r["root"], set()).add(id_of[r["node"]])
+    want = {}
+    for i, c in enumerate(sets(1500, zip(*np.nonzero(near)))):
+        want.setdefault(c, set()).add(i)
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+
+
+def test_windows_reach_across_tasks(spark):
+    turn = np.linspace(0, 1.5, 600)
+    all_nodes = stage(neighbours.nodes(vectors_frame(spark, np.stack([np.cos(turn), np.sin(turn)], 1))))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        found = neighbours.start(all_nodes, 0.9999, 4, 1, bits=0)
+        assert components(found.where("cos is null or cos >= 0.9999").select("u", "v")).select("root").distinct().count() == 1
+    finally:
+        spark.conf.set(key, before)
+
+
 def check_packing(rows, pieces):
     import public_tokenizers
     from tokenizers import Tokenizer
