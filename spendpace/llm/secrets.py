@@ -2,17 +2,19 @@
 
 ``scan`` finds candidate spans in each whole text by fixed patterns: the three
 base kinds, and further kinds that the method may add. ``ownership`` counts for
-each candidate value (its hash) how many distinct repositories (documents) and
-owners (sources) hold it. A further candidate becomes a span only if it is
-owner-specific: held by at most ``max_owners`` owners and ``max_repos``
-documents; a value copied widely is an example, a test vector or a licence
-number, not a live credential. Base spans always stay; ``live`` counts those of
-a document's spans whose value is owner-specific.
+each candidate value (its hash) how many distinct owners (sources) hold it. A
+further candidate becomes a span unless more owners hold it than ``widely``
+allows, 2 and more the more owners there are: a value copied that widely is an
+example, a test vector or a licence number, not a live credential. How many
+documents of an owner hold a value does not matter, so neither a repeated
+configuration nor a group of copies takes a credential away. Base spans always
+stay; ``live`` counts those of a document's spans whose value is not widely
+copied.
 
 Candidates are a small part of the corpus: texts are read once and never
-shuffled, candidate rows are reduced to distinct (value, owner) and (value,
-document) pairs within each task before they are counted, so a value that
-occurs in a third of all rows is one row per task and owner.
+shuffled, candidate rows are reduced to distinct (value, owner) pairs within
+each task before they are counted, so a value that occurs in a third of all
+rows is one row per task and owner.
 
 Defined results: a null text is empty; documents without spans have zero
 counts, the hash of the empty string and an empty ``spans``; a null source is
@@ -101,19 +103,23 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """(value, owners, repos) from candidate rows (value, source, doc_id)."""
-    owners = candidates.select("value", F.struct("source").alias("s")).distinct().groupBy("value").agg(F.count(F.lit(1)).alias("owners"))
-    repos = candidates.select("value", F.struct("doc_id").alias("d")).distinct().groupBy("value").agg(F.count(F.lit(1)).alias("repos"))
-    return owners.join(repos, "value")
+    """(value, owners) from candidate rows (value, source)."""
+    return candidates.select("value", F.struct("source").alias("s")).distinct().groupBy("value").agg(F.count(F.lit(1)).alias("owners"))
 
 
-def find_secrets(docs: DataFrame, max_owners: int = 1, max_repos: int = 3) -> DataFrame:
+def widely(owners: int) -> int:
+    """Of so many owners, how many may hold a value that is not an example."""
+    return max(2, round(owners ** 0.5 / 2))
+
+
+def find_secrets(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, the base counts and hash, ``spans``, and how many
-    spans hold an owner-specific (``n_live``) or widely copied value."""
+    spans hold a live (``n_live``) or widely copied value (``n_copied``)."""
     scanned = stage(scan(docs).withColumn("row", F.expr("uuid()")))
     found = scanned.where(F.size("spans") > 0)
-    each = found.select("row", "source", "doc_id", F.explode("spans").alias("s")).select("row", "source", "doc_id", "s.*")
-    owned = ownership(each).select("value", ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("live"))
+    each = found.select("row", "source", F.explode("spans").alias("s")).select("row", "source", "s.*")
+    most = widely(scanned.select(F.struct("source")).distinct().count())
+    owned = ownership(each).select("value", (F.col("owners") <= most).alias("live"))
     judged = each.join(owned, "value").where("base or live")
     place = F.struct("start", (~F.col("base")).alias("later"), F.when(F.col("kind") == "assign", 0).when(
         F.col("kind") == "access", 1).when(F.col("kind") == "hex", 2).otherwise(3).alias("nth"), "kind", "end", "live")

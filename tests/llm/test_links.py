@@ -226,6 +226,16 @@ def test_secrets(spark):
     assert spans[1] == "mixed:4:44" and spans[10] == "" and spans[3] == ""
 
 
+def test_copies_within_an_owner_stay_secrets(spark):
+    rng = np.random.default_rng(10)
+    one, two, wide = ("".join(rng.choice(list("ABCDEFGHJKabcdefghjk0123456789"), 40)) for _ in range(3))
+    rows = [(i, f"setting {i} {one}", "a") for i in range(6)] + [(10, f"x {two}", "a"), (11, f"y {two}", "b")]
+    rows += [(20 + i, f"the same page {one}", "a") for i in range(6)] + [(30 + i, f"example {i} {wide}", f"s{i}") for i in range(6)]
+    got = {r["doc_id"]: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i]["n_live"] == (i < 30) and (got[i]["spans"] != "") == (i < 30) for i, _, _ in rows)
+    assert [secrets.widely(n) for n in (0, 8, 100, 10_000)] == [2, 2, 5, 50]
+
+
 def test_pipeline_stages(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     start = docs
