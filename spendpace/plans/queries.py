@@ -173,14 +173,14 @@ def q_cur_csv_ledger(spark, sf_dir):
           [("file_name", "str"), ("billing_period", "str"), ("copies", "long"), ("first_path", "str"),
            ("last_path", "str")])
 def q_cur_delivery_duplicates(spark, sf_dir):
-    """SRC4: versioned-delivery detector over the file index of a CSV export
-    whose second period was delivered twice (same file names in two
-    assembly folders). No SQL twin: the input is a file listing."""
+    """SRC4: versioned-delivery detector over the files of a CSV export of all
+    billing periods whose second one was delivered twice (same file names in
+    two assembly folders). No SQL twin: the input is a file listing."""
     import uuid
     from spendpace.session import checkpoint_dir
     from spendpace.sources import cur as CUR
     root = adapter.write_cur_redelivery(spark, sf_dir, f"{checkpoint_dir(spark)}/cur-redelivery-{uuid.uuid4().hex}")
-    return CUR.delivery_duplicates(CUR.file_paths(spark, CUR.list_csv_files(spark, root)))
+    return CUR.delivery_duplicates(CUR.delivery_paths(spark, root))
 
 
 @register("granularity_check",

@@ -302,15 +302,17 @@ def job_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_cur_redelivery(spark: SparkSession, sf_dir: str, root: str) -> str:
-    """The second billing period's line items delivered twice, as export
-    assemblies 1 and 2 of the same period folder (a corrected re-delivery).
-    One partitioned write, so each task's file carries the same name in both
-    assembly folders, as a re-issued export does. Returns ``root``."""
-    start = F.col("line_item_usage_start_date")
-    late = cur_raw(spark, sf_dir).filter(start >= F.lit(CSV_PERIOD_SPLIT).cast("timestamp"))
-    (late.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("assembly"))
-     .write.mode("overwrite").partitionBy("assembly").option("header", "true").option("compression", "gzip")
-     .csv(f"{root}/{CSV_PERIODS[1]}"))
+    """All line items, the first billing period's delivered once and the
+    second's twice, as export assemblies 1 and 2 of the same period folder (a
+    corrected re-delivery). One partitioned write per period, so each task's
+    file carries the same name in both assembly folders, as a re-issued export
+    does. Returns ``root``."""
+    raw = cur_raw(spark, sf_dir)
+    early = F.coalesce(F.col("line_item_usage_start_date") < F.lit(CSV_PERIOD_SPLIT).cast("timestamp"), F.lit(True))
+    for rows, assemblies, period in ((raw.filter(early), [1], CSV_PERIODS[0]), (raw.filter(~early), [1, 2], CSV_PERIODS[1])):
+        (rows.select("*", F.explode(F.array(*map(F.lit, assemblies))).alias("assembly"))
+         .write.mode("overwrite").partitionBy("assembly").option("header", "true").option("compression", "gzip")
+         .csv(f"{root}/{period}"))
     return root
 
 

@@ -95,6 +95,18 @@ def test_redelivered_period_is_flagged(spark):
     assert all("assembly=1" in r.first_path and "assembly=2" in r.last_path for r in rows)
 
 
+def test_redelivery_exports_every_period(spark, tmp_path):
+    from spendpace.sources import adapter
+    from spendpace.sources import cur as CUR
+    root = adapter.write_cur_redelivery(spark, SF, str(tmp_path))
+    counts = [spark.read.option("header", "true").csv(f"{root}/{p}").groupBy("assembly").count().collect() for p in adapter.CSV_PERIODS]
+    first, second = ({r["assembly"]: r["count"] for r in rows} for rows in counts)
+    assert set(first) == {1} and set(second) == {1, 2} and second[1] == second[2]
+    assert first[1] + second[1] == adapter.cur_raw(spark, SF).count()
+    paths = [r["path"].split(root)[1] for r in CUR.delivery_paths(spark, root).collect()]
+    assert sorted(paths) == sorted(f.split(root)[1] for f in CUR.list_csv_files(spark, root))
+
+
 def test_state_after_two_checks(spark):
     """Next queue = queue + new pauses - released; next actions never hold a
     revert target or a released job's pause."""
