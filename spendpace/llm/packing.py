@@ -14,8 +14,9 @@ available. Without neighbours left that share a term, the following documents
 are used. What is left in a task at the end is cut at powers of two, which need
 no padding.
 
-All rows are packed and every token lies in exactly one piece; ``block`` bounds
-the memory of an index, not the documents considered: a partition is a chain of
+All rows are packed and every token lies in exactly one piece. ``block`` bounds
+the memory of an index and with it the retrieval: a seed finds neighbours only
+in its own block, by the block's own statistics. A partition is a chain of
 blocks, and an unfinished window goes on in the next one.
 
 Defined results: a null text is empty and packs as its end id alone; rows that
