@@ -46,12 +46,12 @@ _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 _LABEL = re.compile(r' data-k="([bc])"')
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-RAW = frozenset("script style noscript template title iframe svg math object textarea".split())
+RAW = frozenset("script style template title iframe svg textarea".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 GROUPS = {name: i for i, names in enumerate((
     "#text", "article main", "p", "h1", "h2 h3 h4 h5 h6", "ul ol dl menu", "li dt dd", "nav", "header", "footer", "aside",
     "form fieldset label select option button input legend", "table thead tbody tfoot tr td th caption",
-    "section div center", "html body", "blockquote pre figure figcaption address details summary dialog")) for name in names.split()}
+    "section div center noscript object", "html body", "blockquote pre figure figcaption address details summary dialog")) for name in names.split()}
 #: An open element of the key's kind ends where one of the value begins.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -204,7 +204,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         up = nodes[p] if p >= 0 else x
         extra.append((bad, good, ab, ag, tb, tg, min(far, 20), x.depth, x.kids, place, up.kids - place, chars[i], links[i] / (chars[i] or 1),
                       chars[i] / tags[i], tags[i], paras[i], stops[i] / (chars[i] / 100 + 1), chars[i] / total, chars[p] / total if p >= 0 else 1,
-                      GROUPS.get(up.tag, 13), "©" in text[:200], bool(text) and text[-1] in ".!?:…\"", len(up.words & BAD_WORDS), min(i / n, 1)))
+                      GROUPS.get(up.tag, 13), "©" in text, bool(text) and text[-1] in ".!?:…\"", len(up.words & BAD_WORDS), min(i / n, 1)))
         rows[i, GROUPS.get(x.tag, 13)] = 1
     rows[:, groups:] = extra
     return rows

@@ -140,6 +140,16 @@ def test_html(spark):
         assert got[r["page_id"]]["text"] == "\n".join(want) and got[r["page_id"]]["n_chars"] == len("\n".join(want))
 
 
+def test_formulas_objects_and_noscript_keep_their_text():
+    page = "<article><p>Let <math><mi>x</mi></math> be one.</p><object>A plan of it.</object><noscript>Without script.</noscript><math>y<p>The end.</p></article>"
+    text = [n.text for n in html.parse(page) if n.text]
+    assert html._blank(text[0]) == "Let x be one."
+    assert {"A plan of it.", "Without script.", "The end."} <= {html._blank(t) for t in text}
+    late = html.features(html.parse("<div><p>a</p><p>" + "long " * 60 + "\u00a9 site</p></div>"))
+    early = html.features(html.parse("<div><p>a</p><p>" + "\u00a9 site " + "long " * 60 + "</p></div>"))
+    assert (late[-1] == early[-1]).sum() >= late.shape[1] - 2 and late[:, -4].max() == early[:, -4].max() == 1
+
+
 def test_decoding_agrees_with_all_choices():
     rng = np.random.default_rng(4)
     for _ in range(200):
