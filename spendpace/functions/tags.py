@@ -27,6 +27,29 @@ def fact_money(c: Column) -> Column:
     return F.coalesce(c.try_cast(FACT_MONEY), F.lit(0).cast(FACT_MONEY))
 
 
+#: Metered usage. A row's quantity times its list price is exact at 21 places
+#: and sums stay exact up to 10^17 dollars. Beyond a field's width a job stops
+#: (``exact_amount``, and ANSI overflow of a sum); no amount is cut or dropped.
+QUANTITY, UNIT_PRICE, USAGE_MONEY = "decimal(22,12)", "decimal(15,9)", "decimal(38,21)"
+#: What usage dollars are published at and taken to floating point from.
+USAGE_PUBLISHED = "decimal(28,9)"
+
+
+def exact_amount(c: Column, kind: str) -> Column:
+    """A number as the decimal ``kind``: NULL, text that is no number and NaN
+    become 0; a finite number too large for the type raises."""
+    whole = 10 ** (int(kind[8:].split(",")[0]) - int(kind[:-1].split(",")[1]))
+    narrow, wide = c.try_cast(kind), c.try_cast("double")
+    fits = F.isnan(wide) | (F.abs(wide) == float("inf")) | (F.abs(wide) < whole)
+    return (F.when(narrow.isNotNull(), narrow).when(F.coalesce(fits, F.lit(True)), F.lit(0).cast(kind))
+            .otherwise(F.raise_error(F.concat(F.lit(f"usage amount beyond {kind}: "), c.cast("string"))).cast(kind)))
+
+
+def usage_double(c: Column) -> Column:
+    """Summed usage dollars for a ratio or a forecast."""
+    return c.cast(USAGE_PUBLISHED).cast("double")
+
+
 def tag_entries_expr(c: Column, dtype: DataType) -> Column:
     """A resource-tag cell -> array<struct<key,value>>, keys as given.
 

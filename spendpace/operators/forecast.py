@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from spendpace.config import MIN_WEEKDAY_SAMPLES, Forecasting
 from spendpace.functions import fiscal
+from spendpace.functions.tags import usage_double
 
 DAY_KEY = ["budget_id", "today"]
 
@@ -128,7 +129,7 @@ def forecasts(keys: DataFrame, pooled: DataFrame, modes: DataFrame, multipliers:
     prof = workload_day_profile(pooled, modes)
     k = keys.select("budget_id", "as_of", "today", F.col("now_hour").alias("hour"))
     f = (k.join(prof, DAY_KEY + ["hour"], "inner")
-         .withColumn("dbu_forecast", F.col("rest_of_day").cast("double") / F.col("pool_size"))
+         .withColumn("dbu_forecast", usage_double(F.col("rest_of_day")) / F.col("pool_size"))
          .filter(F.col("dbu_forecast") > 0))
     f = f.join(multipliers.select(*DAY_KEY, "global_multiplier"), DAY_KEY, "left")
     f = f.withColumn("multiplier", multiplier_for(F.col("compute_type"), F.col("global_multiplier"), cfg))
@@ -184,7 +185,7 @@ def intraday_fraction(keys: DataFrame, totals: DataFrame) -> DataFrame:
     j = k.join(totals, DAY_KEY + ["hour"], "left")
     linear = F.least(F.col("hour") / F.lit(24.0), F.lit(1.0))
     frac = F.when(F.col("day_total").isNull() | (F.col("day_total") <= 0), linear).otherwise(
-        F.col("before_hour").cast("double") / F.col("day_total").cast("double"))
+        usage_double(F.col("before_hour")) / usage_double(F.col("day_total")))
     return j.select("budget_id", "as_of", frac.alias("intraday_fraction"))
 
 
@@ -196,7 +197,7 @@ def lag_fill(keys: DataFrame, totals: DataFrame, multipliers: DataFrame) -> Data
     s = j.groupBy("budget_id", "as_of", "today").agg(
         F.sum("dbu").alias("dbu"), F.max("pool_size").alias("pool_size"))
     s = s.join(multipliers.select(*DAY_KEY, "global_multiplier"), DAY_KEY, "left")
-    fill = F.col("dbu").cast("double") / F.col("pool_size") * F.col("global_multiplier")
+    fill = usage_double(F.col("dbu")) / F.col("pool_size") * F.col("global_multiplier")
     out = keys.select("budget_id", "as_of").join(s.select("budget_id", "as_of", fill.alias("lag_fill")),
                                                  ["budget_id", "as_of"], "left")
     return out.select("budget_id", "as_of", F.coalesce("lag_fill", F.lit(0.0)).alias("lag_fill"))
@@ -244,8 +245,8 @@ def observed(keys: DataFrame, usage_hourly: DataFrame, week_start: DataFrame,
     t = t.join(multipliers.select(*DAY_KEY, "global_multiplier"), DAY_KEY, "left")
     m = multiplier_for(F.col("compute_type"), F.col("global_multiplier"), cfg)
     s = t.groupBy("budget_id", "as_of").agg(
-        F.sum(F.col("week_dbu").cast("double") * m).alias("observed_week"),
-        F.sum(F.coalesce(F.col("today_dbu"), F.lit(0)).cast("double") * m).alias("observed_today"))
+        F.sum(usage_double(F.col("week_dbu")) * m).alias("observed_week"),
+        F.sum(usage_double(F.coalesce(F.col("today_dbu"), F.lit(0))) * m).alias("observed_today"))
     out = keys.select("budget_id", "as_of").join(s, ["budget_id", "as_of"], "left")
     return out.select("budget_id", "as_of", F.coalesce("observed_week", F.lit(0.0)).alias("observed_week"),
                       F.coalesce("observed_today", F.lit(0.0)).alias("observed_today"))

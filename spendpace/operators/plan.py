@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendpace.functions import fiscal
-from spendpace.functions.tags import MONEY
+from spendpace.functions.tags import MONEY, usage_double
 
 
 def _ledger_keys(ledger: DataFrame) -> list[str]:
@@ -168,7 +168,7 @@ def calibration(ledger: DataFrame, usage_hourly: DataFrame, keys: DataFrame,
     days = F.coalesce(F.col("window_days"), F.lit(0))
     enough = (days >= min_days) & (F.col("dbu_sum") > 0)
     lo, hi = bounds
-    ratio = F.col("cur_sum").cast("double") / F.col("dbu_sum").cast("double")
+    ratio = F.col("cur_sum").cast("double") / usage_double(F.col("dbu_sum"))
     zero = F.lit(0).cast(MONEY)
     return j.select(
         "budget_id", "as_of",

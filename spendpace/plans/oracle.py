@@ -193,9 +193,9 @@ cte("targets", ["targets0"], """
 # ---------------------------------------------------------------- usage --
 cte("usage", [], f"""
   SELECT CAST(user_id % 5 AS INTEGER) AS budget_id, CAST(ts AS TIMESTAMP) AS usage_start_time,
-         event_type AS sku_name, 'AWS' AS cloud, value AS usage_quantity,
+         event_type AS sku_name, 'AWS' AS cloud, CAST(value AS DECIMAL(14,2)) AS value,
          {_case('event_type', A.COMPUTE_TYPES)} AS compute_type,
-         CASE WHEN user_id % 4 = 0 THEN CAST(user_id AS VARCHAR) END AS job_id,
+         CASE WHEN user_id % 4 = 0 OR user_id % 4 = 3 AND event_type <> 'error' THEN CAST(user_id AS VARCHAR) END AS job_id,
          CASE WHEN user_id % 4 = 1 THEN 'wh' || CAST(user_id AS VARCHAR) END AS warehouse_id,
          CASE WHEN user_id % 4 = 2 THEN 'c' || CAST(user_id AS VARCHAR) END AS cluster_id
   FROM events""")
@@ -203,13 +203,16 @@ cte("usage", [], f"""
 cte("prices", [], f"""
   SELECT s.sku_name, 'AWS' AS cloud, v.currency_code, v.price_start_time, v.price_end_time, v.price
   FROM (SELECT DISTINCT event_type AS sku_name FROM events) s CROSS JOIN (VALUES
-    ('USD', TIMESTAMP '{A.PRICE_EPOCH}', TIMESTAMP '{A.PRICE_CHANGE}', CAST({A.PRICE_BEFORE} AS DECIMAL(18,4))),
-    ('USD', TIMESTAMP '{A.PRICE_CHANGE}', CAST(NULL AS TIMESTAMP), CAST({A.PRICE_AFTER} AS DECIMAL(18,4))),
-    ('EUR', TIMESTAMP '{A.PRICE_EPOCH}', CAST(NULL AS TIMESTAMP), CAST({A.PRICE_EUR} AS DECIMAL(18,4)))
+    ('USD', TIMESTAMP '{A.PRICE_EPOCH}', TIMESTAMP '{A.PRICE_CHANGE}', CAST(1.00 AS DECIMAL(10,8))),
+    ('USD', TIMESTAMP '{A.PRICE_CHANGE}', CAST(NULL AS TIMESTAMP), CAST(1.25 AS DECIMAL(10,8))),
+    ('EUR', TIMESTAMP '{A.PRICE_EPOCH}', CAST(NULL AS TIMESTAMP), CAST(0.90 AS DECIMAL(10,8)))
   ) v(currency_code, price_start_time, price_end_time, price)""")
 
+# dollars of an event by the units it is worth, without the SKUs' units of
+# metering: views cost three ten-millionths more than the rest
+
 cte("priced", ["usage", "prices"], """
-  SELECT u.*, CAST(u.usage_quantity AS DECIMAL(18,4)) * p.price AS dbu_dollars,
+  SELECT u.*, u.value * p.price * CAST(CASE WHEN u.sku_name = 'view' THEN 1.0000003 ELSE 1 END AS DECIMAL(10,8)) AS dbu_dollars,
     CASE WHEN length(coalesce(u.job_id, '')) > 0 THEN 'JOB'
          WHEN length(coalesce(u.warehouse_id, '')) > 0 THEN 'WAREHOUSE'
          WHEN length(coalesce(u.cluster_id, '')) > 0 THEN 'CLUSTER' ELSE 'OTHER' END AS workload_type,
@@ -223,19 +226,19 @@ cte("priced", ["usage", "prices"], """
 
 cte("usage_hourly", ["priced"], """
   SELECT budget_id, date_trunc('hour', usage_start_time) AS hour_start, compute_type, workload_type,
-         workload_id, CAST(SUM(dbu_dollars) AS DECIMAL(18,4)) AS dbu_dollars
+         workload_id, SUM(dbu_dollars) AS dbu_dollars
   FROM priced WHERE usage_start_time IS NOT NULL AND compute_type IS NOT NULL
   GROUP BY ALL""")
 
 cte("usage_daily", ["priced"], """
   SELECT budget_id, CAST(usage_start_time AS DATE) AS usage_date,
-         CAST(SUM(dbu_dollars) AS DECIMAL(18,4)) AS dbu_dollars
+         SUM(dbu_dollars) AS dbu_dollars
   FROM priced GROUP BY ALL""")
 
 cte("calibration", ["pk", "ledger", "usage_hourly"], """
   SELECT k.budget_id, k.as_of,
     CASE WHEN coalesce(a.wd, 0) >= 7 AND a.ds > 0
-         THEN least(greatest(CAST(a.cs AS DOUBLE) / CAST(a.ds AS DOUBLE), CAST(1.0 AS DOUBLE)), CAST(4.0 AS DOUBLE))
+         THEN least(greatest(CAST(a.cs AS DOUBLE) / CAST(CAST(a.ds AS DECIMAL(28,9)) AS DOUBLE), CAST(1.0 AS DOUBLE)), CAST(4.0 AS DOUBLE))
          ELSE CAST(1.6 AS DOUBLE) END AS global_multiplier,
     CAST(coalesce(a.wd, 0) AS INTEGER) AS window_days,
     CAST(CASE WHEN coalesce(a.wd, 0) >= 7 AND a.ds > 0 THEN a.cs ELSE 0 END AS DECIMAL(18,4)) AS cur_total,
@@ -278,8 +281,7 @@ _SEG = _case("c_mktsegment", A.SEGMENT_PRIORITY)
 _LADDER = "[" + ", ".join(f"'{s}'" for s in __import__("spendpace.config", fromlist=["x"]).SIZE_LADDER) + "]"
 
 cte("inv_customers", [], """
-  SELECT c.*, CAST(c.c_custkey % 5 AS INTEGER) AS budget_id FROM customer c
-  WHERE c.c_custkey IN (SELECT user_id FROM events)""")
+  SELECT c.*, CAST(c.c_custkey % 5 AS INTEGER) AS budget_id FROM customer c""")
 
 cte("jobs", ["inv_customers"], f"""
   SELECT budget_id, CAST(c_custkey AS VARCHAR) AS job_id,
@@ -287,7 +289,7 @@ cte("jobs", ["inv_customers"], f"""
          ELSE 'job-' || CAST(c_custkey AS VARCHAR) END AS name,
     (c_nationkey % 3 <> 0) AS has_schedule, (c_nationkey % 3 = 2) AS schedule_paused,
     {_prio(_SEG)} AS priority
-  FROM inv_customers WHERE c_custkey % 4 = 0""")
+  FROM inv_customers WHERE c_custkey % 4 IN (0, 3)""")
 
 cte("warehouses", ["inv_customers"], f"""
   SELECT budget_id, 'wh' || CAST(c_custkey AS VARCHAR) AS warehouse_id,
@@ -355,7 +357,7 @@ cte("forecasts", ["hist_pool", "ck", "mult", "workload_meta"], """
                        f.workload_type, f.workload_id) AS forecast_rank
   FROM (SELECT budget_id, as_of, workload_type, workload_id, MAX(pool_size) AS pool_size,
                CAST(CAST(coalesce(SUM(dbu_dollars) FILTER (WHERE in_pool AND hour >= now_hour), 0)
-                    AS DECIMAL(18,4)) AS DOUBLE) / MAX(pool_size) AS dbu_forecast
+                    AS DECIMAL(28,9)) AS DOUBLE) / MAX(pool_size) AS dbu_forecast
         FROM hist_pool GROUP BY ALL) f
   JOIN (SELECT budget_id, as_of, workload_type, workload_id, compute_type FROM (
           SELECT budget_id, as_of, workload_type, workload_id, compute_type,
@@ -379,17 +381,17 @@ cte("pace_inputs", ["ck", "hist_pool", "mult", "weekly_plan", "usage_hourly"], "
   FROM ck k
   LEFT JOIN mult c ON c.budget_id = k.budget_id AND c.today = k.today
   LEFT JOIN (SELECT budget_id, as_of,
-               CAST(coalesce(SUM(dbu_dollars) FILTER (WHERE in_pool AND hour < now_hour), 0) AS DECIMAL(18,4)) AS before,
-               CAST(SUM(dbu_dollars) FILTER (WHERE in_pool) AS DECIMAL(18,4)) AS total
+               CAST(coalesce(SUM(dbu_dollars) FILTER (WHERE in_pool AND hour < now_hour), 0) AS DECIMAL(28,9)) AS before,
+               CAST(SUM(dbu_dollars) FILTER (WHERE in_pool) AS DECIMAL(28,9)) AS total
              FROM hist_pool GROUP BY ALL) fr ON fr.budget_id = k.budget_id AND fr.as_of = k.as_of
-  LEFT JOIN (SELECT h.budget_id, h.as_of, CAST(SUM(h.dbu_dollars) AS DECIMAL(18,4)) AS dbu, MAX(h.pool_size) AS pool_size
+  LEFT JOIN (SELECT h.budget_id, h.as_of, CAST(SUM(h.dbu_dollars) AS DECIMAL(28,9)) AS dbu, MAX(h.pool_size) AS pool_size
              FROM hist_pool h
              WHERE h.in_pool AND h.hour IN (hour(h.as_of - INTERVAL 1 HOUR), hour(h.as_of - INTERVAL 2 HOUR),
                                              hour(h.as_of - INTERVAL 3 HOUR))
              GROUP BY ALL) lf ON lf.budget_id = k.budget_id AND lf.as_of = k.as_of
   LEFT JOIN (SELECT t.budget_id, t.as_of,
-               SUM(CAST(CAST(t.week_dbu AS DECIMAL(18,4)) AS DOUBLE) * c2.global_multiplier) AS observed_week,
-               SUM(CAST(CAST(coalesce(t.today_dbu, 0) AS DECIMAL(18,4)) AS DOUBLE) * c2.global_multiplier) AS observed_today
+               SUM(CAST(CAST(t.week_dbu AS DECIMAL(28,9)) AS DOUBLE) * c2.global_multiplier) AS observed_week,
+               SUM(CAST(CAST(coalesce(t.today_dbu, 0) AS DECIMAL(28,9)) AS DOUBLE) * c2.global_multiplier) AS observed_today
              FROM (SELECT k2.budget_id, k2.as_of, k2.today, u.compute_type, SUM(u.dbu_dollars) AS week_dbu,
                           SUM(u.dbu_dollars) FILTER (WHERE u.hour_start >= CAST(greatest(k2.today, p.week_start) AS TIMESTAMP)) AS today_dbu
                    FROM ck k2 JOIN weekly_plan p ON p.budget_id = k2.budget_id AND p.as_of = k2.today
@@ -778,7 +780,7 @@ def _spec_side(origin: str, key: str, size: str, cond: str) -> str:
          ELSE CASE WHEN s.c_nationkey % 2 = 0 THEN 2 END END AS first_on_demand,
     c.spot_bid_percent AS spot_bid_price_percent
   FROM chosen c JOIN inv_customers s ON c.budget_id = s.budget_id AND c.target_id = CAST(s.c_custkey AS VARCHAR)
-  WHERE c.kind = 'job_cluster_throttle' AND s.c_custkey % 4 = 0 AND {cond}"""
+  WHERE c.kind = 'job_cluster_throttle' AND s.c_custkey % 4 IN (0, 3) AND {cond}"""
 
 
 cte("spec_changes", ["chosen", "inv_customers"],

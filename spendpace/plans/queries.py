@@ -41,6 +41,7 @@ KINDS = {
     "money": _fixed(4),
     "ratio": _fixed(6),
     "dec": (lambda c: c.cast("decimal(18,4)"), "CAST({} AS DECIMAL(18,4))"),
+    "usage": (lambda c: c.cast("decimal(28,9)"), "CAST({} AS DECIMAL(28,9))"),
     "int": (lambda c: c.cast("int"), "CAST({} AS INTEGER)"),
     "long": (lambda c: c.cast("bigint"), "CAST({} AS BIGINT)"),
     "str": (lambda c: c.cast("string"), "CAST({} AS VARCHAR)"),
@@ -199,14 +200,14 @@ def q_granularity_check(spark, sf_dir):
 
 @register("usage_hourly",
           [("budget_id", "int"), ("hour_start", "ts"), ("compute_type", "str"), ("workload_type", "str"),
-           ("workload_id", "str"), ("dbu_dollars", "dec")],
+           ("workload_id", "str"), ("dbu_dollars", "usage")],
           ["usage_hourly"], "SELECT * FROM usage_hourly")
 def q_usage_hourly(spark, sf_dir):
     """SRC5, JOIN1, PRJ8, AGG3: hourly priced usage by workload."""
     return inputs(spark, sf_dir).usage_hourly()
 
 
-@register("usage_daily", [("budget_id", "int"), ("usage_date", "date"), ("dbu_dollars", "dec")],
+@register("usage_daily", [("budget_id", "int"), ("usage_date", "date"), ("dbu_dollars", "usage")],
           ["usage_daily"], "SELECT * FROM usage_daily")
 def q_usage_daily(spark, sf_dir):
     """SRC6: daily priced usage."""

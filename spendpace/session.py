@@ -20,7 +20,10 @@ SESSION_CONF = {
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "spendpace", extra: dict | None = None) -> SparkSession:
+              app_name: str = "spendpace", extra: dict | None = None, facts: list[str] | None = None) -> SparkSession:
+    """A session with the settings above. ``facts``: paths of the run's fact
+    tables, whose size sets the partitioning (``scale_settings``) once, here;
+    no query changes it later."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -32,6 +35,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if facts:
+        apply_scale_settings(spark, input_bytes(spark, facts))
     return spark
 
 

@@ -22,11 +22,15 @@ from spendpace.functions.tags import MONEY
 # ---------------------------------------------------------------------------
 #: Shift of l_shipdate into the events' month; a multiple of 7 keeps weekdays.
 SHIP_SHIFT_DAYS = 8218
-#: Price list: every SKU costs 1.00 until the change, 1.25 from it (open end);
-#: a EUR row checks that only USD prices are used.
+#: Price list: a SKU's price until the change and, a quarter higher, from it
+#: (open end); a EUR row checks that only USD prices are used.
 PRICE_EPOCH = "2023-01-01 00:00:00"
 PRICE_CHANGE = "2024-01-16 00:00:00"
 PRICE_BEFORE, PRICE_AFTER, PRICE_EUR = "1.00", "1.25", "0.90"
+#: SKUs metered in other units, (units per event value, price before, price
+#: after): view in hundred thousands at a price with a small remainder, error in
+#: hundred-thousandths at a price far below a cent.
+OTHER_UNITS = {"view": ("0.00001", "100000.03", "125000.0375"), "error": ("100000", "0.00001", "0.0000125")}
 #: Compute type per event type.
 COMPUTE_TYPES = {"click": "JOBS", "view": "SQL", "purchase": "ALL_PURPOSE",
                  "signup": "DLT", "error": "SERVERLESS"}
@@ -127,20 +131,24 @@ def usage(spark: SparkSession, sf_dir: str, start: date | None = None, end: date
 
 def usage_from_events(events: DataFrame) -> DataFrame:
     """Workspace (= budget) is user_id % 5 and the workload kind is
-    user_id % 4 (job, warehouse, cluster, none). Row-wise only, so it
-    applies to a stream of events as well."""
+    user_id % 4 (job, warehouse, cluster, job); errors of the last remainder
+    name no workload. Row-wise only, so it applies to a stream of events as
+    well."""
     uid = F.col("user_id")
     kind = uid % 4
     uid_s = uid.cast("string")
+    units = F.lit("1").cast("decimal(12,6)")
+    for sku, (per_value, _, _) in OTHER_UNITS.items():
+        units = F.when(F.col("event_type") == sku, F.lit(per_value).cast("decimal(12,6)")).otherwise(units)
     return events.select(
         (uid % 5).cast("int").alias("budget_id"),
         F.col("ts").cast("timestamp").alias("usage_start_time"),
         F.col("event_type").alias("sku_name"),
         F.lit("AWS").alias("cloud"),
-        F.col("value").alias("usage_quantity"),
+        (F.col("value").cast("decimal(14,6)") * units).alias("usage_quantity"),
         _case(F.col("event_type"), COMPUTE_TYPES).alias("billing_origin_product"),
         F.struct(
-            F.when(kind == 0, uid_s).alias("job_id"),
+            F.when((kind == 0) | ((kind == 3) & (F.coalesce(F.col("event_type"), F.lit("")) != "error")), uid_s).alias("job_id"),
             F.when(kind == 1, F.concat(F.lit("wh"), uid_s)).alias("warehouse_id"),
             F.when(kind == 2, F.concat(F.lit("c"), uid_s)).alias("cluster_id"),
         ).alias("usage_metadata"),
@@ -152,15 +160,18 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     one EUR row. Built by a generator (explode), not a join."""
     skus = table(spark, sf_dir, "events").select(F.col("event_type").alias("sku_name")).distinct()
     ts = lambda s: F.lit(s).cast("timestamp")
+    kind = "decimal(38,18)"
+    before = _case(F.col("sku_name"), {k: v[1] for k, v in OTHER_UNITS.items()}, PRICE_BEFORE).cast(kind)
+    after = _case(F.col("sku_name"), {k: v[2] for k, v in OTHER_UNITS.items()}, PRICE_AFTER).cast(kind)
     rows = F.array(
         F.struct(F.lit("USD").alias("currency_code"), ts(PRICE_EPOCH).alias("price_start_time"),
-                 ts(PRICE_CHANGE).alias("price_end_time"), F.lit(PRICE_BEFORE).cast(MONEY).alias("price")),
+                 ts(PRICE_CHANGE).alias("price_end_time"), before.alias("price")),
         F.struct(F.lit("USD").alias("currency_code"), ts(PRICE_CHANGE).alias("price_start_time"),
                  F.lit(None).cast("timestamp").alias("price_end_time"),
-                 F.lit(PRICE_AFTER).cast(MONEY).alias("price")),
+                 after.alias("price")),
         F.struct(F.lit("EUR").alias("currency_code"), ts(PRICE_EPOCH).alias("price_start_time"),
                  F.lit(None).cast("timestamp").alias("price_end_time"),
-                 F.lit(PRICE_EUR).cast(MONEY).alias("price")),
+                 F.lit(PRICE_EUR).cast(kind).alias("price")),
     )
     return (skus.select("sku_name", F.lit("AWS").alias("cloud"), F.explode(rows).alias("p"))
             .select("sku_name", "cloud", "p.currency_code", "p.price_start_time", "p.price_end_time",
@@ -169,11 +180,15 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _inventory_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey")).distinct()
-    cust = table(spark, sf_dir, "customer").select(
-        "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
-    return cust.join(users, "c_custkey", "left_semi").withColumn(
-        "budget_id", (F.col("c_custkey") % 5).cast("int"))
+    """Every customer is a workload: a job, a warehouse, a cluster or again a
+    job by c_custkey % 4, as ``usage_from_events`` has it for its usage."""
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment",
+        (F.col("c_custkey") % 5).cast("int").alias("budget_id"))
+
+
+def _is_job() -> Column:
+    return (F.col("c_custkey") % 4).isin(0, 3)
 
 
 def _priority_tags(tag_key: str) -> Column:
@@ -184,7 +199,7 @@ def _priority_tags(tag_key: str) -> Column:
 
 
 def jobs_raw(spark: SparkSession, sf_dir: str, tag_key: str = "budget-priority") -> DataFrame:
-    c = _inventory_customers(spark, sf_dir).filter(F.col("c_custkey") % 4 == 0)
+    c = _inventory_customers(spark, sf_dir).filter(_is_job())
     nk = F.col("c_nationkey")
     return c.select(
         "budget_id",
@@ -281,7 +296,7 @@ def job_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job settings with nested cluster specs: one job cluster ('main'),
     fixed size or autoscaling by c_nationkey % 3, and one task ('etl') that
     carries its own cluster for every eighth job."""
-    c = _inventory_customers(spark, sf_dir).filter(F.col("c_custkey") % 4 == 0)
+    c = _inventory_customers(spark, sf_dir).filter(_is_job())
     nk, ck = F.col("c_nationkey"), F.col("c_custkey")
 
     def cluster(size: Column) -> Column:

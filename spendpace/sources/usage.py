@@ -9,6 +9,9 @@ warehouse_id, cluster_id>.
 The price join has equality keys (sku, cloud), so it plans as a hash join
 with the validity interval as a residual condition; the price list is a
 small catalogue that Spark broadcasts by its measured size.
+
+Dollars stay exact: a row is quantity times price at 21 places, and no sum is
+rounded here. Amounts far below a cent count, however many rows they come in.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendpace.functions.tags import MONEY
+from spendpace.functions.tags import QUANTITY, UNIT_PRICE, USAGE_MONEY, exact_amount
 
 USAGE_HOURLY_COLUMNS = ["budget_id", "hour_start", "compute_type", "workload_type", "workload_id", "dbu_dollars"]
 
@@ -32,12 +35,12 @@ def priced_usage(usage: DataFrame, prices: DataFrame, start=None, end=None) -> D
     p = (prices.filter(F.col("currency_code") == "USD")
          .select(F.col("sku_name").alias("p_sku"), F.col("cloud").alias("p_cloud"),
                  F.col("price_start_time").alias("p_start"), F.col("price_end_time").alias("p_end"),
-                 F.col("pricing.effective_list.default").cast(MONEY).alias("list_price")))
+                 exact_amount(F.col("pricing.effective_list.default"), UNIT_PRICE).alias("list_price")))
     cond = ((u["sku_name"] == p["p_sku"]) & (u["cloud"] == p["p_cloud"])
             & (u["usage_start_time"] >= p["p_start"])
             & (p["p_end"].isNull() | (u["usage_start_time"] < p["p_end"])))
     return u.join(p, cond, "inner").withColumn(
-        "dbu_dollars", F.col("usage_quantity").cast(MONEY) * F.col("list_price"))
+        "dbu_dollars", (exact_amount(F.col("usage_quantity"), QUANTITY) * F.col("list_price")).cast(USAGE_MONEY))
 
 
 def classify(priced: DataFrame) -> DataFrame:
@@ -67,7 +70,7 @@ def hourly_usage(usage: DataFrame, prices: DataFrame, start=None, end=None) -> D
             .withColumn("compute_type", F.col("billing_origin_product").cast("string"))
             .filter(F.col("hour_start").isNotNull() & F.col("compute_type").isNotNull())
             .groupBy("budget_id", "hour_start", "compute_type", "workload_type", "workload_id")
-            .agg(F.sum("dbu_dollars").cast(MONEY).alias("dbu_dollars")))
+            .agg(F.sum("dbu_dollars").cast(USAGE_MONEY).alias("dbu_dollars")))
 
 
 def daily_usage(usage: DataFrame, prices: DataFrame, start=None, end=None) -> DataFrame:
@@ -75,7 +78,7 @@ def daily_usage(usage: DataFrame, prices: DataFrame, start=None, end=None) -> Da
     priced = priced_usage(usage, prices, start, end)
     return (priced.withColumn("usage_date", F.to_date("usage_start_time"))
             .groupBy("budget_id", "usage_date")
-            .agg(F.sum("dbu_dollars").cast(MONEY).alias("dbu_dollars")))
+            .agg(F.sum("dbu_dollars").cast(USAGE_MONEY).alias("dbu_dollars")))
 
 
 def unpriced_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:

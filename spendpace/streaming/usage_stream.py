@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from spendpace.functions.tags import MONEY
+from spendpace.functions.tags import USAGE_MONEY
 from spendpace.sources import usage as usage_src
 
 
@@ -36,7 +36,7 @@ def hourly_rollup(usage_stream: DataFrame, prices: DataFrame, lag_hours: int) ->
                      "workload_type", "workload_id")
             .agg(F.sum("dbu_dollars").alias("dbu_dollars"))
             .select("budget_id", F.col("w.start").alias("hour_start"), "compute_type", "workload_type",
-                    "workload_id", F.col("dbu_dollars").cast(MONEY).alias("dbu_dollars")))
+                    "workload_id", F.col("dbu_dollars").cast(USAGE_MONEY).alias("dbu_dollars")))
 
 
 def run_available_now(rollup: DataFrame, sink_path: str, checkpoint_path: str) -> None:
