@@ -5,6 +5,10 @@ while the running sum of estimated run costs fits the day's headroom; the
 first job that does not fit holds everyone behind it. As a window:
 ``released <=> max(running_cost > headroom) over the prefix = false``,
 partitioned by (budget_id, as_of). Ties on ``paused_at`` keep ``seq``.
+
+``release_plan`` asks one queue at many checks. ``replay`` carries the queue
+from check to check: what one check releases is gone at the next, whose headroom
+then pays for the released job's forecast again.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from pyspark.sql import functions as F
 
 from spendpace import config as C
 from spendpace.functions.tags import MONEY
+from spendpace.operators.levers import money4
 
 KEY = ["budget_id", "as_of"]
 QUEUE_COLUMNS = ["budget_id", "job_id", "name", "priority", "est_run_cost", "paused_at", "seq"]
@@ -52,6 +57,92 @@ def release_plan(status: DataFrame, queue: DataFrame, fifo_release: bool = True)
     return q
 
 
+def freeze(forecasts: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Queue entries of a freeze at the forecasts' instants: every job with a
+    live schedule, a positive forecast and a priority that is not critical is
+    paused, dearest first; its cost is its forecast."""
+    live = jobs.filter(F.col("has_schedule") & ~F.col("schedule_paused")).select("budget_id", "job_id", F.col("name").alias("job_name"))
+    f = forecasts.filter((F.col("workload_type") == "JOB") & (F.col("priority") != "critical") & (F.col("forecast_usd") > 0))
+    j = f.join(live, (f["workload_id"] == live["job_id"]) & (f["budget_id"] == live["budget_id"]))
+    return j.select(f["budget_id"], "job_id", F.col("job_name").alias("name"), "priority", money4(F.col("forecast_usd")).alias("est_run_cost"),
+                    F.col("as_of").alias("paused_at"), F.col("forecast_rank").cast("bigint").alias("seq"))
+
+
+_UNIT = 10_000  # money of the replay is counted in ten-thousandths
+_ENTRY, _FORECAST, _CHECK = 0, 1, 2
+
+
+def replay(status: DataFrame, forecasts: DataFrame, entries: DataFrame, fifo_release: bool = True) -> DataFrame:
+    """The queue through the checks of ``status`` in order of time, one state
+    per budget: (budget_id, as_of, job_id, paused_at, seq, queue_pos,
+    est_run_cost, running_cost, day_headroom, released) for every job that waits
+    at a check whose gate is open (severity OK or WARN, FIFO release on).
+
+    ``status`` and ``forecasts`` are those of all workloads, as if nothing were
+    queued; ``entries`` are pauses, which wait from ``paused_at`` on (a check at
+    that instant sees them). A check's headroom is the day's target less spend
+    and the forecasts of the workloads that do not wait, never negative. Money
+    is summed at four places, so results do not depend on the order of sums. A
+    job paused again while it waits keeps its first place.
+
+    Rows are dealt by budget, sorted by time and streamed; a task holds the
+    queue of one budget, not its rows. Severity does not depend on the queue:
+    pace compares what was spent with what was planned.
+    """
+    import pyarrow as pa
+
+    units = lambda c: (money4(c) * _UNIT).cast("bigint")
+    none, text = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+    waits = entries.select("budget_id", "job_id").distinct()
+    asked = forecasts.filter(F.col("workload_type") == "JOB").select(
+        "budget_id", F.col("workload_id").alias("job_id"), F.col("as_of").alias("at"), units(F.col("forecast_usd")).alias("amount"))
+    asked = asked.join(waits, ["budget_id", "job_id"], "left_semi")
+    total = forecasts.groupBy(*KEY).agg(F.sum(units(F.col("forecast_usd"))).alias("total"))
+    room = status.join(total, KEY, "left").select(
+        "budget_id", F.col("as_of").alias("at"), (F.col("severity").isin("OK", "WARN") & F.lit(fifo_release)).cast("bigint").alias("seq"),
+        (units(F.col("day_target") - F.col("spend_today")) - F.coalesce("total", F.lit(0))).alias("amount"))
+    rows = (entries.select("budget_id", F.col("paused_at").alias("at"), F.lit(_ENTRY).alias("kind"), "job_id", "seq",
+                           (F.col("est_run_cost") * _UNIT).cast("bigint").alias("amount"))
+            .unionByName(asked.select("budget_id", "at", F.lit(_FORECAST).alias("kind"), "job_id", none.alias("seq"), "amount"))
+            .unionByName(room.select("budget_id", "at", F.lit(_CHECK).alias("kind"), text.alias("job_id"), "seq", "amount")))
+    dealt = (rows.withColumn("at", F.unix_micros("at")).repartition("budget_id")
+             .sortWithinPartitions("budget_id", "at", "kind", "seq", "job_id"))
+    names = ["budget_id", "at", "job_id", "paused", "seq", "queue_pos", "cost", "running", "headroom", "released"]
+
+    def run(batches):
+        budget, queue, now = None, {}, {}  # job -> (paused, seq, cost); job -> forecast at this check
+        for b in batches:
+            out = []
+            for budget_id, at, kind, job, seq, amount in zip(*(b.column(c).to_pylist() for c in ("budget_id", "at", "kind", "job_id", "seq", "amount"))):
+                if budget_id != budget:
+                    budget, queue, now = budget_id, {}, {}
+                if kind == _ENTRY:
+                    queue.setdefault(job, (at, seq, amount))
+                elif kind == _FORECAST:
+                    if job in queue:
+                        now[job] = amount
+                else:
+                    if seq:
+                        headroom, running, fits = max(0, amount + sum(now.values())), 0, True
+                        for pos, (job, (paused, n, cost)) in enumerate(list(queue.items()), 1):
+                            running += cost
+                            fits = fits and running <= headroom
+                            out.append((budget, at, job, paused, n, pos, cost, running, headroom, fits))
+                            if fits:
+                                del queue[job]
+                    now = {}
+            if out:
+                kinds = [b.column("budget_id").type, pa.int64(), pa.string(), *[pa.int64()] * 6, pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    kind = entries.schema["budget_id"].dataType.simpleString()
+    told = dealt.mapInArrow(run, f"budget_id {kind}, at long, job_id string, paused long, seq long, queue_pos long, cost long, running long, headroom long, released boolean")
+    money = lambda c: (F.col(c).cast("decimal(38,0)") / _UNIT).cast(MONEY)
+    return told.select("budget_id", F.timestamp_micros("at").alias("as_of"), "job_id", F.timestamp_micros("paused").alias("paused_at"), "seq",
+                       F.col("queue_pos").cast("int").alias("queue_pos"), money("cost").alias("est_run_cost"), money("running").alias("running_cost"),
+                       money("headroom").alias("day_headroom"), "released")
+
+
 def next_queue(queue: DataFrame, new_entries: DataFrame, released: DataFrame, dry_run: bool) -> DataFrame:
     """(queue + new pauses) - released. A dry run changes nothing."""
     if dry_run:

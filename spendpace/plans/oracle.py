@@ -682,6 +682,50 @@ def release_plan_sql(select: str) -> str:
     return chain_sql([step1 + [queue], step2 + [release]], ["chosen", "status"], select)
 
 
+def replay_sql(select: str) -> str:
+    """The freezes' queue through the 6-hourly checks, check by check: the
+    recursion keeps the jobs that are gone."""
+    waves = " UNION ALL ".join(f"SELECT b.*, TIMESTAMP '{t}' AS as_of FROM budgets b" for t, _ in A.FREEZES)
+    step = step_ctes(["status"], "_r", f"{RELEASE_INSTANTS_SQL} UNION ALL {waves}")
+    frozen = " OR ".join(f"(f.as_of = TIMESTAMP '{t}' AND TRY_CAST(f.workload_id AS BIGINT) % 4 = {r})" for t, r in A.FREEZES)
+    entries = ("entries", f"""
+  SELECT f.budget_id, f.workload_id AS job_id, j.name, f.priority, {_m4('f.forecast_usd')} AS est_run_cost, f.as_of AS paused_at,
+         CAST(f.forecast_rank AS BIGINT) AS seq
+  FROM forecasts_r f JOIN jobs j ON j.budget_id = f.budget_id AND j.job_id = f.workload_id
+  WHERE f.workload_type = 'JOB' AND j.has_schedule AND NOT j.schedule_paused AND f.priority <> 'critical' AND f.forecast_usd > 0
+    AND ({frozen})""")
+    checks = ("checks", f"""
+  SELECT s.budget_id, s.as_of, s.severity IN ('OK', 'WARN') AS is_open, {_m4('s.day_target - s.spend_today')} - coalesce(t.total, 0) AS room,
+         row_number() OVER (PARTITION BY s.budget_id ORDER BY s.as_of) AS n
+  FROM status_r s JOIN ({RELEASE_INSTANTS_SQL}) r ON r.budget_id = s.budget_id AND r.as_of = s.as_of
+  LEFT JOIN (SELECT budget_id, as_of, SUM({_m4('forecast_usd')}) AS total FROM forecasts_r GROUP BY ALL) t
+    ON t.budget_id = s.budget_id AND t.as_of = s.as_of""")
+
+    def waiting(run: str) -> str:
+        return f"""
+    SELECT *, coalesce(bool_and(running_cost <= day_headroom) OVER (PARTITION BY budget_id, as_of ORDER BY queue_pos
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AND is_open, false) AS released
+    FROM (SELECT c.budget_id, c.as_of, c.n, c.is_open, r.gone, e.job_id, e.paused_at, e.seq, e.est_run_cost,
+            row_number() OVER (PARTITION BY c.budget_id, c.as_of ORDER BY e.paused_at, e.seq) AS queue_pos,
+            SUM(e.est_run_cost) OVER (PARTITION BY c.budget_id, c.as_of ORDER BY e.paused_at, e.seq
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_cost,
+            greatest(0, c.room + coalesce(SUM({_m4('f.forecast_usd')}) OVER (PARTITION BY c.budget_id, c.as_of), 0)) AS day_headroom
+          FROM {run} r JOIN checks c ON c.budget_id = r.budget_id AND c.n = r.n + 1
+          LEFT JOIN entries e ON e.budget_id = c.budget_id AND e.paused_at <= c.as_of AND NOT list_contains(r.gone, e.job_id)
+          LEFT JOIN forecasts_r f ON f.budget_id = c.budget_id AND f.as_of = c.as_of AND f.workload_type = 'JOB' AND f.workload_id = e.job_id)"""
+
+    run = ("carried", f"""
+  SELECT DISTINCT budget_id, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS gone FROM checks
+  UNION ALL
+  SELECT budget_id, n, list_concat(any_value(gone), coalesce(list(job_id) FILTER (released AND job_id IS NOT NULL), CAST([] AS VARCHAR[])))
+  FROM ({waiting('carried')}) GROUP BY budget_id, n""")
+    rows = ("replay_rows", f"SELECT * FROM ({waiting('carried')}) WHERE is_open AND job_id IS NOT NULL")
+    left = ("replay_left", """
+  SELECT e.* FROM entries e WHERE NOT EXISTS (
+    SELECT 1 FROM replay_rows r WHERE r.released AND r.budget_id = e.budget_id AND r.job_id = e.job_id)""")
+    return chain_sql([step + [entries, checks, run, rows, left]], ["status", "jobs"], select).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 TRANSITION_SQL = tuple(f"SELECT b.*, TIMESTAMP '{t}' AS as_of FROM budgets b" for t in A.TRANSITION_INSTANTS)
 _REVERSIBLE = ", ".join(f"'{k}'" for k, r in C.REVERSIBLE.items() if r)
 

@@ -457,6 +457,40 @@ def q_release_plan(spark, sf_dir):
     return QU.release_plan(later.status, queue, _CFG.levers.fifo_release)
 
 
+REPLAY_COLS = [("budget_id", "int"), ("as_of", "ts"), ("job_id", "str"), ("paused_at", "ts"), ("seq", "long"), ("queue_pos", "int"),
+               ("est_run_cost", "dec"), ("running_cost", "dec"), ("day_headroom", "dec"), ("released", "bool")]
+
+
+def _replayed(spark, sf_dir):
+    """Two freezes put scheduled jobs into the queue; the 6-hourly checks after
+    the first carry it on."""
+    from spendpace.operators import queue as QU
+    from spendpace.plans import check as CK
+    inp = inputs(spark, sf_dir)
+    freezes, checks = adapter.freeze_instants(inp.budgets), adapter.release_instants(inp.budgets)
+    ct = CK.build_check(inp, _CFG, freezes.unionByName(checks))
+    at_checks = checks.select("budget_id", "as_of")
+    entries = materialize(adapter.frozen(QU.freeze(ct.forecasts, ct.jobs)))
+    return QU, entries, QU.replay(ct.status.join(at_checks, ["budget_id", "as_of"], "left_semi"),
+                                  ct.forecasts.join(at_checks, ["budget_id", "as_of"], "left_semi"), entries, _CFG.levers.fifo_release)
+
+
+@register("queue_replay", REPLAY_COLS, sql_from="SELECT * FROM replay_rows", sql_builder=O.replay_sql)
+def q_queue_replay(spark, sf_dir):
+    """WIN4, SRT4, QUE2, QUE3: the queue carried from check to check: the jobs
+    that wait at each open gate, those released there gone at the next."""
+    return _replayed(spark, sf_dir)[2]
+
+
+@register("queue_after_replay", [("budget_id", "int"), ("job_id", "str"), ("name", "str"), ("priority", "str"), ("est_run_cost", "dec"),
+                                 ("paused_at", "ts"), ("seq", "long")],
+          sql_from="SELECT * FROM replay_left", sql_builder=O.replay_sql)
+def q_queue_after_replay(spark, sf_dir):
+    """SET4, QUE2, QUE3: what still waits after the last check of the replay."""
+    QU, entries, told = _replayed(spark, sf_dir)
+    return QU.next_queue(entries, entries.limit(0), told, dry_run=False)
+
+
 def _live_then(inp, first_at, later_at):
     """A live check at ``first_at``, then checks at ``later_at`` that see its
     queue (queued jobs' forecasts removed) and its reversible actions

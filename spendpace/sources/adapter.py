@@ -46,6 +46,8 @@ TRANSITION_INSTANTS = ("2024-01-26 15:00:00", "2024-01-28 09:00:00")
 #: Later checks for the release what-if: every 6 hours over the rest of the
 #: events (first and last inclusive).
 RELEASE_FIRST, RELEASE_LAST, RELEASE_STEP_HOURS = "2024-01-24 03:00:00", "2024-01-30 21:00:00", 6
+#: Two freezes before and amid those checks: jobs of remainder 0, then of 3.
+FREEZES = (("2024-01-23 21:00:00", 0), ("2024-01-26 12:00:00", 3))
 #: Budget amount: daily mean of the budget's attributed spend over
 #: [BUDGET_BASE_START, BUDGET_BASE_END) x 366 x (0.9 + 0.1 x budget_id).
 BUDGET_BASE_START, BUDGET_BASE_END, BUDGET_BASE_DAYS = "2023-10-01", "2024-01-01", 92
@@ -274,6 +276,17 @@ def release_instants(budgets_df: DataFrame) -> DataFrame:
     return budgets_df.select("*", F.explode(grid).alias("as_of"))
 
 
+def freeze_instants(budgets_df: DataFrame) -> DataFrame:
+    """Every budget at the instants of FREEZES."""
+    return budgets_df.select("*", F.explode(F.array(*[F.lit(t).cast("timestamp") for t, _ in FREEZES])).alias("as_of"))
+
+
+def frozen(entries: DataFrame) -> DataFrame:
+    """Each freeze's entries of the jobs it is for (see FREEZES)."""
+    hit = [(F.col("paused_at") == F.lit(t).cast("timestamp")) & (F.col("job_id").cast("bigint") % 4 == r) for t, r in FREEZES]
+    return entries.filter(hit[0] | hit[1])
+
+
 def first_check_instants(budgets_df: DataFrame) -> DataFrame:
     """Every budget at the first check instant only."""
     return budgets_df.select("*", F.lit(CHECK_INSTANTS[0]).cast("timestamp").alias("as_of"))
