@@ -548,16 +548,15 @@ def q_next_queue(spark, sf_dir):
 
 
 # --------------------------------------------------------------- streaming --
-def _stream_rollup(spark: SparkSession, sf_dir: str):
+def _usage_stream(spark: SparkSession, sf_dir: str):
+    """The events as a usage stream, the stored prices, a new output folder."""
     import uuid
     from spendpace.session import checkpoint_dir
     from spendpace.streaming import usage_stream as US
     schema = adapter.table(spark, sf_dir, "events").schema
     events = US.file_stream(spark, sf_dir, schema, glob="events.parquet")
-    rollup = US.hourly_rollup(adapter.usage_from_events(events), materialize(adapter.prices(spark, sf_dir)),
-                              _CFG.forecast.usage_lag_hours)
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    return US, rollup, base
+    return US, adapter.usage_from_events(events), materialize(adapter.prices(spark, sf_dir)), base
 
 
 @register("usage_hourly_stream", REGISTRY["usage_hourly"].columns, ["usage_hourly"], f"""
@@ -566,32 +565,28 @@ def _stream_rollup(spark: SparkSession, sf_dir: str):
                                         - INTERVAL {_CFG.forecast.usage_lag_hours} HOUR""")
 def q_usage_hourly_stream(spark, sf_dir):
     """STR1: streaming hourly rollup (watermark = usage lag, 1-hour windows,
-    stream-static price join), run to completion with availableNow; hours
-    still inside the lag are not yet emitted."""
-    US, rollup, base = _stream_rollup(spark, sf_dir)
-    US.run_available_now(rollup, f"{base}/out", f"{base}/ckpt")
+    stream-static price join), run to completion with availableNow. Append
+    mode: hours that the watermark has not passed never come out."""
+    US, usage, prices, base = _usage_stream(spark, sf_dir)
+    US.run_available_now(US.hourly_rollup(usage, prices, _CFG.forecast.usage_lag_hours), f"{base}/out", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/out")
 
 
 @register("stream_budget_status", STATUS_COLS, ["status"], "SELECT * FROM status")
 def q_stream_budget_status(spark, sf_dir):
-    """STR2: foreachBatch over the streamed rollup runs the batch pace
-    status of each check instant once, in the epoch that closes its last
-    input hour; all epochs' outputs are read."""
+    """STR2: the batch pace status of each check instant, once, in the epoch
+    whose watermark closes its inputs (event-time timers); all epochs' outputs
+    are read."""
     from spendpace.plans import check as CK
     inp = inputs(spark, sf_dir)
     instants = adapter.check_instants(inp.budgets)
-    US, rollup, base = _stream_rollup(spark, sf_dir)
+    US, usage, prices, base = _usage_stream(spark, sf_dir)
 
     def status_for(due, hours):
         return CK.build_check(inp, _CFG, due, usage_hourly=hours).status
 
-    handler = US.foreach_batch_pace(spark, instants, status_for, base, _CFG.forecast.usage_lag_hours)
-    q = (rollup.writeStream.outputMode("append").foreachBatch(handler)
-         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
-    # every epoch's newly ready checks, by partition discovery on the shared
-    # file system (no driver-side listing)
+    US.run_pace(spark, usage, prices, instants, status_for, base, _CFG.forecast.usage_lag_hours, W.days_back(_CFG))
+    # every epoch's checks, by partition discovery on the shared file system
     return spark.read.parquet(f"{base}/status").drop("epoch")
 
 

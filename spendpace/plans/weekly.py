@@ -133,14 +133,18 @@ class PlanTables:
     calibration: DataFrame
 
 
+def days_back(cfg: PaceConfig) -> int:
+    """Days before its own that a check's usage goes back."""
+    return max(cfg.forecast.trailing_days, C.CALIBRATION_WINDOW_DAYS + C.CUR_LAG_DAYS, 7)
+
+
 def usage_window(instants: DataFrame, cfg: PaceConfig) -> tuple[date | None, date | None]:
     """The days ``[start, end)`` of usage that the plans and checks at
     ``instants`` can read: the forecast history, the calibration window and
     the budget week before the first, up to the last. One row reaches the
     driver; no instants give no bounds."""
-    back = max(cfg.forecast.trailing_days, C.CALIBRATION_WINDOW_DAYS + C.CUR_LAG_DAYS, 7)
     day = F.to_date("as_of")
-    return tuple(instants.agg(F.date_sub(F.min(day), back), F.date_add(F.max(day), 1)).first())
+    return tuple(instants.agg(F.date_sub(F.min(day), days_back(cfg)), F.date_add(F.max(day), 1)).first())
 
 
 def ledger_window(keys: DataFrame, cfg: PaceConfig) -> tuple[date | None, date | None]:

@@ -141,23 +141,52 @@ def test_stream_status_computes_each_check_once_across_epochs(spark):
         ev.filter(cond).coalesce(1).write.parquet(os.path.join(base, "in", f"chunk={i}"))
         time.sleep(1.1)  # file modification order = arrival order
     stream = US.file_stream(spark, os.path.join(base, "in"), ev.schema, max_files=1)
-    rollup = US.hourly_rollup(adapter.usage_from_events(stream), adapter.prices(spark, sf), 3)
     inp = inputs(spark, sf)
     instants = adapter.check_instants(inp.budgets)
+    read = []
 
     def status_for(due, hours):
+        read.append(hours.agg(F.min("usage_date"), F.max("usage_date")).first())
         return CK.build_check(inp, CFG, due, usage_hourly=hours).status
 
-    handler = US.foreach_batch_pace(spark, instants, status_for, os.path.join(base, "out"), 3)
-    (rollup.writeStream.outputMode("append").foreachBatch(handler)
-     .option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start()
-     .awaitTermination())
+    usage = adapter.usage_from_events(stream)
+    US.run_pace(spark, usage, adapter.prices(spark, sf), instants, status_for, os.path.join(base, "out"), 3, 14)
     out = spark.read.parquet(os.path.join(base, "out", "status"))
     per_epoch = {r.epoch: r.n for r in out.groupBy("epoch").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert len(per_epoch) >= 2  # checks became ready in different epochs
     cols = ["budget_id", "as_of", "severity", "pace_ratio", "spend_week_to_date", "forecast_remaining_today",
             "observed_week", "lag_fill"]
     got = sorted((r[0], r[1], r[2], *[round(x, 6) for x in r[3:]]) for r in out.select(*cols).collect())
-    batch = CK.build_check(inp, CFG, instants).status
-    want = sorted((r[0], r[1], r[2], *[round(x, 6) for x in r[3:]]) for r in batch.select(*cols).collect())
-    assert got == want and len(got) == instants.count()
+    # 14 days of hours are what the batch has here, too
+    hours = inp.usage_hourly(dt.date(2024, 1, 9), dt.date(2024, 1, 29))
+    batch = CK.build_check(inp, CFG, instants, usage_hourly=hours).status
+    want = {r[:2]: (*r[:3], *[round(x, 6) for x in r[3:]]) for r in map(tuple, batch.select(*cols).collect())}
+    assert len(got) == len(want) == instants.count()
+    assert [r[:3] for r in got] == sorted(r[:3] for r in want.values())
+    assert min(r[0] for r in read) >= dt.date(2024, 1, 9)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").find("RocksDB") < 0
+
+
+def test_checks_fire_by_watermark_without_later_usage(spark):
+    """A quiet stretch: nothing is used after 02:10 until one row next day. Each
+    check fires when the watermark passes its inputs, for the budget without
+    usage as well; a check beyond the watermark waits."""
+    import os
+    from spendpace.streaming import usage_stream as US
+    base = tempfile.mkdtemp(prefix="spendpace-stream-quiet-")
+    t = lambda *x: dt.datetime(2026, 7, *x)
+    schema = "budget_id int, usage_start_time timestamp"
+    for i, part in enumerate([[(0, t(7, 1)), (0, t(7, 2, 10))], [(0, t(8, 9))], [(0, t(8, 9, 5))]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(os.path.join(base, "in", f"chunk={i}"))
+        time.sleep(1.1)
+    stream = US.file_stream(spark, os.path.join(base, "in"), spark.createDataFrame([], schema).schema, max_files=1)
+    instants = spark.createDataFrame([(b, t(*x)) for b in (0, 7) for x in ((7, 1), (7, 12), (7, 20), (8, 8), (8, 20))], "budget_id int, as_of timestamp")
+    before = spark.conf.get(US._STATE_STORE[0], None)
+    spark.conf.set(*US._STATE_STORE)
+    try:
+        q = US.due_checks(stream, instants, 3).writeStream.outputMode("append").format("parquet").option("path", f"{base}/due")
+        q.option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(US._STATE_STORE[0], before) if before else spark.conf.unset(US._STATE_STORE[0])
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{base}/due").collect())
+    assert got == [(b, t(*x)) for b in (0, 7) for x in ((7, 1), (7, 12), (7, 20), (8, 8))]
