@@ -735,8 +735,8 @@ def transition_sql(which: str):
     reversible actions become active and its pauses enter the queue; the
     second check (queued jobs' forecasts removed, active targets excluded,
     active savings credited against the gap) reverts at OK, releases by
-    strict FIFO and applies its own choices. ``which``: next_active_2 or
-    next_queue_2."""
+    strict FIFO and applies its own choices. ``which``: next_active_2,
+    next_queue_2, check_report_2 or status_log_2."""
     def build(select: str) -> str:
         step1 = step_ctes(["chosen"], "_1", TRANSITION_SQL[0])
         queue = ("queue_1", """
@@ -795,7 +795,31 @@ def transition_sql(which: str):
     FROM chosen_2 WHERE kind = 'job_schedule_pause') q
   WHERE NOT EXISTS (SELECT 1 FROM release_2 r WHERE r.released AND r.budget_id = q.budget_id
                     AND r.job_id = q.job_id)""")
-        tail = [release, reverted, nxt_active, nxt_queue]
+        report = ("check_report_2", """
+  SELECT s.budget_id, s.as_of, s.severity, g.gap, coalesce(c.n, 0) AS actions,
+         CASE WHEN g.gap > 0 THEN coalesce(c.total, 0) ELSE 0 END AS planned_savings,
+         greatest(g.gap - CASE WHEN g.gap > 0 THEN coalesce(c.total, 0) ELSE 0 END, 0) AS shortfall,
+         (SELECT count(*) FROM reverted_2 r WHERE r.budget_id = s.budget_id) AS reverted,
+         coalesce((SELECT string_agg(r.job_id, ',' ORDER BY r.paused_at, r.seq) FROM release_2 r
+                   WHERE r.released AND r.budget_id = s.budget_id), '') AS released_jobs,
+         coalesce((SELECT string_agg(q.job_id, ',' ORDER BY q.paused_at, q.seq) FROM next_queue_2 q
+                   WHERE q.budget_id = s.budget_id), '') AS queue_jobs,
+         coalesce((SELECT sum(q.est_run_cost) FROM next_queue_2 q WHERE q.budget_id = s.budget_id), 0) AS queue_cost
+  FROM status_2 s JOIN gap_2 g ON g.budget_id = s.budget_id AND g.as_of = s.as_of
+  LEFT JOIN (SELECT budget_id, count(*) AS n, sum(estimated_savings) AS total FROM chosen_2 GROUP BY ALL) c ON c.budget_id = s.budget_id""")
+        # what is in force, from the state tables and not from any log
+        status_log = ("status_log_2", f"""
+  SELECT s.budget_id, s.as_of AS checked_at, s.severity, s.pace_ratio, p.weekly_allowance, m.global_multiplier, r.shortfall,
+         (SELECT count(*) FROM active_1 a WHERE a.budget_id = s.budget_id)
+           + (SELECT count(*) FROM chosen_2 c WHERE c.budget_id = s.budget_id AND c.kind IN ({_REVERSIBLE})) AS applies,
+         r.reverted AS reverts, (SELECT count(*) FROM release_2 x WHERE x.released AND x.budget_id = s.budget_id) AS releases,
+         (SELECT count(*) FROM next_active_2 a WHERE a.budget_id = s.budget_id) AS open_actions,
+         coalesce((SELECT sum(a.estimated_savings) FROM next_active_2 a WHERE a.budget_id = s.budget_id), 0) AS open_savings,
+         (SELECT count(*) FROM next_queue_2 q WHERE q.budget_id = s.budget_id) AS queued_jobs, r.queue_cost AS queued_cost
+  FROM status_2 s JOIN check_report_2 r ON r.budget_id = s.budget_id
+  JOIN weekly_plan_2 p ON p.budget_id = s.budget_id AND p.as_of = CAST(s.as_of AS DATE)
+  JOIN calibration_2 m ON m.budget_id = s.budget_id AND m.as_of = CAST(s.as_of AS DATE)""")
+        tail = [release, reverted, nxt_active, nxt_queue, report, status_log]
         return chain_sql([step1 + [queue, active], step2 + tail], ["chosen", "status"], select)
     return build
 

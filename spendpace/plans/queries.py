@@ -511,17 +511,29 @@ def _live_then(inp, first_at, later_at):
 
 
 def _two_checks(spark, sf_dir):
-    """Live checks at TRANSITION_INSTANTS[0] and [1] (see ``_live_then``),
-    with the second check's releases and reverts."""
-    from spendpace.operators import allocate as AL
-    from spendpace.operators import queue as QU
+    """Live checks at TRANSITION_INSTANTS[0] and [1]: two runs over one store,
+    the second reading what the first has committed. Returns (module, store,
+    the second run)."""
+    import uuid
+    from spendpace.plans import check as CK
+    from spendpace.plans import run as R
+    from spendpace.session import checkpoint_dir
+    from spendpace.sources.store import StateStore
     inp = inputs(spark, sf_dir)
-    queue, active, second = _live_then(inp, adapter.transition_instants(inp.budgets, 0),
-                                       adapter.transition_instants(inp.budgets, 1))
-    fifo = _CFG.levers.fifo_release
-    released = materialize(QU.release_plan(second.status, queue, fifo))
-    reverted = AL.reverts(second.status, active, fifo)
-    return QU, queue, active, second.chosen, released, reverted
+    first, second = (adapter.transition_instants(inp.budgets, k) for k in (0, 1))
+    both = first.unionByName(second)
+    uh = materialize(inp.usage_hourly(*W.usage_window(both, _CFG)))
+    pt = CK.plan_tables(inp, _CFG, both, uh)
+    store = StateStore(spark, f"{checkpoint_dir(spark)}/state-{uuid.uuid4().hex}")
+    R.run_check(store, inp, _CFG, first, pt=_of_day(pt, first), usage_hourly=uh)
+    return R, store, R.run_check(store, inp, _CFG, second, pt=_of_day(pt, second), usage_hourly=uh)
+
+
+def _of_day(pt: W.PlanTables, instants: DataFrame) -> W.PlanTables:
+    """The plan tables of the instants' own days (a run stores its own plan)."""
+    days = W.plan_instants(instants).select("budget_id", "as_of")
+    own = lambda df: df.join(days, ["budget_id", "as_of"], "left_semi")
+    return W.PlanTables(pt.keys, pt.ledger, pt.profile, own(pt.plan), own(pt.targets), own(pt.calibration))
 
 
 @register("next_active",
@@ -532,8 +544,8 @@ def q_next_active(spark, sf_dir):
     """SET3, DEC3, QUE3: actions in force after the second check = active -
     reverted at OK (pauses stay with the FIFO queue) - pauses of released
     jobs + the second check's reversible choices."""
-    QU, queue, active, chosen, released, reverted = _two_checks(spark, sf_dir)
-    return QU.next_active(active, reverted, QU.applied(chosen), released, dry_run=False)
+    R, store, _ = _two_checks(spark, sf_dir)
+    return store.read("active", R.ACTIVE)
 
 
 @register("next_queue",
@@ -543,8 +555,31 @@ def q_next_active(spark, sf_dir):
 def q_next_queue(spark, sf_dir):
     """SET4, QUE1, QUE2: the deferral queue after the second check = queue +
     the second check's pauses - jobs released by the strict-FIFO gate."""
-    QU, queue, active, chosen, released, reverted = _two_checks(spark, sf_dir)
-    return QU.next_queue(queue, QU.enqueue(chosen), released, dry_run=False)
+    R, store, _ = _two_checks(spark, sf_dir)
+    return store.read("queue", R.QUEUE)
+
+
+@register("status_from_log",
+          [("budget_id", "int"), ("checked_at", "ts"), ("severity", "str"), ("pace_ratio", "ratio"), ("weekly_allowance", "money"),
+           ("global_multiplier", "ratio"), ("shortfall", "dec"), ("applies", "long"), ("reverts", "long"), ("releases", "long"),
+           ("open_actions", "long"), ("open_savings", "dec"), ("queued_jobs", "long"), ("queued_cost", "dec")],
+          sql_from="SELECT * FROM status_log_2", sql_builder=O.transition_sql("status_log_2"))
+def q_status_from_log(spark, sf_dir):
+    """SNK2, RPT5, SRC10: the status read model, folded from the events of both
+    checks: latest plan, calibration and check, open actions, queue."""
+    R, store, _ = _two_checks(spark, sf_dir)
+    return R.status_model(R.log(store)).withColumnRenamed("applys", "applies")
+
+
+@register("check_report",
+          [("budget_id", "int"), ("as_of", "ts"), ("severity", "str"), ("gap", "dec"), ("actions", "long"), ("planned_savings", "dec"),
+           ("shortfall", "dec"), ("reverted", "long"), ("released_jobs", "str"), ("queue_jobs", "str"), ("queue_cost", "dec")],
+          sql_from="SELECT * FROM check_report_2", sql_builder=O.transition_sql("check_report_2"))
+def q_check_report(spark, sf_dir):
+    """RPT2, RPT3: the second check with its shortfall, reverts, released jobs
+    and the queue it leaves."""
+    R, store, run = _two_checks(spark, sf_dir)
+    return R.check_report(store, run)
 
 
 # --------------------------------------------------------------- streaming --
