@@ -90,38 +90,22 @@ def _raw(bias, w, v, rows, at, n):
     return bias + np.bincount(rows, w[at], n) + 0.5 * ((s ** 2).sum(1) - q), s
 
 
-def train(hashed: list[np.ndarray], y: np.ndarray, bits: int = 24, factors: int = 4, min_docs: int | None = None,
-          min_z: float = 6.0, epochs: int = 20, rate: float = 0.5, decay: float = 1e-6, blank: float = 0.5, seed: int = 3) -> Machine:
-    """Fit on documents given as arrays of distinct hashed terms. ``blank`` is
-    the share of a document's terms that each step leaves out, so that one
-    telling term suffices where most of the fitted documents hold several."""
-    n, pos = len(y), float(y.sum()) if len(y) else 0.0
-    if n == 0 or pos == 0 or pos == n:
-        share = pos / n if n else 0.0
-        bias = -35.0 if share == 0 else 35.0
-        return Machine(bits, bias, {}, np.zeros(0), np.zeros((0, factors)))
-    # document frequencies, over all and over label 1, in two counting tables
-    df, dp = np.zeros(1 << bits, np.uint32), np.zeros(1 << bits, np.uint32)
-    for h, label in zip(hashed, y):
-        df[h] += 1
-        if label:
-            dp[h] += 1
-    least = max(4, int(n ** 0.5 / 8)) if min_docs is None else min_docs
-    names = np.nonzero(df >= least)[0]
-    df, dp = df[names].astype(float), dp[names].astype(float)
-    rate_all = df / n
-    z = (dp / pos - (df - dp) / (n - pos)) / np.sqrt(np.maximum(rate_all * (1 - rate_all), 1e-12) * (1 / pos + 1 / (n - pos)))
-    names = names[np.abs(z) >= min_z]
-    if not len(names):
-        return Machine(bits, float(np.log(pos / (n - pos))), {}, np.zeros(0), np.zeros((0, factors)))
+def _columns(hashed: list[np.ndarray], names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, column) of the documents' terms among the sorted ``names``."""
     parts = []
     for h in hashed:
         k = np.searchsorted(names, h)
         parts.append(k[names[np.minimum(k, len(names) - 1)] == h])
-    col, doc = np.concatenate(parts), np.repeat(np.arange(n), [len(x) for x in parts])
-    rng = np.random.default_rng(seed)
-    w, v = np.zeros(len(names)), rng.normal(0, 0.05, (len(names), factors))
-    bias = np.log(pos / (n - pos))
+    return np.repeat(np.arange(len(hashed)), [len(x) for x in parts]), np.concatenate(parts)
+
+
+def _descend(doc, col, y, v, epochs, rate, decay, blank, rng, base=None):
+    """AdaGrad on the logistic loss: bias, w and v of the columns, on top of the
+    raw scores ``base`` if given."""
+    n, pos = len(y), float(y.sum())
+    factors = v.shape[1]
+    w, bias = np.zeros(len(v)), np.log(pos / (n - pos)) if base is None else 0.0
+    base = np.zeros(n) if base is None else base
     gw, gv, gb = np.full(len(w), 1e-6), np.full(v.shape, 1e-6), 1e-6
     start = np.searchsorted(doc, np.arange(n + 1))
     weight = np.where(y > 0, 0.5 * n / pos, 0.5 * n / (n - pos)) ** 0.5
@@ -135,7 +119,7 @@ def train(hashed: list[np.ndarray], y: np.ndarray, bits: int = 24, factors: int
             here = rng.random(len(nz)) >= blank
             rows, at = rows[here], at[here]
             raw, s = _raw(bias, w, v, rows, at, len(some))
-            g = (_sigmoid(raw) - y[some]) * weight[some] / len(some)
+            g = (_sigmoid(base[some] + raw) - y[some]) * weight[some] / len(some)
             cols, inv = np.unique(at, return_inverse=True)
             dw = np.bincount(inv, g[rows], len(cols)) + decay * w[cols]
             dv = np.stack([np.bincount(inv, g[rows] * (s[rows, f] - v[at, f]), len(cols)) for f in range(factors)], 1) + decay * v[cols]
@@ -145,7 +129,102 @@ def train(hashed: list[np.ndarray], y: np.ndarray, bits: int = 24, factors: int
             w[cols] -= rate * dw / np.sqrt(gw[cols])
             v[cols] -= rate * dv / np.sqrt(gv[cols])
             bias -= rate * g.sum() / np.sqrt(gb)
-    return Machine(bits, float(bias), {int(h): i for i, h in enumerate(names)}, w, v)
+    return float(bias), w, v
+
+
+#: How strongly the pairs' weights are held back in each step.
+PAIR_DECAY = 1e-3
+
+
+def telling_pairs(hashed: list[np.ndarray], y: np.ndarray, p: np.ndarray, names: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The terms among ``names`` that are in a pair whose documents the scores
+    ``p`` miss by more than chance would, and the pairs' z-scores among them. A
+    pair counts if at least ``least`` documents hold both terms and its z is
+    beyond what the largest of that many random ones reaches."""
+    x = np.zeros((len(y), len(names)), np.float32)
+    x[_columns(hashed, names)] = 1
+    miss, var, both = np.zeros((3, len(names), len(names)), np.float32)
+    for i in range(0, len(y), 2048):
+        b, q = x[i:i + 2048], p[i:i + 2048].astype(np.float32)
+        miss += b.T @ (b * (y[i:i + 2048].astype(np.float32) - q)[:, None])
+        var += b.T @ (b * np.maximum(q * (1 - q), 1e-3)[:, None])
+        both += b.T @ b
+    often = np.diag(both)
+    # terms that always come together (a word and its stem) are one term
+    apart = both < 0.95 * np.minimum(often[:, None], often[None, :])
+    z = np.where((both >= least) & apart, miss / np.sqrt(np.maximum(var, 1e-6)), 0)
+    pairs = np.count_nonzero(np.triu(z, 1))
+    hit = np.abs(z) > np.sqrt(2 * np.log(max(pairs, 2)))
+    some = np.flatnonzero(hit.any(0))
+    return names[some], np.where(hit, z, 0)[np.ix_(some, some)]
+
+
+def train(hashed: list[np.ndarray], y: np.ndarray, bits: int = 24, factors: int = 4, min_docs: int | None = None,
+          min_z: float | None = None, epochs: int = 20, rate: float = 0.5, decay: float = 1e-6, blank: float = 0.5, seed: int = 3,
+          pair_terms: int = 2048) -> Machine:
+    """Fit on documents given as arrays of distinct hashed terms. ``blank`` is
+    the share of a document's terms that each step leaves out, so that one
+    telling term suffices where most of the fitted documents hold several.
+
+    Columns go to terms that are associated with the label by themselves (a z of
+    ``min_z``: 6, less for few documents), and then to terms in a telling pair
+    (``telling_pairs``) among the ``pair_terms`` most frequent ones. Where pairs
+    were found, further factors are fitted on top of the first ones, on whole
+    documents, starting from the pairs' strongest directions."""
+    n, pos = len(y), float(y.sum()) if len(y) else 0.0
+    if n == 0 or pos == 0 or pos == n:
+        share = pos / n if n else 0.0
+        bias = -35.0 if share == 0 else 35.0
+        return Machine(bits, bias, {}, np.zeros(0), np.zeros((0, factors)))
+    # document frequencies, over all and over label 1, in two counting tables
+    df, dp = np.zeros(1 << bits, np.uint32), np.zeros(1 << bits, np.uint32)
+    for h, label in zip(hashed, y):
+        df[h] += 1
+        if label:
+            dp[h] += 1
+    least = max(2, min(4, n // 16), int(n ** 0.5 / 8)) if min_docs is None else min_docs
+    known = np.nonzero(df >= least)[0]
+    if not len(known):
+        return Machine(bits, float(np.log(pos / (n - pos))), {}, np.zeros(0), np.zeros((0, factors)))
+    df, dp = df[known].astype(float), dp[known].astype(float)
+    rate_all = df / n
+    z = np.abs(dp / pos - (df - dp) / (n - pos)) / np.sqrt(np.maximum(rate_all * (1 - rate_all), 1e-12) * (1 / pos + 1 / (n - pos)))
+    least_z = min(6.0, 1.5 * n ** 0.2) if min_z is None else min_z
+    names, rng = known[z >= least_z], np.random.default_rng(seed)
+    bias, w, v = float(np.log(pos / (n - pos))), np.zeros(0), np.zeros((0, factors))
+    p = np.full(n, pos / n)
+    if len(names):
+        doc, col = _columns(hashed, names)
+        bias, w, v = _descend(doc, col, y, rng.normal(0, 0.05, (len(names), factors)), epochs, rate, decay, blank, rng)
+        p = _sigmoid(_raw(bias, w, v, doc, col, n)[0])
+    frequent = known[df <= n / 2]
+    frequent = np.sort(frequent[np.argsort(-df[df <= n / 2], kind="stable")[:pair_terms]])
+    paired, strength = telling_pairs(hashed, y, p, frequent, least) if len(frequent) > 1 else (known[:0], None)
+    if len(paired):
+        value, vector = np.linalg.eigh(strength.astype(float))
+        top = np.argsort(-value)[:factors]
+        v2 = rng.normal(0, 0.05, (len(paired), factors))
+        v2[:, :len(top)] += vector[:, top] * np.sqrt(np.maximum(value[top], 0) / max(value[top[0]], 1e-9))
+        raw = np.full(n, bias)
+        if len(names):
+            doc, col = _columns(hashed, names)
+            raw = _raw(bias, w, v, doc, col, n)[0]
+        doc, col = _columns(hashed, paired)
+        more, w2, v2 = _descend(doc, col, y, v2, epochs, rate, PAIR_DECAY, 0.0, rng, raw)
+        # one machine: the factors of both fits side by side
+        both = np.union1d(names, paired)
+        at, at2 = np.searchsorted(both, names), np.searchsorted(both, paired)
+        w_all, v_all = np.zeros(len(both)), np.zeros((len(both), 2 * factors))
+        w_all[at] += w
+        w_all[at2] += w2
+        v_all[at, :factors], v_all[at2, factors:] = v, v2
+        names, bias, w, v = both, bias + more, w_all, v_all
+    elif not len(names):
+        # nothing stands out: the strongest terms, strongly held back
+        names = np.sort(known[np.argsort(-z, kind="stable")[:32]])
+        doc, col = _columns(hashed, names)
+        bias, w, v = _descend(doc, col, y, rng.normal(0, 0.05, (len(names), factors)), epochs, rate, 1e-2, blank, rng)
+    return Machine(bits, bias, {int(h): i for i, h in enumerate(names)}, w, v)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, bits: int = 24, **how) -> Machine:
