@@ -14,8 +14,9 @@ up, a subtree is worth what its node and its worthwhile children add up to, or
 nothing, so no menu survives inside the article and no paragraph outside it.
 
 The trees are fitted on at most ``sample`` pages. Their labels come from the
-pages' own containers (an article or main element, against navigation,
-footers, asides, forms and elements named as adverts or the like); each sampled
+pages' own containers (an article or main element, or else the element that
+holds most of the running text, against navigation, footers, asides, forms and
+elements named as adverts or the like); each sampled
 page is also learned from in altered forms, where containers become plainly
 named or unnamed ``div`` elements and sidebars, notices, forms and reader
 comments made of other pages' sentences are put around and into the article, so
@@ -23,9 +24,9 @@ that the decision does not rest on one site's tags. Scoring reads all pages'
 whole html.
 
 Defined results: null or empty html, and html without text, give an empty
-text; unclosed, crossed or stray tags are tolerated; a page may be of any
-length; without any sampled page that has a main container nothing is learned
-and all text is kept; rows are treated one by one, so repeated pages need no
+text; unclosed, crossed or stray tags and quotes are tolerated (``Tags``), in
+time linear in the page; a page may be of any length; without any sampled page
+that has running text nothing is learned and all text is kept; rows are treated one by one, so repeated pages need no
 rule; further columns are ignored.
 """
 
@@ -41,8 +42,10 @@ from pyspark.sql import functions as F
 
 from spendpace.llm.common import first_by_hash, pick
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>", re.S)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: One step inside a tag: blanks, or an attribute's name and how its value begins.
+_STEP = re.compile(r"[\s/]+|([^\s=>/][^\s=>/]*|=[^\s=>/]*)(?:\s*=\s*([\"']?))?")
+_BARE = re.compile(r"[^\s>]*")
 _LABEL = re.compile(r' data-k="([bc])"')
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -76,13 +79,84 @@ def _blank(text: str) -> str:
     return " ".join(entities.unescape(text).split())
 
 
+class Tags:
+    """The tags of a page in order, by the rules of HTML: a quoted value ends at
+    its quote, an unquoted one at a blank or ``>``. Linear in the page: what is
+    known to have no end is not looked for again. A value whose quote never
+    closes ends at the next ``>``; a ``<`` whose tag never ends is text, and so
+    is all after it; a comment that never ends is dropped."""
+
+    def __init__(self, page: str):
+        self.page, self.end = page, len(page)
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+        self.unclosed: set[str] = set()
+
+    def after(self, tag: str, at: int) -> int | None:
+        """The place behind the next closing ``tag``, if there is one."""
+        if tag not in self.unclosed:
+            close = re.compile(rf"</{tag}(?![a-zA-Z0-9:-])[^>]*>", re.I).search(self.page, at)
+            if close:
+                return close.end()
+            self.unclosed.add(tag)
+        return None
+
+    def next(self, at: int):
+        """(start, end, closing, name, attributes) of the next tag at or after
+        ``at``; the name is empty for comments and declarations. None at the
+        end."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0 and start < self.last[">"]:
+            if page.startswith("<!--", start):
+                stop = page.find("-->", start + 4)
+                return start, (stop + 3 if stop >= 0 else self.end), "", "", {}
+            m = _OPEN.match(page, start)
+            if m:
+                stop, attrs = self._inside(m.end())
+                if stop is None:
+                    return None
+                return start, stop, m[1], m[2].lower(), attrs
+            if page[start + 1:start + 2] in ("!", "?", "/"):
+                return start, page.find(">", start) + 1, "", "", {}
+            at = start + 1
+        if start >= 0 and page.startswith("<!--", start):
+            return start, self.end, "", "", {}
+        return None
+
+    def _inside(self, at: int):
+        """The end of the tag whose attributes begin at ``at``, and those that
+        name what an element is; a trailing slash is the attribute "/"."""
+        page, attrs = self.page, {}
+        while at < self.end:
+            if page[at] == ">":
+                if page[at - 1] == "/":
+                    attrs["/"] = ""
+                return at + 1, attrs
+            m = _STEP.match(page, at)
+            at, quote, value = m.end(), m[2], ""
+            if quote and self.last[quote] >= at:
+                stop = page.find(quote, at)
+                value, at = page[at:stop], stop + 1
+            elif quote:
+                stop = page.find(">", at)
+                value, at = page[at:stop if stop >= 0 else self.end], stop if stop >= 0 else self.end
+            elif quote is not None:
+                bare = _BARE.match(page, at)
+                value, at = bare[0], bare.end()
+            if m[1] and (name := m[1].lower()) in _TELLING:
+                attrs.setdefault(name, value)
+        return None, attrs
+
+
+_TELLING = frozenset(("class", "id", "role", "aria-label", "data-k"))
+
+
 def parse(page: str, marked: bool = False) -> list[Node]:
     """The page's nodes in page order; nodes with text hold it decoded, with
     single spaces. Only in ``marked`` pages, those ``altered`` made, is the
     label attribute read: pages may use that name for their own ends."""
     nodes = [Node("html", -1, 0)]
     stack, piece, linked, link = [0], [], 0, 0
-    at, end = 0, len(page)
+    at, end, tags = 0, len(page), Tags(page)
 
     def flush():
         nonlocal piece, linked
@@ -95,33 +169,34 @@ def parse(page: str, marked: bool = False) -> list[Node]:
             piece, linked = [], 0
 
     while at < end:
-        m = _TAG.search(page, at)
-        stop = m.start() if m else end
+        found = tags.next(at)
+        stop = found[0] if found else end
         if stop > at:
             piece.append(page[at:stop])
             linked += (stop - at) * (link > 0)
-        if not m:
+        if not found:
             break
-        at, tag = m.end(), (m[2] or "").lower()
+        _, at, closing, tag, attrs = found
         if not tag:
             continue
         if tag in RAW:
-            if not m[1] and not m[3].endswith("/"):
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
+            # an element of this kind that is never closed: of scripts and styles
+            # the rest of the page is theirs, of others only the tag goes
+            if not closing and "/" not in attrs:
+                at = tags.after(tag, at) or (end if tag in ("script", "style") else at)
             continue
         if tag == "br":
             piece.append(" ")
         elif tag == "a":
-            link = 0 if m[1] else 1
+            link = 0 if closing else 1
         elif tag in ("html", "head", "body"):
             flush()
-            if not m[1] and tag == "body":
-                nodes[0].words |= _words(m[3])
+            if not closing and tag == "body":
+                nodes[0].words |= _words(attrs)
         elif tag in GROUPS or tag == "hr":
             flush()
             link = 0
-            if m[1]:
+            if closing:
                 for k in range(len(stack) - 1, 0, -1):
                     if nodes[stack[k]].tag == tag:
                         del stack[k:]
@@ -136,11 +211,9 @@ def parse(page: str, marked: bool = False) -> list[Node]:
                 del stack[ends:]
             if tag in VOID:
                 continue
-            attrs = m[3]
-            label = _LABEL.search(attrs) if marked else None
-            mark = label[1] if label else None
+            mark = attrs.get("data-k") if marked else None
             nodes.append(Node(tag, stack[-1], nodes[stack[-1]].depth + 1, _words(attrs) if attrs else frozenset(), mark))
-            if not m[3].endswith("/"):
+            if "/" not in attrs:
                 stack.append(len(nodes) - 1)
     flush()
     for i in range(len(nodes) - 1, 0, -1):
@@ -158,12 +231,8 @@ def parse(page: str, marked: bool = False) -> list[Node]:
     return out
 
 
-def _words(attrs: str) -> frozenset:
-    found = set()
-    for name, a, b, c in _ATTR.findall(attrs):
-        if name.lower() in ("class", "id", "role", "aria-label"):
-            found.update(w.lower() for w in _NAME.findall(a or b or c))
-    return frozenset(found)
+def _words(attrs: dict[str, str]) -> frozenset:
+    return frozenset(w.lower() for name, value in attrs.items() if name != "data-k" for w in _NAME.findall(value))
 
 
 N_FEATURES = len(set(GROUPS.values())) + 24
@@ -285,7 +354,10 @@ def extract(pages: list[str], model: Trees) -> list[str]:
 # ---- learning -----------------------------------------------------------
 
 def _seeded(nodes: list[Node]) -> bool:
-    """Mark the page's own containers; whether it has a main one."""
+    """Mark the page's own containers; whether it has a main one. Without an
+    article or main element the main one is the deepest element that holds most
+    of the page's running text (text outside links and outside the containers
+    marked so far)."""
     main = False
     for n in nodes:
         if n.mark is None:
@@ -296,7 +368,27 @@ def _seeded(nodes: list[Node]) -> bool:
             elif n.tag == "header" and n.words.isdisjoint(GOOD_WORDS):
                 n.mark = "b"
         main = main or n.mark == "c"
-    return main
+    return main or _densest(nodes)
+
+
+def _densest(nodes: list[Node]) -> bool:
+    running, kids = [0] * len(nodes), [[] for _ in nodes]
+    for i in range(len(nodes) - 1, -1, -1):
+        n = nodes[i]
+        running[i] = 0 if n.mark == "b" else running[i] + len(n.text) - n.links
+        if i:
+            running[n.parent] += running[i]
+            kids[n.parent].append(i)
+    if not running[0]:
+        return False
+    at = 0
+    while True:
+        inner = max((k for k in kids[at] if nodes[k].kids), key=running.__getitem__, default=None)
+        if inner is None or running[inner] < 0.6 * running[at]:
+            break
+        at = inner
+    nodes[at].mark = "c"
+    return True
 
 
 def examples(page: str, marked: bool = False):
@@ -396,26 +488,47 @@ def altered(page: str, others: list[str], rng: random.Random) -> str:
     return before + body + after
 
 
-def learn(pages: list[str], forms: int = 4, seed: int = 11) -> Trees:
-    """Trees from sampled pages and altered forms of them."""
+def lessons(pages: list[str], forms: int = 4, seed: int = 11, nodes: int = 500):
+    """(features, labels) of sampled pages and altered forms of them; of a page
+    with more than ``nodes`` nodes that many at random."""
     rng = random.Random(seed)
     texts = [t for t in (" ".join(n.text for n in parse(p) if n.tag == "p" and n.text) for p in pages) if t] or ["none"]
-    pages = [_LABEL.sub("", p) for p in pages]
-    got = [examples(x, True) for p in pages for x in [p, *(altered(p, texts, rng) for _ in range(forms))]]
-    got = [g for g in got if g is not None]
-    if not got:
+    for page in pages:
+        page = _LABEL.sub("", page)
+        for form in [page, *(altered(page, texts, rng) for _ in range(forms))]:
+            got = examples(form, True)
+            if got is not None:
+                x, y = got
+                if len(y) > nodes:
+                    some = sorted(random.Random(seed).sample(range(len(y)), nodes))
+                    x, y = x[some], y[some]
+                yield x, y
+
+
+def learn(taught) -> Trees:
+    """Trees from ``lessons``."""
+    taught = list(taught)
+    if not taught:
         return Trees(1.0)
-    return fit_trees(np.concatenate([g[0] for g in got]).astype(float), np.concatenate([g[1] for g in got]))
+    return fit_trees(np.concatenate([x for x, _ in taught]).astype(float), np.concatenate([y for _, y in taught]))
 
 
 def main_text(pages: DataFrame, sample: int = 300) -> DataFrame:
     """Per page: page_id, url, text, n_chars. The trees are fitted on at most
-    ``sample`` pages, the first by a hash of the id."""
+    ``sample`` pages of any length, the first by a hash of the id; their nodes'
+    features are made in a task, and at most 500 nodes of each form of a page
+    reach the driver."""
     import pyarrow as pa
 
     rows = pick(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit("")))
-    some = first_by_hash(rows.where(F.length("html") < 200_000), sample, "page_id", "html").select("html").collect()
-    model = learn([r["html"] for r in some])
+
+    def teach(batches):
+        for b in batches:
+            for x, y in lessons(b.column("html").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array([x.astype("<f4").tobytes()]), pa.array([y.astype("<f4").tobytes()])], ["x", "y"])
+
+    some = first_by_hash(rows, sample, "page_id", "html").select("html").mapInArrow(teach, "x binary, y binary").collect()
+    model = learn((np.frombuffer(r["x"], "<f4").reshape(-1, N_FEATURES), np.frombuffer(r["y"], "<f4")) for r in some)
 
     def run(batches):
         for b in batches:
