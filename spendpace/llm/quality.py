@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6_000) -> np.ndarray:
         got = df.mapInArrow(described, "x binary, y int").collect()
         return np.array([np.frombuffer(r["x"], "<f4") for r in got], float).reshape(-1, SHAPES + 48)
 
-    positive = labelled_sample(docs, labels.where(F.col("quality") == 1), "quality", FOLDS, HELD, sample)
+    positive = labelled_sample(docs, pick(labels, "doc_id", "quality").where("quality = 1"), "quality", FOLDS, HELD, sample)
     ids = first_by_hash(pick(docs, "doc_id").where("doc_id is not null"), sample, "doc_id").distinct()
     text = pick(docs, "doc_id", "text").select("doc_id", utf8(F.col("text")).alias("text"))
     unlabelled = text.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id", "text")).limit(sample)
