@@ -54,10 +54,12 @@ LINKED, CLASS = 200, 30
 
 def _unit(column) -> np.ndarray:
     """Vectors as rows of norm 1 in double precision; shorter ones end in
-    zeros, which changes no cosine."""
+    zeros, which changes no cosine. Each is first divided by its largest
+    component, so that no square overflows or vanishes."""
     rows = column.to_pylist() if hasattr(column, "to_pylist") else list(column)
     width = max(map(len, rows))
     x = np.array([r if len(r) == width else [*r, *[0.0] * (width - len(r))] for r in rows], np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
