@@ -44,6 +44,11 @@ BLOCK, QUERY_TERMS = 2048, 24
 _OTHER_BLANKS = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+#: The special token that the vocabulary adds to its ranks, and its id. Fixed
+#: values.
+MARKER, _MARKER_ID = "<|endoftext|>", (50256).to_bytes(4, "little")
+
+
 def _plainly_spaced(text: str) -> bool:
     """Whether each space stands between two non-blank characters, so that a
     new token begins at every space."""
@@ -74,6 +79,11 @@ class Encoder(dict):
         return ids
 
     def __call__(self, text: str) -> bytes:
+        if MARKER in text:  # the vocabulary's one special token, wherever it stands
+            return _MARKER_ID.join(map(self._encoded, text.split(MARKER)))
+        return self._encoded(text)
+
+    def _encoded(self, text: str) -> bytes:
         if not _plainly_spaced(text):
             return self._ids(text)
         if len(self) > self.size:
