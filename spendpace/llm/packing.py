@@ -39,57 +39,30 @@ WINDOW, END = 2048, 1
 BLOCK, QUERY_TERMS = 2048, 24
 
 
-#: White space other than the space and the line feed, as the vocabulary's
-#: pattern counts it. Fixed values.
-_OTHER_BLANKS = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-
-
 #: The special token that the vocabulary adds to its ranks, and its id. Fixed
 #: values.
 MARKER, _MARKER_ID = "<|endoftext|>", (50256).to_bytes(4, "little")
 
 
-def _plainly_spaced(text: str) -> bool:
-    """Whether each space stands between two non-blank characters, so that a
-    new token begins at every space."""
-    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
-        return False
-    return not any(c in text for c in _OTHER_BLANKS)
-
+class Encoder:
+    """Ids of a text as little-endian uint32 bytes."""
 
-class Encoder(dict):
-    """Ids as little-endian uint32 bytes, cached by word with the space before
-    it; a text with uncommon spacing is encoded as a whole."""
-
-    def __init__(self, vocabulary: str, pattern: str, size: int = 400_000):
+    def __init__(self, vocabulary: str, pattern: str):
         import base64
 
         import tiktoken
 
-        super().__init__()
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.plain, self.size = tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), size
+        self.plain = tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.plain.encode_ordinary(text), "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self._ids(" " + word)
-        return ids
-
     def __call__(self, text: str) -> bytes:
         if MARKER in text:  # the vocabulary's one special token, wherever it stands
-            return _MARKER_ID.join(map(self._encoded, text.split(MARKER)))
-        return self._encoded(text)
-
-    def _encoded(self, text: str) -> bytes:
-        if not _plainly_spaced(text):
-            return self._ids(text)
-        if len(self) > self.size:
-            self.clear()
-        first, *rest = text.split(" ")
-        return self._ids(first) + b"".join(map(self.__getitem__, rest))
+            return _MARKER_ID.join(map(self._ids, text.split(MARKER)))
+        return self._ids(text)
 
 
 def _encoder(cached={}):  # one per Python worker
