@@ -141,11 +141,11 @@ def telling_pairs(hashed: list[np.ndarray], y: np.ndarray, p: np.ndarray, names:
     ``p`` miss by more than chance would, and the pairs' z-scores among them. A
     pair counts if at least ``least`` documents hold both terms and its z is
     beyond what the largest of that many random ones reaches."""
-    x = np.zeros((len(y), len(names)), np.float32)
-    x[_columns(hashed, names)] = 1
     miss, var, both = np.zeros((3, len(names), len(names)), np.float32)
     for i in range(0, len(y), 2048):
-        b, q = x[i:i + 2048], p[i:i + 2048].astype(np.float32)
+        q = p[i:i + 2048].astype(np.float32)
+        b = np.zeros((len(q), len(names)), np.float32)
+        b[_columns(hashed[i:i + 2048], names)] = 1
         miss += b.T @ (b * (y[i:i + 2048].astype(np.float32) - q)[:, None])
         var += b.T @ (b * np.maximum(q * (1 - q), 1e-3)[:, None])
         both += b.T @ b
