@@ -170,6 +170,20 @@ def q_cur_csv_ledger(spark, sf_dir):
     return L.daily_costs(L.attributed_rows(cur, _CFG))
 
 
+@register("cur_parquet_ledger", REGISTRY["ledger_daily"].columns, ["ledger"], "SELECT * FROM ledger")
+def q_cur_parquet_ledger(spark, sf_dir):
+    """SRC1, PRJ3: the line items as a parquet export of two billing periods with
+    tags in one text column, one period delivered anew; the assemblies in force
+    give the ledger of the line items."""
+    import uuid
+    from spendpace.operators import ledger as L
+    from spendpace.session import checkpoint_dir
+    from spendpace.sources import cur as CUR
+    root = adapter.write_cur_parquet(spark, sf_dir, f"{checkpoint_dir(spark)}/cur-parquet-{uuid.uuid4().hex}")
+    cur = L.assign_budgets(CUR.normalize(CUR.read_parquet(spark, root), _CFG), adapter.budget_accounts(spark, sf_dir))
+    return L.daily_costs(L.attributed_rows(cur, _CFG))
+
+
 @register("cur_delivery_duplicates",
           [("file_name", "str"), ("billing_period", "str"), ("copies", "long"), ("first_path", "str"),
            ("last_path", "str")])

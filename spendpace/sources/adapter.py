@@ -344,6 +344,24 @@ def write_cur_redelivery(spark: SparkSession, sf_dir: str, root: str) -> str:
     return root
 
 
+def write_cur_parquet(spark: SparkSession, sf_dir: str, root: str) -> str:
+    """All line items as a parquet export of two billing periods, tags in one
+    text column: a JSON object in the first period, JSON pairs in the second,
+    which has a further column. The second period's first assembly, with doubled
+    costs, was replaced by another one. Returns ``root``."""
+    raw = cur_raw(spark, sf_dir)
+    early = F.coalesce(F.col("line_item_usage_start_date") < F.lit(CSV_PERIOD_SPLIT).cast("timestamp"), F.lit(True))
+    tags = {"user_Vendor": "resource_tags_user_Vendor", "user_ClusterId": "resource_tags_user_ClusterId"}
+    whole = F.to_json(F.struct(*[F.col(c).alias(k) for k, c in tags.items()]))
+    pairs = F.to_json(F.array(*[F.array(F.lit(k), F.col(c)) for k, c in tags.items()]))
+    first = raw.filter(early).withColumn("resource_tags", whole).drop(*tags.values())
+    second = raw.filter(~early).withColumn("resource_tags", pairs).drop(*tags.values()).withColumn("line_item_usage_type", F.lit("on demand"))
+    wrong = second.withColumn("line_item_unblended_cost", F.col("line_item_unblended_cost") * 2)
+    for df, period, assembly in ((first, "2023-10", 1), (wrong, "2024-01", 9), (second, "2024-01", 10)):
+        df.write.mode("overwrite").parquet(f"{root}/BILLING_PERIOD={period}/assembly={assembly}")
+    return root
+
+
 def write_cur_csv(spark: SparkSession, sf_dir: str, root: str) -> str:
     """The line items of ``cur_raw`` as a gzip CSV export in the legacy
     (slash-named) layout under ``root``: every row is written once, into one
@@ -351,9 +369,10 @@ def write_cur_csv(spark: SparkSession, sf_dir: str, root: str) -> str:
     folder's files list the columns in reverse order. Whitespace and NULLs
     are written as they are. Returns ``root``."""
     from spendpace.config import CUR_COLUMNS, PaceConfig
-    from spendpace.sources.cur import tag_column_variants
-    legacy = {snake.lower(): old for snake, old in CUR_COLUMNS.values()}
-    legacy.update({tag_column_variants(t)[0].lower(): tag_column_variants(t)[1] for t in PaceConfig().tag_names})
+    from spendpace.sources.cur import TAG_PREFIXES
+    snake, slash = TAG_PREFIXES
+    legacy = {new.lower(): old for new, old in CUR_COLUMNS.values()}
+    legacy |= {(snake + t).lower(): slash + t for t in PaceConfig().tag_names}
     raw = cur_raw(spark, sf_dir)
     named = raw.select(*[F.col(c).alias(legacy.get(c.lower(), c)) for c in raw.columns])
     start = F.col(f"`{CUR_COLUMNS['usage_start'][1]}`")
