@@ -17,12 +17,13 @@ over 14 days of usage per check.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendpace.config import MIN_WEEKDAY_SAMPLES, Forecasting
 from spendpace.functions import fiscal
 from spendpace.functions.tags import usage_double
+from spendpace.operators.ordered import running
 
 DAY_KEY = ["budget_id", "today"]
 
@@ -91,29 +92,28 @@ def modal_compute_type(usage_hourly: DataFrame, days: DataFrame) -> DataFrame:
             .select(*wk, "compute_type"))
 
 
-def _dense_hours(df: DataFrame, key: list[str]) -> DataFrame:
-    return df.select(*key).distinct().select(*key, F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
+def _hour_slots(value: str = "dbu_dollars") -> Column:
+    """Dollars by hour of day as an array of 24 sums, in one aggregate."""
+    return F.array(*[F.sum(F.when(F.col("hour") == h, F.col(value))) for h in range(24)])
 
 
-def pooled_hours(hist: DataFrame) -> DataFrame:
-    """Pooled dollars per (budget_id, today, workload, hour of day) with the
-    pool size: the one aggregate of the history that both the forecasts and
-    the intraday measures read (a stage table in a check)."""
-    return (hist.groupBy(*DAY_KEY, "workload_type", "workload_id", "hour")
-            .agg(F.sum("dbu_dollars").alias("dbu"), F.max("pool_size").alias("pool_size")))
+def _slot_sum(df: DataFrame, hours, first, count):
+    """Exact sum of ``count`` slots of the array ``hours`` from hour ``first``
+    on; empty slots count 0. One digit before the point is kept free, so that
+    an addition never gives up digits after it."""
+    scale = df.schema["hours"].dataType.elementType.scale
+    term, total = f"decimal(37,{scale})", f"decimal(38,{scale})"
+    return F.aggregate(F.slice(hours, F.lit(first) + 1, F.lit(count)), F.lit(0).cast(total),
+                       lambda a, x: (a.cast(term) + F.coalesce(x, F.lit(0)).cast(term)).cast(total))
 
 
-def workload_day_profile(pooled: DataFrame, modes: DataFrame) -> DataFrame:
-    """Per (budget_id, today, workload): pooled dollars from each hour of the
-    day to midnight (suffix sums over a dense 24-hour grid), the pool size
-    and the modal compute type. ``pooled`` is ``pooled_hours``."""
-    wk = DAY_KEY + ["workload_type", "workload_id"]
-    meta = pooled.groupBy(*wk).agg(F.max("pool_size").alias("pool_size")).join(modes, wk, "inner")
-    grid = _dense_hours(meta, wk).join(pooled.drop("pool_size"), wk + ["hour"], "left")
-    suffix = Window.partitionBy(*wk).orderBy(F.col("hour").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    grid = grid.withColumn("rest_of_day", F.coalesce(F.sum("dbu").over(suffix), F.lit(0)))
-    return grid.join(meta, wk, "inner")
+def pooled_hours(hist: DataFrame) -> DataFrame:
+    """Pooled dollars per (budget_id, today, workload): ``hours``, an array of
+    24 sums by hour of day, with the pool size. The one aggregate of the
+    history that both the forecasts and the intraday measures read (a stage
+    table in a check)."""
+    return (hist.groupBy(*DAY_KEY, "workload_type", "workload_id")
+            .agg(_hour_slots().alias("hours"), F.max("pool_size").alias("pool_size")))
 
 
 def forecasts(keys: DataFrame, pooled: DataFrame, modes: DataFrame, multipliers: DataFrame,
@@ -126,10 +126,10 @@ def forecasts(keys: DataFrame, pooled: DataFrame, modes: DataFrame, multipliers:
     Jobs waiting in ``queue(budget_id, job_id)`` are removed. ``pooled``
     is ``pooled_hours`` of the history.
     """
-    prof = workload_day_profile(pooled, modes)
-    k = keys.select("budget_id", "as_of", "today", F.col("now_hour").alias("hour"))
-    f = (k.join(prof, DAY_KEY + ["hour"], "inner")
-         .withColumn("dbu_forecast", usage_double(F.col("rest_of_day")) / F.col("pool_size"))
+    prof = pooled.join(modes, DAY_KEY + ["workload_type", "workload_id"], "inner")
+    rest_of_day = _slot_sum(pooled, F.col("hours"), F.col("now_hour"), 24 - F.col("now_hour"))
+    f = (keys.select("budget_id", "as_of", "today", "now_hour").join(prof, DAY_KEY, "inner")
+         .withColumn("dbu_forecast", usage_double(rest_of_day) / F.col("pool_size"))
          .filter(F.col("dbu_forecast") > 0))
     f = f.join(multipliers.select(*DAY_KEY, "global_multiplier"), DAY_KEY, "left")
     f = f.withColumn("multiplier", multiplier_for(F.col("compute_type"), F.col("global_multiplier"), cfg))
@@ -149,12 +149,11 @@ def forecasts(keys: DataFrame, pooled: DataFrame, modes: DataFrame, multipliers:
         queued = queue.select("budget_id", F.col("job_id").alias("workload_id"),
                               F.lit("JOB").alias("workload_type")).distinct()
         f = f.join(queued, ["budget_id", "workload_type", "workload_id"], "left_anti")
-    rank = Window.partitionBy("budget_id", "as_of").orderBy(
-        F.col("forecast_usd").desc(), F.col("workload_type"), F.col("workload_id"))
-    return f.select("budget_id", "as_of", "workload_type", "workload_id", "name", "priority",
-                    "compute_type", "dbu_forecast", "multiplier",
-                    F.col("pool_size").alias("sample_days"), "forecast_usd",
-                    F.row_number().over(rank).alias("forecast_rank"))
+    f = f.select("budget_id", "as_of", "workload_type", "workload_id", "name", "priority",
+                 "compute_type", "dbu_forecast", "multiplier",
+                 F.col("pool_size").alias("sample_days"), "forecast_usd")
+    return running(f, ["budget_id", "as_of"], [F.col("forecast_usd").desc(), F.col("workload_type"), F.col("workload_id")],
+                   "forecast_rank")
 
 
 def multiplier_for(compute_type, global_multiplier, cfg: Forecasting):
@@ -165,25 +164,19 @@ def multiplier_for(compute_type, global_multiplier, cfg: Forecasting):
 
 
 def day_hour_totals(pooled: DataFrame) -> DataFrame:
-    """Pooled dollars of all workloads per (budget_id, today, hour) on a
-    dense grid, with pool size and the pooled day total. ``pooled`` is
-    ``pooled_hours``."""
-    tot = pooled.groupBy(*DAY_KEY, "hour").agg(F.sum("dbu").alias("dbu"))
-    size = pooled.groupBy(*DAY_KEY).agg(F.max("pool_size").alias("pool_size"))
-    grid = _dense_hours(size, DAY_KEY).join(tot, DAY_KEY + ["hour"], "left").fillna(0, ["dbu"])
-    before = Window.partitionBy(*DAY_KEY).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*DAY_KEY)
-    return (grid.withColumn("before_hour", F.coalesce(F.sum("dbu").over(before), F.lit(0)))
-            .withColumn("day_total", F.sum("dbu").over(whole))
-            .join(size, DAY_KEY, "inner"))
+    """Pooled dollars of all workloads per (budget_id, today) by hour of day
+    (``hours``), with the pool size. ``pooled`` is ``pooled_hours``."""
+    slots = F.array(*[F.sum(F.col("hours")[h]) for h in range(24)])
+    return pooled.groupBy(*DAY_KEY).agg(slots.alias("hours"), F.max("pool_size").alias("pool_size"))
 
 
 def intraday_fraction(keys: DataFrame, totals: DataFrame) -> DataFrame:
     """Share of a day's pooled dollars accrued before the current hour;
     no history or no dollars -> ``min(hour / 24, 1)``."""
-    k = keys.select("budget_id", "as_of", "today", F.col("now_hour").alias("hour"))
-    j = k.join(totals, DAY_KEY + ["hour"], "left")
-    linear = F.least(F.col("hour") / F.lit(24.0), F.lit(1.0))
+    j = keys.select("budget_id", "as_of", "today", "now_hour").join(totals, DAY_KEY, "left")
+    linear = F.least(F.col("now_hour") / F.lit(24.0), F.lit(1.0))
+    j = (j.withColumn("before_hour", _slot_sum(totals, F.col("hours"), 0, F.col("now_hour")))
+         .withColumn("day_total", _slot_sum(totals, F.col("hours"), 0, 24)))
     frac = F.when(F.col("day_total").isNull() | (F.col("day_total") <= 0), linear).otherwise(
         usage_double(F.col("before_hour")) / usage_double(F.col("day_total")))
     return j.select("budget_id", "as_of", frac.alias("intraday_fraction"))
@@ -192,10 +185,9 @@ def intraday_fraction(keys: DataFrame, totals: DataFrame) -> DataFrame:
 def lag_fill(keys: DataFrame, totals: DataFrame, multipliers: DataFrame) -> DataFrame:
     """Expected dollars in the lag hours (hour-of-day set of the last
     ``lag`` hours) = pooled mean x the **global** multiplier."""
-    k = keys.select("budget_id", "as_of", "today", F.explode("lag_hours").alias("hour")).distinct()
-    j = k.join(totals, DAY_KEY + ["hour"], "inner")
-    s = j.groupBy("budget_id", "as_of", "today").agg(
-        F.sum("dbu").alias("dbu"), F.max("pool_size").alias("pool_size"))
+    in_lag = F.transform(F.col("hours"), lambda x, h: F.when(F.array_contains("lag_hours", h), x))
+    s = (keys.select("budget_id", "as_of", "today", "lag_hours").join(totals, DAY_KEY, "inner")
+         .withColumn("dbu", _slot_sum(totals, in_lag, 0, 24)))
     s = s.join(multipliers.select(*DAY_KEY, "global_multiplier"), DAY_KEY, "left")
     fill = usage_double(F.col("dbu")) / F.col("pool_size") * F.col("global_multiplier")
     out = keys.select("budget_id", "as_of").join(s.select("budget_id", "as_of", fill.alias("lag_fill")),
@@ -211,37 +203,23 @@ def observed(keys: DataFrame, usage_hourly: DataFrame, week_start: DataFrame,
 
     ``week_start(budget_id, today, week_start)`` comes from the plan.
 
-    The window ``[week_start, cutoff)`` is split into whole days before the
-    cutoff's date, read from per-day totals, and the part of the cutoff's
-    date before its hour, read from an hour-of-day prefix sum. A check thus
-    touches at most 6 day rows and one prefix row per compute type, never
-    the hourly rows of its week: cost follows the usage aggregate, not
-    checks x hours.
+    The window ``[week_start, cutoff)`` is its dates; each takes all 24 slots
+    of its day, the cutoff's own date those before the cutoff's hour. A check
+    thus touches at most 7 day rows per compute type, never the hourly rows of
+    its week, and only days of an asked week are summed.
     """
-    by_hour = (_with_date(usage_hourly)
-               .groupBy("budget_id", "usage_date", "hour", "compute_type")
-               .agg(F.sum("dbu_dollars").alias("dbu")))
-    by_day = (by_hour.groupBy("budget_id", "usage_date", "compute_type")
-              .agg(F.sum("dbu").alias("dbu")))
-    day_type = ["budget_id", "usage_date", "compute_type"]
-    before = Window.partitionBy(*day_type).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    prefix = (_dense_hours(by_day, day_type).join(by_hour, day_type + ["hour"], "left")
-              .withColumn("dbu", F.sum("dbu").over(before))
-              .filter(F.col("dbu").isNotNull()))
-    k = (keys.select("budget_id", "as_of", "today", "cutoff").join(week_start, DAY_KEY, "inner")
-         .withColumn("cut_date", F.to_date("cutoff")).withColumn("cut_hour", F.hour("cutoff")))
-    whole_days = (k.select("budget_id", "as_of", "today", F.explode(fiscal.week_dates(
-        F.col("week_start"), F.least(F.col("cut_date"), F.date_add("today", 1)))).alias("usage_date"))
-        .join(by_day, ["budget_id", "usage_date"], "inner")
-        .select("budget_id", "as_of", "today", "compute_type", F.col("dbu").alias("week_dbu"),
-                F.lit(None).cast(by_day.schema["dbu"].dataType).alias("today_dbu")))
-    cut_day = (k.filter((F.col("cut_date") >= F.col("week_start")) & (F.col("cut_date") <= F.col("today")))
-               .join(prefix, (k["budget_id"] == prefix["budget_id"]) & (k["cut_date"] == prefix["usage_date"])
-                     & (k["cut_hour"] == prefix["hour"]), "inner")
-               .select(k["budget_id"], "as_of", "today", "compute_type", F.col("dbu").alias("week_dbu"),
-                       F.when(F.col("cut_date") == F.col("today"), F.col("dbu")).alias("today_dbu")))
-    t = whole_days.unionByName(cut_day).groupBy("budget_id", "as_of", "today", "compute_type").agg(
-        F.sum("week_dbu").alias("week_dbu"), F.sum("today_dbu").alias("today_dbu"))
+    k = keys.select("budget_id", "as_of", "today", "cutoff").join(week_start, DAY_KEY, "inner")
+    cut_date = F.to_date("cutoff")
+    asked = k.select("budget_id", "as_of", "today", cut_date.alias("cut_date"), F.hour("cutoff").alias("cut_hour"),
+                     F.explode(fiscal.week_dates(F.col("week_start"), F.date_add(F.least(cut_date, "today"), 1)))
+                     .alias("usage_date"))
+    day = ["budget_id", "usage_date"]
+    slots = (_with_date(usage_hourly).join(asked.select(*day).distinct(), day, "left_semi")
+             .groupBy(*day, "compute_type").agg(_hour_slots().alias("hours")))
+    count = F.when(F.col("usage_date") == F.col("cut_date"), F.col("cut_hour")).otherwise(24)
+    d = asked.join(slots, day, "inner").withColumn("dbu", _slot_sum(slots, F.col("hours"), 0, count))
+    t = d.groupBy("budget_id", "as_of", "today", "compute_type").agg(
+        F.sum("dbu").alias("week_dbu"), F.sum(F.when(F.col("usage_date") == F.col("today"), F.col("dbu"))).alias("today_dbu"))
     t = t.join(multipliers.select(*DAY_KEY, "global_multiplier"), DAY_KEY, "left")
     m = multiplier_for(F.col("compute_type"), F.col("global_multiplier"), cfg)
     s = t.groupBy("budget_id", "as_of").agg(

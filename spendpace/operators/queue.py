@@ -2,9 +2,9 @@
 
 Release is strict FIFO: walking the queue in pause order, a job is released
 while the running sum of estimated run costs fits the day's headroom; the
-first job that does not fit holds everyone behind it. As a window:
-``released <=> max(running_cost > headroom) over the prefix = false``,
-partitioned by (budget_id, as_of). Ties on ``paused_at`` keep ``seq``.
+first job that does not fit holds everyone behind it: running costs over
+ranges of the queue, and the place of the first job that does not fit. Ties on
+``paused_at`` keep ``seq``.
 
 ``release_plan`` asks one queue at many checks. ``replay`` carries the queue
 from check to check: what one check releases is gone at the next, whose headroom
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from spendpace import config as C
 from spendpace.functions.tags import MONEY
 from spendpace.operators.levers import money4
+from spendpace.operators.ordered import running
 
 KEY = ["budget_id", "as_of"]
 QUEUE_COLUMNS = ["budget_id", "job_id", "name", "priority", "est_run_cost", "paused_at", "seq"]
@@ -48,13 +49,13 @@ def release_plan(status: DataFrame, queue: DataFrame, fifo_release: bool = True)
     target minus spend and forecast (never negative)."""
     gate = status.filter(F.col("severity").isin("OK", "WARN") & F.lit(fifo_release)).select(*KEY, "day_headroom")
     q = queue.join(gate, "budget_id", "inner")
-    w = Window.partitionBy(*KEY).orderBy("paused_at", "seq")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    q = (q.withColumn("queue_pos", F.row_number().over(w))
-         .withColumn("running_cost", F.sum("est_run_cost").over(upto))
-         .withColumn("blocked", F.col("running_cost").cast("double") > F.col("day_headroom"))
-         .withColumn("released", ~F.max("blocked").over(upto)))
-    return q
+    cost = F.col("est_run_cost")
+    q = running(q, KEY, [F.col("paused_at"), F.col("seq")], "queue_pos", {"running_cost": cost})
+    q = (q.withColumn("running_cost", (F.col("running_cost") + cost).cast("decimal(28,4)"))
+         .withColumn("blocked", F.col("running_cost").cast("double") > F.col("day_headroom")))
+    first = q.filter("blocked").groupBy(*KEY).agg(F.min("queue_pos").alias("first_blocked"))
+    q = q.join(first, KEY, "left")
+    return q.withColumn("released", F.col("first_blocked").isNull() | (F.col("queue_pos") < F.col("first_blocked"))).drop("first_blocked")
 
 
 def freeze(forecasts: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 actions and queues, plus an append-only audit log.
 
 Every write adds or replaces one ``as_of`` partition (dynamic partition
-overwrite), so a retried job rewrites only its own version and readers take
-the latest version per budget with a window, never a driver-side loop.
+overwrite), so a retried job rewrites only its own version. Readers meet the
+version in force by date, in an equi-join.
 Retention is by partition date instead of an entry cap.
 """
 
@@ -24,23 +24,21 @@ def read_versions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("version")
 
 
-def latest(df: DataFrame, keys: list[str], order_col: str = "as_of") -> DataFrame:
-    """Latest row per ``keys`` by ``order_col``."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc())
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-
-
 def plan_in_force(plans: DataFrame, checks: DataFrame) -> DataFrame:
     """For each check (budget_id, as_of timestamp): the latest stored plan
     built on or before the check's date whose budget week holds that date.
     Checks without one get no row (the caller builds a plan for them)."""
-    p = plans.select("budget_id", F.col("as_of").alias("plan_as_of"), "week_start", "week_end",
-                     *[c for c in plans.columns if c not in ("budget_id", "as_of", "week_start", "week_end")])
-    c = checks.select("budget_id", "as_of").withColumn("check_date", F.to_date("as_of"))
-    j = c.join(p, "budget_id").filter(
-        (F.col("plan_as_of") <= F.col("check_date")) & (F.col("week_start") <= F.col("check_date"))
-        & (F.col("check_date") < F.col("week_end")))
-    return latest(j, ["budget_id", "as_of"], "plan_as_of").drop("check_date")
+    # a plan holds for the days of its week from its own on: a week's dates at
+    # most, so each version becomes its days and meets checks by equi-join
+    rest = [c for c in plans.columns if c not in ("budget_id", "as_of")]
+    first = F.greatest("as_of", "week_start")
+    days = (plans.filter(first < F.col("week_end"))
+            .select("budget_id", F.explode(F.sequence(first, F.date_sub("week_end", 1))).alias("check_date"),
+                    F.struct(F.col("as_of").alias("plan_as_of"), "week_start", "week_end",
+                             *[c for c in rest if c not in ("week_start", "week_end")]).alias("plan"))
+            .groupBy("budget_id", "check_date").agg(F.max_by("plan", "plan.plan_as_of").alias("plan")))
+    c = checks.select("budget_id", "as_of", F.to_date("as_of").alias("check_date"))
+    return c.join(days, ["budget_id", "check_date"], "inner").select("budget_id", "as_of", "plan.*")
 
 
 def calibration_in_force(stored: DataFrame | None, checks: DataFrame, default_multiplier: float) -> DataFrame:
@@ -50,14 +48,21 @@ def calibration_in_force(stored: DataFrame | None, checks: DataFrame, default_mu
     if stored is None:
         return c.select("budget_id", "as_of", F.lit(default_multiplier).alias("global_multiplier"),
                         F.lit(0).alias("window_days"), F.lit(None).cast("date").alias("calibrated_on"))
-    s = stored.select("budget_id", F.col("as_of").alias("calibrated_on"), "global_multiplier", "window_days")
-    j = c.join(s, "budget_id", "inner").filter(F.col("calibrated_on") <= F.col("check_date"))
-    j = latest(j, ["budget_id", "as_of"], "calibrated_on")
-    out = c.join(j.select("budget_id", "as_of", "global_multiplier", "window_days", "calibrated_on"),
-                 ["budget_id", "as_of"], "left")
+    # one row for each date with a version or a check (a calendar's dates at
+    # most, whatever the number of versions and checks), then the last version
+    # up to it; checks read their date's by equi-join
+    version = F.struct(F.col("as_of").alias("calibrated_on"), "global_multiplier", "window_days")
+    versions = stored.select("budget_id", F.to_date("as_of").alias("check_date"), F.col("as_of").alias("at"), version.alias("version"))
+    asked = c.select("budget_id", "check_date").distinct()
+    dates = (versions.unionByName(asked, allowMissingColumns=True).groupBy("budget_id", "check_date")
+             .agg(F.max_by("version", "at").alias("version")))
+    upto = Window.partitionBy("budget_id").orderBy("check_date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dates = dates.select("budget_id", "check_date", F.last("version", ignorenulls=True).over(upto).alias("version"))
+    out = c.join(dates, ["budget_id", "check_date"], "left")
     return out.select("budget_id", "as_of",
-                      F.coalesce("global_multiplier", F.lit(default_multiplier)).alias("global_multiplier"),
-                      F.coalesce("window_days", F.lit(0)).alias("window_days"), "calibrated_on")
+                      F.coalesce("version.global_multiplier", F.lit(default_multiplier)).alias("global_multiplier"),
+                      F.coalesce("version.window_days", F.lit(0)).alias("window_days"),
+                      F.col("version.calibrated_on").alias("calibrated_on"))
 
 
 def audit_events(plan: DataFrame | None = None, calibration: DataFrame | None = None,
