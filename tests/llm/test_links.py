@@ -195,13 +195,45 @@ def test_seeds_meet_their_lexical_neighbours():
     topics = [rng.integers(k * 100, k * 100 + 100, 4000).astype("<u4") for k in range(6)]
     ids = [t[i * 300:(i + 1) * 300] for i in range(6) for t in topics]
     packer = packing.Packer(1500, 0)
-    done = [p for out in packer.block(ids, [0] * len(ids), 24) for p in out]
+    done = [p for out in packer.block(ids, [0] * len(ids), 24, np.ones(packing.VOCABULARY), 300.0) for p in out]
     by = {}
     for p in done:
         by.setdefault(p[3], []).append(p[0] % 6)
     assert np.mean([len(set(x)) == 1 for x in by.values()]) > 0.6
 
 
+def test_packing_statistics_and_ranking(spark):
+    """Document frequencies over all remainders and BM25 by a plain sum."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    tokens = stage(packing.tokenized(docs.repartition(5)))
+    idf, mean = packing.statistics(tokens)
+    encode = packing._encoder()
+    ids = [np.frombuffer(encode(r["text"] or "") + np.array([1], "<u4").tobytes(), "<u4") for r in docs.collect()]
+    ids = [x for x in (x[len(x) // 2048 * 2048:] for x in ids) if len(x)]
+    df = {}
+    for x in ids:
+        for t in set(x.tolist()):
+            df[t] = df.get(t, 0) + 1
+    assert abs(mean - np.mean([len(x) for x in ids])) < 1e-9
+    for t in range(packing.VOCABULARY):
+        c = df.get(t, 0)
+        assert abs(idf[t] - np.log1p((len(ids) - c + 0.5) / (c + 0.5))) < 1e-9
+    at_docs, weights, at, queries = packing._index(ids, 24, idf, mean)
+    names = sorted(df)
+    for i in (0, 7, 50):
+        tf = [{t: int(k) for t, k in zip(*np.unique(x, return_counts=True))} for x in ids]
+        bm = lambda t, j: idf[t] * tf[j][t] * 2.2 / (tf[j][t] + 1.2 * (0.25 + 0.75 * len(ids[j]) / mean)) if t in tf[j] else 0.0
+        own = sorted((t for t in tf[i] if df[t] > 1), key=lambda t: -bm(t, i))
+        mine = [names[t] for t in queries[i]]
+        assert len(mine) == min(24, len(own))
+        assert min(bm(t, i) for t in mine) >= bm(own[len(mine) - 1], i) - 1e-5
+        score = np.zeros(len(ids))
+        for t in queries[i]:
+            score[at_docs[at[t]:at[t + 1]]] += weights[at[t]:at[t + 1]]
+        want = [sum(bm(t, j) for t in mine) for j in range(len(ids))]
+        assert np.allclose(score, want)
+
+
 def test_secrets(spark):
     rng = np.random.default_rng(9)
     own = "".join(rng.choice(list("ABCDEFGHJKabcdefghjk0123456789"), 40))
