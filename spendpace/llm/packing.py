@@ -11,7 +11,8 @@ The index is sharded by topic. Each remainder has a direction, the mean of its
 ids' fixed random vectors (rarer ids weigh more), and goes to the shard of the
 nearest of ``topics`` centres, fitted on a sample of at most ``sample``
 directions. A shard of many documents is split by a min-hash of their ids, and a
-min-hash value of more than ``block`` documents at random. Within a shard, every
+min-hash value of more than ``block`` documents at random. Close shards lie side
+by side in the ranges that tasks read. Within a range, every
 ``block`` documents form an inverted index with BM25 weights (tokens are the
 terms; a query is a seed's ``query_terms`` best weighted ones). Documents are
 taken as seeds in order; the best ranked unused neighbours that fit are
@@ -46,7 +47,7 @@ BLOCK, QUERY_TERMS = 2048, 24
 #: Ids of the vocabulary, and of a direction's numbers.
 VOCABULARY, DIMENSIONS = 50_257, 64
 #: Shards of the index, and directions that their centres are fitted on.
-TOPICS, SAMPLE = 64, 4096
+TOPICS, SAMPLE = 256, 4096
 
 
 #: The special token that the vocabulary adds to its ranks, and its id. Fixed
@@ -169,7 +170,7 @@ def statistics(tokens: DataFrame, window: int = WINDOW) -> tuple[np.ndarray, flo
 
 def centres(directions: np.ndarray, topics: int, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
     """The mean direction, and centres of the centred directions by spherical
-    k-means; equal directions give equal centres."""
+    k-means, in an order that puts close centres side by side."""
     mean = directions.mean(0)
     x = directions - mean
     x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
@@ -178,7 +179,15 @@ def centres(directions: np.ndarray, topics: int, rounds: int = 10) -> tuple[np.n
         near = (x @ c.T).argmax(1)
         c = np.array([x[near == j].sum(0) if (near == j).any() else c[j] for j in range(len(c))])
         c /= np.linalg.norm(c, axis=1, keepdims=True) + 1e-9
-    return mean, c
+
+    def ordered(some):  # halves along the direction in which they differ most
+        if len(some) < 3:
+            return list(some)
+        axis = np.linalg.svd(c[some] - c[some].mean(0), full_matrices=False)[2][0]
+        some = some[np.argsort(c[some] @ axis, kind="stable")]
+        return ordered(some[:len(some) // 2]) + ordered(some[len(some) // 2:])
+
+    return mean, c[ordered(np.arange(len(c)))]
 
 
 def dealt(tokens: DataFrame, block: int, topics: int = TOPICS, sample: int = SAMPLE) -> DataFrame:
@@ -211,7 +220,8 @@ def dealt(tokens: DataFrame, block: int, topics: int = TOPICS, sample: int = SAM
         F.when(crowded, F.col("minhash")).otherwise(-1).alias("value"),
         F.when(crowded, F.pmod(F.xxhash64("doc_id", "rest"), F.col("salts")))
         .otherwise(F.pmod(F.xxhash64("minhash"), F.col("parts"))).alias("part"))
-    return rows.repartition("topic", "value", "part").sortWithinPartitions("topic", "value", "part", "n_tokens", "doc_id")
+    # ranges keep close shards in one chain of blocks
+    return rows.repartitionByRange("topic", "value", "part").sortWithinPartitions("topic", "value", "part", "n_tokens", "doc_id")
 
 
 def _index(ids: list[np.ndarray], query_terms: int, idf: np.ndarray, mean: float):
