@@ -112,23 +112,35 @@ def granularity_check(daily: DataFrame) -> DataFrame:
     )
 
 
+def blended_days(cur_rows: DataFrame, usage_daily: DataFrame) -> DataFrame:
+    """Daily ledger when usage is invoiced separately: one row per
+    (budget_id, usage_date) of either source, with the non-marketplace line
+    items as ``cost`` and the priced usage as ``usage_cost`` (null where the
+    source has no row). ``blended_cost`` reads an instant's cost from a row, so
+    instants share the rows: work grows with days plus instants."""
+    cur_daily = daily_costs(cur_rows.filter(~F.col("is_marketplace")))
+    usage = usage_daily.select("budget_id", "usage_date", F.col("dbu_dollars").alias("usage_cost"))
+    return cur_daily.join(usage, ["budget_id", "usage_date"], "full")
+
+
+def blended_cost(usage_counts: Column) -> Column:
+    """Cost of a row of ``blended_days``, with its usage where ``usage_counts``;
+    null where nothing that counts was reported."""
+    usage = F.when(usage_counts, F.col("usage_cost"))
+    zero = F.lit(0).cast(MONEY)
+    return F.when(F.col("cost").isNotNull() | usage.isNotNull(),
+                  F.coalesce(F.col("cost"), zero) + F.coalesce(usage, zero)).cast(MONEY)
+
+
 def blended_ledger(cur_rows: DataFrame, usage_daily: DataFrame, plan_keys: DataFrame) -> DataFrame:
-    """Ledger when usage is invoiced separately: non-marketplace line items
-    plus priced usage dollars from the FY start through ``as_of`` (a full
-    outer join on the date; missing sides count 0).
+    """The blended ledger as each plan instant sees it: usage counts from the
+    FY start through ``as_of``.
 
-    ``plan_keys(budget_id, as_of, fy_start)``: one row per plan instant.
-    Usage days are taken per instant, so the result is keyed
-    (budget_id, as_of, usage_date).
+    ``plan_keys(budget_id, as_of, fy_start)``: one row per plan instant. The
+    result repeats the days for every instant, keyed (budget_id, as_of,
+    usage_date); plans read ``blended_days`` instead.
     """
-    cur_daily = daily_costs(cur_rows.filter(~F.col("is_marketplace")))
     keys = plan_keys.select("budget_id", "as_of", "fy_start")
-    usage = (usage_daily.join(keys, "budget_id")
-             .filter((F.col("usage_date") >= F.col("fy_start")) & (F.col("usage_date") <= F.col("as_of")))
-             .select("budget_id", "as_of", "usage_date", F.col("dbu_dollars")))
-    cur_k = cur_daily.join(keys.select("budget_id", "as_of"), "budget_id")
-    zero = F.lit(0).cast(MONEY)
-    joined = cur_k.join(usage, ["budget_id", "as_of", "usage_date"], "full")
-    return joined.select(
-        "budget_id", "as_of", "usage_date",
-        (F.coalesce(F.col("cost"), zero) + F.coalesce(F.col("dbu_dollars"), zero)).cast(MONEY).alias("cost"))
+    seen = F.col("usage_date").between(F.col("fy_start"), F.col("as_of"))
+    rows = blended_days(cur_rows, usage_daily).join(keys, "budget_id").withColumn("cost", blended_cost(seen))
+    return rows.filter("cost is not null").select("budget_id", "as_of", "usage_date", "cost")

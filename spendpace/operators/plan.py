@@ -17,13 +17,29 @@ from pyspark.sql import functions as F
 
 from spendpace.functions import fiscal
 from spendpace.functions.tags import MONEY, usage_double
+from spendpace.operators.ledger import blended_cost
 
 
 def _ledger_keys(ledger: DataFrame) -> list[str]:
-    """A ledger is keyed by budget, or by budget and instant (blended)."""
+    """What a ledger's costs depend on beside the date: the budget, for daily
+    blended rows the fiscal year also (usage counts from its start), and for a
+    ledger of one instant the instant."""
+    if "usage_cost" in ledger.columns:
+        return ["budget_id", "fy_start"]
     return ["budget_id", "as_of"] if "as_of" in ledger.columns else ["budget_id"]
 
 
+def _costs(dates: DataFrame, ledger: DataFrame, how: str = "inner") -> DataFrame:
+    """``dates`` (ledger keys, usage_date, ...) with the ledger's ``cost``; only
+    dates before the instant are asked for, so all their usage is known."""
+    if "usage_cost" not in ledger.columns:
+        lk = _ledger_keys(ledger)
+        return dates.join(ledger.select(*lk, "usage_date", "cost"), lk + ["usage_date"], how)
+    rows = dates.join(ledger.select("budget_id", "usage_date", "cost", "usage_cost"), ["budget_id", "usage_date"], how)
+    rows = rows.withColumn("cost", blended_cost(F.col("usage_date") >= F.col("fy_start"))).drop("usage_cost")
+    return rows.filter("cost is not null") if how == "inner" else rows
+
+
 def plan_keys(instants: DataFrame) -> DataFrame:
     """``instants(budget_id, as_of date, annual_budget, fy_start_month,
     fy_start_day, week_start_weekday)`` + every calendar fact of as_of."""
@@ -40,7 +56,7 @@ def _window_join(keys: DataFrame, key_cols: list[str], start: str, end: str,
     lk = _ledger_keys(ledger)
     sel = list(dict.fromkeys(key_cols + [c for c in lk if c not in key_cols]))
     exploded = keys.select(*sel, F.explode(fiscal.week_dates(F.col(start), F.col(end))).alias("usage_date"))
-    return exploded.join(ledger.select(*lk, "usage_date", "cost"), lk + ["usage_date"], "inner")
+    return _costs(exploded, ledger)
 
 
 def fy_to_date(ledger: DataFrame, keys: DataFrame) -> DataFrame:
@@ -53,14 +69,14 @@ def fy_to_date(ledger: DataFrame, keys: DataFrame) -> DataFrame:
     """
     lk = _ledger_keys(ledger)
     kc = list(dict.fromkeys(lk + ["fy_start", "week_start"]))
-    fy = lk + ["fy_start"]
+    fy = list(dict.fromkeys(lk + ["fy_start"]))
     distinct_keys = keys.select(*kc).distinct()
     span = distinct_keys.groupBy(*fy).agg(F.max("week_start").alias("last_week_start"))
     dates = span.select(*fy, F.explode(fiscal.week_dates(F.col("fy_start"), F.col("last_week_start")))
                         .alias("usage_date"))
     # dense dates (unreported days are NULL), so the day before every week
     # start has a running total to read
-    daily = dates.join(ledger.select(*lk, "usage_date", "cost"), lk + ["usage_date"], "left")
+    daily = _costs(dates, ledger, "left")
     upto = Window.partitionBy(*fy).orderBy("usage_date").rowsBetween(Window.unboundedPreceding,
                                                                       Window.currentRow)
     running = daily.select(*fy, F.col("usage_date").alias("day_before"), F.sum("cost").over(upto).alias("fytd"))
@@ -152,15 +168,14 @@ def calibration(ledger: DataFrame, usage_hourly: DataFrame, keys: DataFrame,
     days, or no usage dollars -> the default multiplier; else the ratio
     clamped to ``bounds``."""
     lk = _ledger_keys(ledger)
-    k = keys.select(*lk).distinct() if "as_of" in lk else keys.select("budget_id", "as_of").distinct()
+    kc = list(dict.fromkeys(lk + ["as_of"]))
+    k = keys.select(*kc).distinct()
     k = (k.withColumn("w_end", F.date_sub("as_of", lag_days))
          .withColumn("w_start", F.date_sub("w_end", window_days)))
-    dates = k.select("budget_id", "as_of", F.explode(fiscal.week_dates(F.col("w_start"), F.col("w_end")))
-                     .alias("usage_date"))
+    dates = k.select(*kc, F.explode(fiscal.week_dates(F.col("w_start"), F.col("w_end"))).alias("usage_date"))
     usage_daily = (usage_hourly.withColumn("usage_date", F.to_date("hour_start"))
                    .groupBy("budget_id", "usage_date").agg(F.sum("dbu_dollars").alias("dbu")))
-    shared = (dates.join(ledger.select(*lk, "usage_date", "cost"), lk + ["usage_date"], "inner")
-              .join(usage_daily, ["budget_id", "usage_date"], "inner"))
+    shared = _costs(dates, ledger).join(usage_daily, ["budget_id", "usage_date"], "inner")
     agg = shared.groupBy("budget_id", "as_of").agg(
         F.count(F.lit(1)).alias("window_days"),
         F.sum("cost").alias("cur_sum"), F.sum("dbu").alias("dbu_sum"))

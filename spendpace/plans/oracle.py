@@ -890,6 +890,62 @@ cte("ledger_blended", ["flagged", "pk", "usage_daily"], """
               AND u.usage_date <= k.as_of) u
     ON c.budget_id = u.budget_id AND c.as_of = u.as_of AND c.usage_date = u.usage_date""")
 
+cte("plan_blended", ["pk", "ledger_blended"], """
+  SELECT p.*, CASE WHEN remaining_fy_days <= 0 THEN CAST(0 AS DOUBLE)
+                   ELSE remaining_budget * (week_end - week_start) / remaining_fy_days END AS weekly_allowance
+  FROM (
+    SELECT k.*, CAST(k.remaining_fy_days AS DOUBLE) / 7.0 AS remaining_weeks,
+           CAST(coalesce(f.spent, 0) AS DECIMAL(18,4)) AS fy_to_date_spend,
+           greatest(CAST(k.annual_budget AS DOUBLE) - CAST(CAST(coalesce(f.spent, 0) AS DECIMAL(18,4)) AS DOUBLE),
+                    CAST(0 AS DOUBLE)) AS remaining_budget
+    FROM pk k LEFT JOIN (
+      SELECT q.budget_id, q.as_of, SUM(l.cost) AS spent
+      FROM pk q JOIN ledger_blended l ON l.budget_id = q.budget_id AND l.as_of = q.as_of
+       AND l.usage_date >= q.fy_start AND l.usage_date < q.week_start
+      GROUP BY q.budget_id, q.as_of) f
+    ON f.budget_id = k.budget_id AND f.as_of = k.as_of) p""")
+
+cte("shape_blended", ["pk", "ledger_blended"], f"""
+  SELECT budget_id, as_of, weekday, AVG(CAST(cost AS DOUBLE) / CAST(total AS DOUBLE)) AS share,
+         MAX(weeks) AS weeks
+  FROM (SELECT *, COUNT(*) FILTER (usage_date = wk) OVER (PARTITION BY budget_id, as_of) AS weeks
+        FROM (SELECT w.*, COUNT(*) OVER (PARTITION BY budget_id, as_of, wk) AS days,
+                     SUM(cost) OVER (PARTITION BY budget_id, as_of, wk) AS total
+              FROM (SELECT k.budget_id, k.as_of, l.usage_date, l.cost, {_wd('l.usage_date')} AS weekday,
+                           CAST(l.usage_date - CAST({_pmod7(_wd('l.usage_date') + ' - k.week_start_weekday')} AS INTEGER) AS DATE) AS wk
+                    FROM pk k JOIN ledger_blended l ON l.budget_id = k.budget_id AND l.as_of = k.as_of
+                     AND l.usage_date >= k.natural_week_start - 56 AND l.usage_date < k.natural_week_start) w)
+        WHERE days = 7 AND total > 0)
+  GROUP BY budget_id, as_of, weekday""")
+
+cte("targets_blended", ["plan_blended", "shape_blended"], f"""
+  SELECT budget_id, as_of, day, weekday,
+    CASE WHEN SUM(weight) OVER one <= 0 THEN weekly_allowance * 1.0 / CAST(COUNT(*) OVER one AS DOUBLE)
+         ELSE weekly_allowance * weight / SUM(weight) OVER one END AS target
+  FROM (SELECT d.*, CASE WHEN coalesce(t.weeks, 0) < 2 THEN CAST(1 AS DOUBLE) / 7
+                         ELSE coalesce(s.share, CAST(0 AS DOUBLE)) / t.total END AS weight
+        FROM (SELECT e.*, {_wd('e.day')} AS weekday
+              FROM (SELECT budget_id, as_of, weekly_allowance,
+                           CAST(unnest(range(CAST(week_start AS TIMESTAMP), CAST(week_end AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day
+                    FROM plan_blended) e) d
+        LEFT JOIN shape_blended s ON s.budget_id = d.budget_id AND s.as_of = d.as_of AND s.weekday = d.weekday
+        LEFT JOIN (SELECT budget_id, as_of, SUM(share) AS total, MAX(weeks) AS weeks FROM shape_blended GROUP BY ALL) t
+          ON t.budget_id = d.budget_id AND t.as_of = d.as_of)
+  WINDOW one AS (PARTITION BY budget_id, as_of)""")
+
+cte("calibration_blended", ["pk", "ledger_blended", "usage_daily"], """
+  SELECT budget_id, as_of,
+    CASE WHEN days >= 7 AND dbu > 0 THEN least(greatest(CAST(spent AS DOUBLE) / CAST(CAST(dbu AS DECIMAL(28,9)) AS DOUBLE),
+         CAST(1.0 AS DOUBLE)), CAST(4.0 AS DOUBLE)) ELSE CAST(1.6 AS DOUBLE) END AS global_multiplier,
+    CAST(days AS INTEGER) AS window_days,
+    CAST(CASE WHEN days >= 7 AND dbu > 0 THEN spent ELSE 0 END AS DECIMAL(18,4)) AS cur_total,
+    CAST(CASE WHEN days >= 7 AND dbu > 0 THEN dbu ELSE 0 END AS DECIMAL(18,4)) AS dbu_total
+  FROM (SELECT k.budget_id, k.as_of, COUNT(b.cost) AS days, SUM(b.cost) AS spent, SUM(b.dbu_dollars) AS dbu
+        FROM pk k LEFT JOIN (SELECT l.budget_id, l.as_of, l.usage_date, l.cost, u.dbu_dollars
+                             FROM ledger_blended l JOIN usage_daily u ON u.budget_id = l.budget_id AND u.usage_date = l.usage_date) b
+          ON b.budget_id = k.budget_id AND b.as_of = k.as_of AND b.usage_date >= k.as_of - 30 AND b.usage_date < k.as_of - 2
+        GROUP BY k.budget_id, k.as_of)""")
+
 cte("calibration_in_force", ["calibration", "budgets"], f"""
   SELECT c.budget_id, c.as_of, coalesce(s.global_multiplier, CAST(1.6 AS DOUBLE)) AS global_multiplier,
          coalesce(s.window_days, 0) AS window_days, s.as_of AS calibrated_on

@@ -772,6 +772,34 @@ def q_ledger_blended(spark, sf_dir):
     return L.blended_ledger(inp.attributed(cfg), inp.usage_daily(), keys)
 
 
+BLENDED = PaceConfig(include_usage_invoice=True)  # usage is invoiced separately
+
+
+@register("weekly_plan_blended", PLAN_COLS, ["plan_blended"], "SELECT * FROM plan_blended")
+def q_weekly_plan_blended(spark, sf_dir):
+    """PLN1, PLN2, FLT6, JOIN2: plan rows where usage is invoiced separately,
+    from daily rows that all instants share."""
+    return W.plan_columns(plan_tables(spark, sf_dir, BLENDED)[1].plan)
+
+
+@register("day_targets_blended", REGISTRY["day_targets"].columns, ["targets_blended"], """
+  SELECT *, strftime(day, '%a') AS weekday_name,
+         SUM(target) OVER (PARTITION BY budget_id, as_of ORDER BY day
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative_target
+  FROM targets_blended""")
+def q_day_targets_blended(spark, sf_dir):
+    """PLN3, PLN4, FLT6, JOIN2: day targets where usage is invoiced
+    separately; a profile week before the fiscal year holds billing only."""
+    t = plan_tables(spark, sf_dir, BLENDED)[1].targets
+    return t.withColumn("weekday_name", F.date_format("day", "EEE"))
+
+
+@register("calibration_blended", REGISTRY["calibration"].columns, ["calibration_blended"], "SELECT * FROM calibration_blended")
+def q_calibration_blended(spark, sf_dir):
+    """AGG6, JOIN3, FLT6: the multiplier where usage is invoiced separately."""
+    return plan_tables(spark, sf_dir, BLENDED)[1].calibration
+
+
 @register("cur_quality",
           [("rows", "long"), ("rows_with_start", "long"), ("rows_with_cost", "long")],
           ["cur"], """

@@ -166,7 +166,7 @@ def ledger_for(inputs: Inputs, cfg: PaceConfig, keys: DataFrame) -> DataFrame:
             return inputs.recent_ledger
         return materialize(L.daily_costs(inputs.attributed(cfg, start, end)))
     start, end = keys.agg(F.min("fy_start"), F.date_add(F.max("as_of"), 1)).first()
-    return L.blended_ledger(inputs.attributed(cfg), inputs.usage_daily(start, end), keys)
+    return materialize(L.blended_days(inputs.attributed(cfg, *ledger_window(keys, cfg)), inputs.usage_daily(start, end)))
 
 
 def build_plan(inputs: Inputs, cfg: PaceConfig, instants: DataFrame,

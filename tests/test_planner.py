@@ -111,3 +111,38 @@ def test_override_wins(spark):
     df = spark.createDataFrame([("SQL", 1.6), ("JOBS", 1.6)], "t string, g double")
     got = dict(df.select("t", FC.multiplier_for(F.col("t"), F.col("g"), cfg).alias("m")).collect())
     assert got == {"SQL": 1.2, "JOBS": 1.6}
+
+
+def test_blended_days_give_what_each_instant_sees(spark):
+    """Plans from the shared daily rows equal plans from a ledger per instant,
+    also where the profile's weeks begin before the fiscal year."""
+    import random
+    from spendpace.functions.tags import MONEY
+    from spendpace.operators import ledger as L
+    rng = random.Random(5)
+    days = [dt.date(2025, 7, 1) + dt.timedelta(days=i) for i in range(140)]
+    lines = [(b, d, rng.randint(1, 90) / 4, rng.random() < 0.2) for b in (0, 1) for d in days if rng.random() < 0.97 for _ in range(2)]
+    used = [(b, d, rng.randint(1, 90) / 8) for b in (0, 1) for d in days if rng.random() < 0.97]
+    cur = spark.createDataFrame(lines, "budget_id int, usage_date date, cost double, is_marketplace boolean")
+    usage = spark.createDataFrame(used, "budget_id int, usage_date date, dbu_dollars double")
+    usage = usage.selectExpr("budget_id", "usage_date", f"cast(dbu_dollars as {MONEY}) as dbu_dollars")
+    instants = [(b, dt.date(2025, 9, 24) + dt.timedelta(days=5 * i), 90000.0, 10, 1, 6) for b in (0, 1, 2) for i in range(9)]
+    keys = P.plan_keys(spark.createDataFrame(instants, "budget_id int, as_of date, annual_budget double, fy_start_month int,"
+                                                       " fy_start_day int, week_start_weekday int"))
+    hourly = usage.selectExpr("budget_id", "cast(usage_date as timestamp) as hour_start", "dbu_dollars")
+    got = []
+    for led in (L.blended_days(cur, usage), L.blended_ledger(cur, usage, keys)):
+        plan = P.weekly_plan(led, keys)
+        targets = P.day_targets(plan, P.dow_profile(led, keys, 8))
+        calib = P.calibration(led, hourly, keys, 1.6, 28, 2, 7, (1.0, 4.0))
+        got.append([sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in part.collect())
+                    for part in (plan.select("budget_id", "as_of", "fy_to_date_spend", "weekly_allowance"),
+                                 targets.select("budget_id", "as_of", "day", "target"),
+                                 calib.select("budget_id", "as_of", "window_days", "cur_total"))])
+    assert got[0] == got[1] and len(got[0][0]) == 27
+    spent = {(r[0], r[1]): r[2] for r in got[0][0]}
+    for b, at, *_ in instants:
+        k = [r for r in keys.where(f"budget_id = {b} and as_of = date'{at}'").select("fy_start", "week_start").collect()][0]
+        inside = lambda d: k.fy_start <= d < k.week_start
+        want = sum(c for x, d, c, m in lines if x == b and not m and inside(d)) + sum(c for x, d, c in used if x == b and inside(d))
+        assert float(spent[b, at]) == want
