@@ -120,8 +120,8 @@ def forecasts(keys: DataFrame, pooled: DataFrame, modes: DataFrame, multipliers:
               meta: DataFrame | None, queue: DataFrame | None, cfg: Forecasting) -> DataFrame:
     """Rest-of-day all-in forecast per workload and check instant.
 
-    ``multipliers(budget_id, today, global_multiplier)``; overrides come
-    from ``cfg``. ``meta(budget_id, workload_type, workload_id, name,
+    ``multipliers(budget_id, today, global_multiplier[, overrides])``: a
+    budget's stored overrides win over those of ``cfg``. ``meta(budget_id, workload_type, workload_id, name,
     priority)``; unknown workloads get a default name and ``normal``.
     Jobs waiting in ``queue(budget_id, job_id)`` are removed. ``pooled``
     is ``pooled_hours`` of the history.
@@ -131,8 +131,8 @@ def forecasts(keys: DataFrame, pooled: DataFrame, modes: DataFrame, multipliers:
     f = (keys.select("budget_id", "as_of", "today", "now_hour").join(prof, DAY_KEY, "inner")
          .withColumn("dbu_forecast", usage_double(rest_of_day) / F.col("pool_size"))
          .filter(F.col("dbu_forecast") > 0))
-    f = f.join(multipliers.select(*DAY_KEY, "global_multiplier"), DAY_KEY, "left")
-    f = f.withColumn("multiplier", multiplier_for(F.col("compute_type"), F.col("global_multiplier"), cfg))
+    f = f.join(multipliers.select(*DAY_KEY, "global_multiplier", stored_overrides(multipliers)), DAY_KEY, "left")
+    f = f.withColumn("multiplier", multiplier_for(F.col("compute_type"), F.col("global_multiplier"), cfg, F.col("overrides")))
     f = f.withColumn("forecast_usd", F.col("dbu_forecast") * F.col("multiplier"))
     default_name = F.when(F.col("workload_id") != "", F.concat(
         F.lower("workload_type"), F.lit("-"), F.col("workload_id"))).otherwise(F.col("compute_type"))
@@ -156,11 +156,20 @@ def forecasts(keys: DataFrame, pooled: DataFrame, modes: DataFrame, multipliers:
                    "forecast_rank")
 
 
-def multiplier_for(compute_type, global_multiplier, cfg: Forecasting):
+def stored_overrides(multipliers: DataFrame) -> Column:
+    """The column ``overrides`` (compute type -> multiplier) of a calibration;
+    null where it was stored without one."""
+    given = F.col("overrides") if "overrides" in multipliers.columns else F.lit(None)
+    return given.cast("map<string,double>").alias("overrides")
+
+
+def multiplier_for(compute_type, global_multiplier, cfg: Forecasting, overrides: Column | None = None):
+    """The budget's stored override of a compute type, else the configured
+    one, else the calibrated multiplier."""
     expr = global_multiplier
     for ctype, mult in reversed(cfg.multiplier_overrides):
         expr = F.when(compute_type == ctype, F.lit(float(mult))).otherwise(expr)
-    return expr
+    return expr if overrides is None else F.coalesce(F.try_element_at(overrides, compute_type), expr)
 
 
 def day_hour_totals(pooled: DataFrame) -> DataFrame:
@@ -220,8 +229,8 @@ def observed(keys: DataFrame, usage_hourly: DataFrame, week_start: DataFrame,
     d = asked.join(slots, day, "inner").withColumn("dbu", _slot_sum(slots, F.col("hours"), 0, count))
     t = d.groupBy("budget_id", "as_of", "today", "compute_type").agg(
         F.sum("dbu").alias("week_dbu"), F.sum(F.when(F.col("usage_date") == F.col("today"), F.col("dbu"))).alias("today_dbu"))
-    t = t.join(multipliers.select(*DAY_KEY, "global_multiplier"), DAY_KEY, "left")
-    m = multiplier_for(F.col("compute_type"), F.col("global_multiplier"), cfg)
+    t = t.join(multipliers.select(*DAY_KEY, "global_multiplier", stored_overrides(multipliers)), DAY_KEY, "left")
+    m = multiplier_for(F.col("compute_type"), F.col("global_multiplier"), cfg, F.col("overrides"))
     s = t.groupBy("budget_id", "as_of").agg(
         F.sum(usage_double(F.col("week_dbu")) * m).alias("observed_week"),
         F.sum(usage_double(F.coalesce(F.col("today_dbu"), F.lit(0))) * m).alias("observed_today"))

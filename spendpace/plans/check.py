@@ -149,7 +149,7 @@ def plan_tables(inputs: W.Inputs, cfg: PaceConfig, instants: DataFrame,
 
 
 def multipliers(pt: W.PlanTables) -> DataFrame:
-    return pt.calibration.select("budget_id", F.col("as_of").alias("today"), "global_multiplier")
+    return pt.calibration.select("budget_id", F.col("as_of").alias("today"), "global_multiplier", FC.stored_overrides(pt.calibration))
 
 
 def build_check(inputs: W.Inputs, cfg: PaceConfig, instants: DataFrame,

@@ -825,23 +825,24 @@ def transition_sql(which: str):
 
 
 # ------------------------------------------------------------ spec rewrite --
-def _spec_side(origin: str, key: str, size: str, cond: str) -> str:
+def _spec_side(origin: str, key: str, size: str, cond: str, absolute: str = "CAST(NULL AS INTEGER)") -> str:
     n0 = f"CASE WHEN s.c_nationkey % 3 <> 0 THEN CAST({size} AS INTEGER) END"
     mx0 = f"CASE WHEN s.c_nationkey % 3 = 0 THEN CAST({size} + 1 AS INTEGER) END"
     mn0 = "CASE WHEN s.c_nationkey % 3 = 0 THEN 2 END"
-    cap_fixed = f"greatest(coalesce(c.min_workers, 1), CAST(floor({n0} * c.max_workers_factor) AS INTEGER))"
-    cap_auto = f"greatest(coalesce(c.min_workers, 1), CAST(floor(coalesce({mx0}, 1) * c.max_workers_factor) AS INTEGER))"
+    cap_fixed = f"coalesce({absolute}, greatest(coalesce(c.min_workers, 1), CAST(floor({n0} * c.max_workers_factor) AS INTEGER)))"
+    cap_auto = f"coalesce({absolute}, greatest(coalesce(c.min_workers, 1), CAST(floor(coalesce({mx0}, 1) * c.max_workers_factor) AS INTEGER)))"
+    capped = f"coalesce({absolute}, c.max_workers_factor) IS NOT NULL"
     new_max = f"least(coalesce({mx0}, {cap_auto}), {cap_auto})"
     return f"""
   SELECT c.budget_id, c.as_of, c.target_id AS job_id, '{origin}' AS origin, '{key}' AS key,
     {n0} AS orig_num_workers,
-    CASE WHEN s.c_nationkey % 3 <> 0 AND c.max_workers_factor IS NOT NULL
+    CASE WHEN s.c_nationkey % 3 <> 0 AND {capped}
          THEN least({n0}, {cap_fixed}) ELSE {n0} END AS num_workers,
     {mn0} AS orig_min_workers,
-    CASE WHEN s.c_nationkey % 3 = 0 AND c.max_workers_factor IS NOT NULL
+    CASE WHEN s.c_nationkey % 3 = 0 AND {capped}
          THEN least(coalesce({mn0}, 1), {new_max}) ELSE {mn0} END AS min_workers,
     {mx0} AS orig_max_workers,
-    CASE WHEN s.c_nationkey % 3 = 0 AND c.max_workers_factor IS NOT NULL THEN {new_max} ELSE {mx0} END AS max_workers,
+    CASE WHEN s.c_nationkey % 3 = 0 AND {capped} THEN {new_max} ELSE {mx0} END AS max_workers,
     'ON_DEMAND' AS orig_availability,
     CASE WHEN coalesce(c.spot, false) OR c.spot_bid_percent IS NOT NULL THEN 'SPOT' ELSE 'ON_DEMAND' END AS availability,
     CASE WHEN coalesce(c.spot, false) THEN coalesce(CASE WHEN s.c_nationkey % 2 = 0 THEN 2 END, 1)
@@ -856,6 +857,11 @@ cte("spec_changes", ["chosen", "inv_customers"],
     _spec_side("task", "etl", "s.c_custkey % 5 + 1", "s.c_custkey % 8 = 0"))
 
 
+_CAP = "CASE WHEN CAST(c.target_id AS BIGINT) % 8 <> 4 THEN 2 + CAST(c.target_id AS BIGINT) % 3 END"
+cte("spec_changes_absolute", ["chosen", "inv_customers"],
+    _spec_side("job_cluster", "main", "s.c_custkey % 10 + 1", "true", _CAP) + "\n  UNION ALL" +
+    _spec_side("task", "etl", "s.c_custkey % 5 + 1", "s.c_custkey % 8 = 0", _CAP))
+
 cte("plan_in_force", ["weekly_plan", "budgets"], f"""
   SELECT * EXCLUDE (rn) FROM (
     SELECT c.budget_id, c.as_of, p.as_of AS plan_as_of, p.fy_label, p.week_start, p.week_end, p.weekly_allowance,
@@ -890,6 +896,36 @@ cte("ledger_blended", ["flagged", "pk", "usage_daily"], """
               AND u.usage_date <= k.as_of) u
     ON c.budget_id = u.budget_id AND c.as_of = u.as_of AND c.usage_date = u.usage_date""")
 
+cte("overrides", [], """
+  SELECT CAST(n_regionkey AS INTEGER) AS budget_id, compute_type,
+         arg_max(CAST(1.0 AS DOUBLE) + CAST(n_nationkey AS DOUBLE) / 20.0, n_nationkey) AS multiplier
+  FROM (SELECT *, CASE n_nationkey % 3 WHEN 0 THEN 'JOBS' WHEN 1 THEN 'SQL' ELSE 'ALL_PURPOSE' END AS compute_type
+        FROM nation WHERE n_nationkey % 2 = 0)
+  GROUP BY ALL""")
+
+# the forecasts' dollars before the multiplier are those of the plain check
+cte("forecasts_overridden", ["forecasts", "overrides"], """
+  SELECT f.* EXCLUDE (multiplier, forecast_usd, forecast_rank), coalesce(o.multiplier, f.multiplier) AS multiplier,
+         f.dbu_forecast * coalesce(o.multiplier, f.multiplier) AS forecast_usd,
+         row_number() OVER (PARTITION BY f.budget_id, f.as_of
+                            ORDER BY f.dbu_forecast * coalesce(o.multiplier, f.multiplier) DESC,
+                                     f.workload_type, f.workload_id) AS forecast_rank
+  FROM forecasts f LEFT JOIN overrides o ON o.budget_id = f.budget_id AND o.compute_type = f.compute_type""")
+
+cte("observed_overridden", ["ck", "weekly_plan", "mult", "usage_hourly", "overrides"], """
+  SELECT k.budget_id, k.as_of, coalesce(SUM(CAST(CAST(t.week_dbu AS DECIMAL(28,9)) AS DOUBLE) * t.factor), 0.0) AS observed_week,
+         coalesce(SUM(CAST(CAST(coalesce(t.today_dbu, 0) AS DECIMAL(28,9)) AS DOUBLE) * t.factor), 0.0) AS observed_today
+  FROM ck k LEFT JOIN (
+    SELECT x.budget_id, x.as_of, u.compute_type, coalesce(o.multiplier, m.global_multiplier) AS factor,
+           SUM(u.dbu_dollars) AS week_dbu,
+           SUM(u.dbu_dollars) FILTER (WHERE u.hour_start >= CAST(greatest(x.today, p.week_start) AS TIMESTAMP)) AS today_dbu
+    FROM ck x JOIN weekly_plan p ON p.budget_id = x.budget_id AND p.as_of = x.today
+    JOIN usage_hourly u ON u.budget_id = x.budget_id AND u.hour_start >= CAST(p.week_start AS TIMESTAMP) AND u.hour_start < x.cutoff
+    LEFT JOIN mult m ON m.budget_id = x.budget_id AND m.today = x.today
+    LEFT JOIN overrides o ON o.budget_id = x.budget_id AND o.compute_type = u.compute_type
+    GROUP BY ALL) t ON t.budget_id = k.budget_id AND t.as_of = k.as_of
+  GROUP BY k.budget_id, k.as_of""")
+
 cte("plan_blended", ["pk", "ledger_blended"], """
   SELECT p.*, CASE WHEN remaining_fy_days <= 0 THEN CAST(0 AS DOUBLE)
                    ELSE remaining_budget * (week_end - week_start) / remaining_fy_days END AS weekly_allowance

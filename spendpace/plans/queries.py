@@ -397,6 +397,37 @@ def q_pace_inputs(spark, sf_dir):
     return (ct.fraction.join(ct.fill, ["budget_id", "as_of"]).join(ct.observed, ["budget_id", "as_of"]))
 
 
+def _overridden_check(spark, sf_dir):
+    """The checks with the budgets' overrides stored beside the calibration
+    and read back."""
+    import uuid
+    from spendpace.plans import check as CK
+    from spendpace.session import checkpoint_dir
+    from spendpace.sources import state as SS
+    inp = inputs(spark, sf_dir)
+    inst = adapter.check_instants(inp.budgets)
+    uh = materialize(inp.usage_hourly(*W.usage_window(inst, _CFG)))
+    pt = CK.plan_tables(inp, _CFG, inst, uh)
+    path = f"{checkpoint_dir(spark)}/calibration-{uuid.uuid4().hex}"
+    SS.write_version(SS.with_overrides(pt.calibration, adapter.multiplier_overrides(spark, sf_dir)), path)
+    pt.calibration = SS.read_versions(spark, path)
+    return CK.build_check(inp, _CFG, inst, pt=pt, usage_hourly=uh)
+
+
+@register("forecast_overrides", FORECAST_COLS, ["forecasts_overridden"], "SELECT * FROM forecasts_overridden")
+def q_forecast_overrides(spark, sf_dir):
+    """JOIN8, AGG17: forecasts with stored multipliers by compute type."""
+    return _overridden_check(spark, sf_dir).forecasts
+
+
+@register("observed_overrides",
+          [("budget_id", "int"), ("as_of", "ts"), ("observed_week", "money"), ("observed_today", "money")],
+          ["observed_overridden"], "SELECT * FROM observed_overridden")
+def q_observed_overrides(spark, sf_dir):
+    """JOIN8, AGG14: observed dollars with stored multipliers by compute type."""
+    return _overridden_check(spark, sf_dir).observed
+
+
 STATUS_COLS = [("budget_id", "int"), ("as_of", "ts"), ("severity", "str"), ("pace_ratio", "ratio"),
                ("weekly_allowance", "money"), ("spend_week_to_date", "money"),
                ("expected_week_to_date", "money"), ("day_target", "money"), ("spend_today", "money"),
@@ -655,6 +686,18 @@ def q_job_cluster_changes(spark, sf_dir):
     return SP.flatten_changes(SP.job_cluster_changes(ct.chosen, adapter.job_specs(spark, sf_dir)))
 
 
+@register("job_cluster_absolute_caps", REGISTRY["job_cluster_changes"].columns, ["spec_changes_absolute"],
+          "SELECT * FROM spec_changes_absolute")
+def q_job_cluster_absolute_caps(spark, sf_dir):
+    """LEV7, LEV8: the rewrites where most jobs have an absolute worker cap,
+    which wins over the factor and never scales a cluster up."""
+    from spendpace.operators import specs as SP
+    chosen = check_tables(spark, sf_dir)[1].chosen
+    job = F.col("target_id").try_cast("bigint")
+    chosen = chosen.withColumn("max_workers", F.when(job % 8 != 4, 2 + job % 3))
+    return SP.flatten_changes(SP.job_cluster_changes(chosen, adapter.job_specs(spark, sf_dir)))
+
+
 @register("warehouse_changes",
           [("budget_id", "int"), ("as_of", "ts"), ("warehouse_id", "str"), ("target_name", "str"),
            ("orig_cluster_size", "str"), ("cluster_size", "str"), ("orig_auto_stop_mins", "int"),

@@ -55,6 +55,8 @@ BUDGET_BASE_START, BUDGET_BASE_END, BUDGET_BASE_DAYS = "2023-10-01", "2024-01-01
 ACTIVITY_ANCHOR = "2024-01-23 15:00:00"
 
 N_BUDGETS_COL = "r_regionkey"
+#: Compute types of the multiplier overrides, by ``n_nationkey % 3``.
+OVERRIDE_TYPES = ("JOBS", "SQL", "ALL_PURPOSE")
 #: CSV export: line items starting before this date go to the first
 #: billing-period folder, the rest to the second (written with its columns
 #: in reverse order, so the reader must combine the files by name).
@@ -86,6 +88,16 @@ def _between(df: DataFrame, column: str, start: date | None, end: date | None, s
     return df
 
 
+def multiplier_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overrides set for the budgets, from every second nation: (budget_id,
+    compute_type, multiplier, set_seq). Some set a compute type twice."""
+    n = F.col("n_nationkey")
+    kinds = F.array(*[F.lit(c) for c in OVERRIDE_TYPES])
+    return table(spark, sf_dir, "nation").where(n % 2 == 0).select(
+        F.col("n_regionkey").cast("int").alias("budget_id"), kinds[(n % 3).cast("int")].alias("compute_type"),
+        (F.lit(1.0) + n.cast("double") / 20.0).alias("multiplier"), n.cast("long").alias("set_seq"))
+
+
 def cur_raw(spark: SparkSession, sf_dir: str, start: date | None = None, end: date | None = None) -> DataFrame:
     """Line items in the parquet (snake_case) layout with one column per tag,
     of usage starting in ``[start, end)`` where given."""

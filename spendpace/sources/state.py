@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spendpace.operators.forecast import stored_overrides
+
 
 def write_version(df: DataFrame, path: str, version_col: str = "as_of") -> None:
     """Add (or replace) the versions present in ``df`` under ``path``."""
@@ -21,7 +23,8 @@ def write_version(df: DataFrame, path: str, version_col: str = "as_of") -> None:
 
 
 def read_versions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("version")
+    """All stored versions; they may carry different columns (merged by name)."""
+    return spark.read.option("mergeSchema", "true").parquet(path).drop("version")
 
 
 def plan_in_force(plans: DataFrame, checks: DataFrame) -> DataFrame:
@@ -41,17 +44,29 @@ def plan_in_force(plans: DataFrame, checks: DataFrame) -> DataFrame:
     return c.join(days, ["budget_id", "check_date"], "inner").select("budget_id", "as_of", "plan.*")
 
 
+def with_overrides(calibration: DataFrame, overrides: DataFrame) -> DataFrame:
+    """A calibration with the overrides set for its budgets (``overrides``:
+    budget_id, compute_type, multiplier, set_seq; of several for a compute type
+    the one of the largest ``set_seq`` counts), as one map per budget. A
+    missing type or multiplier sets nothing."""
+    last = (overrides.where("compute_type is not null and multiplier is not null").groupBy("budget_id", "compute_type")
+            .agg(F.max_by(F.col("multiplier").cast("double"), "set_seq").alias("multiplier")))
+    maps = last.groupBy("budget_id").agg(F.map_from_entries(F.collect_list(F.struct("compute_type", "multiplier"))).alias("overrides"))
+    return calibration.drop("overrides").join(maps, "budget_id", "left")
+
+
 def calibration_in_force(stored: DataFrame | None, checks: DataFrame, default_multiplier: float) -> DataFrame:
-    """Latest stored calibration on or before each check's date, else the
-    configured default (window 0)."""
+    """Latest stored calibration on or before each check's date, with the
+    overrides stored beside it, else the configured default (window 0)."""
     c = checks.select("budget_id", "as_of").withColumn("check_date", F.to_date("as_of"))
     if stored is None:
         return c.select("budget_id", "as_of", F.lit(default_multiplier).alias("global_multiplier"),
-                        F.lit(0).alias("window_days"), F.lit(None).cast("date").alias("calibrated_on"))
+                        F.lit(0).alias("window_days"), F.lit(None).cast("date").alias("calibrated_on"),
+                        F.lit(None).cast("map<string,double>").alias("overrides"))
     # one row for each date with a version or a check (a calendar's dates at
     # most, whatever the number of versions and checks), then the last version
     # up to it; checks read their date's by equi-join
-    version = F.struct(F.col("as_of").alias("calibrated_on"), "global_multiplier", "window_days")
+    version = F.struct(F.col("as_of").alias("calibrated_on"), "global_multiplier", "window_days", stored_overrides(stored))
     versions = stored.select("budget_id", F.to_date("as_of").alias("check_date"), F.col("as_of").alias("at"), version.alias("version"))
     asked = c.select("budget_id", "check_date").distinct()
     dates = (versions.unionByName(asked, allowMissingColumns=True).groupBy("budget_id", "check_date")
@@ -62,7 +77,7 @@ def calibration_in_force(stored: DataFrame | None, checks: DataFrame, default_mu
     return out.select("budget_id", "as_of",
                       F.coalesce("version.global_multiplier", F.lit(default_multiplier)).alias("global_multiplier"),
                       F.coalesce("version.window_days", F.lit(0)).alias("window_days"),
-                      F.col("version.calibrated_on").alias("calibrated_on"))
+                      F.col("version.calibrated_on").alias("calibrated_on"), F.col("version.overrides").alias("overrides"))
 
 
 def audit_events(plan: DataFrame | None = None, calibration: DataFrame | None = None,

@@ -37,6 +37,29 @@ def test_cap_never_scales_up(spark):
     assert o.num_workers == 2
 
 
+def test_absolute_cap_wins_and_never_scales_up(spark):
+    df = spark.createDataFrame([((8, None, None), 0.5, 3), ((2, None, None), 0.5, 3), ((None, (6, 10), None), None, 4),
+                                ((8, None, None), 0.25, None)], f"s {SPEC}, f double, a int")
+    out = [r.o for r in df.select(SP.throttle_spec(F.col("s"), F.lit(None).cast("boolean"), F.col("f"), F.lit(1),
+                                                   F.lit(None).cast("int"), F.col("a")).alias("o")).collect()]
+    assert [o.num_workers for o in out] == [3, 2, None, 2]
+    assert (out[2].autoscale.min_workers, out[2].autoscale.max_workers) == (4, 4)
+
+
+def test_overrides_stored_with_their_calibration(spark):
+    path = tempfile.mkdtemp(prefix="spendpace-cal-") + "/calibration"
+    calib = lambda day, m: spark.createDataFrame([(b, dt.date(2026, 7, day), m, 28) for b in (0, 1)],
+                                                 "budget_id int, as_of date, global_multiplier double, window_days int")
+    given = spark.createDataFrame([(0, "SQL", 2.0, 1), (0, "SQL", 2.5, 2), (0, None, 9.0, 3), (0, "JOBS", None, 4)],
+                                  "budget_id int, compute_type string, multiplier double, set_seq long")
+    SS.write_version(calib(5, 1.5), path)
+    SS.write_version(SS.with_overrides(calib(7, 1.7), given), path)
+    checks = spark.createDataFrame([(b, dt.datetime(2026, 7, d, 9)) for b in (0, 1, 2) for d in (6, 8)], "budget_id int, as_of timestamp")
+    got = {(r.budget_id, r.as_of.day): (r.global_multiplier, r.overrides) for r in SS.calibration_in_force(SS.read_versions(spark, path), checks, 1.6).collect()}
+    assert got == {(0, 6): (1.5, None), (0, 8): (1.7, {"SQL": 2.5}), (1, 6): (1.5, None), (1, 8): (1.7, None),
+                   (2, 6): (1.6, None), (2, 8): (1.6, None)}
+
+
 def test_bid_forces_spot_and_keeps_first_on_demand(spark):
     o = rewrite(spark, (4, None, ("ON_DEMAND", 2, None)), bid=60)
     assert o.aws_attributes.availability == "SPOT"
@@ -86,7 +109,7 @@ def test_calibration_in_force_and_audit(spark):
                                    "budget_id int, as_of date, global_multiplier double, window_days int")
     checks = spark.createDataFrame([(0, dt.datetime(2026, 7, 4, 9)), (0, dt.datetime(2026, 7, 6, 9))],
                                    "budget_id int, as_of timestamp")
-    got = {r.as_of.day: r.global_multiplier for r in SS.calibration_in_force(stored, checks, 1.6).collect()}
+    got = {r.as_of.day: r.global_multiplier for r in SS.calibration_in_force(SS.read_versions(spark, path), checks, 1.6).collect()}
     assert got == {4: 1.6, 6: 1.3}
     status = spark.createDataFrame([(0, dt.datetime(2026, 7, 6, h), "OK", 0.5, 0.0) for h in range(6)],
                                    "budget_id int, as_of timestamp, severity string, pace_ratio double,"
