@@ -114,7 +114,8 @@ def test_mixed_documents_hold_the_words_taken(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    con.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.sql(f"create view {table} as select * from '/root/testdata/sf0.001/{table}.parquet'")
     want = con.sql(ORACLE_SQL[name])
     got = QUERIES[name](spark, "/root/testdata/sf0.001")
     assert sorted(map(str, (tuple(r) for r in got.select(*want.columns).collect()))) == sorted(map(str, want.fetchall()))
